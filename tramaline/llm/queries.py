@@ -6,16 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramaline.llm import simhash
+from tramaline.llm import decontaminate, license_scan, secret_scan, simhash
 from tramaline.session import table
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_licenses": op2_licenses,
+    "op4_decontaminate": op4_decontaminate,
     "op7_simhash": op7_simhash,
+    "op8_secrets": op8_secrets,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: Words of a text: A-Z lower-cased, runs of digits, letters and non-ASCII characters.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP4 = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
+win as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as g
+        from b, unnest(range(1, greatest(len(w) - 8, 2))) r(i) where len(w) > 0),
+sizes as (select distinct n from win),
+dw as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as g
+       from d, sizes, unnest(range(1, len(w) - n + 2)) r(i)),
+hit as (select dw.doc_id, dw.i, dw.n, win.item_id from dw join win using (g, n)),
+words as (select doc_id, count(distinct j) as n_hit from hit, unnest(range(i, i + n)) r(j) group by 1),
+items as (select doc_id, count(distinct item_id) as n_items,
+                 string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from hit group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": _OP4}
