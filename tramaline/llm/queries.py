@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramaline.llm import decontaminate, license_scan, secret_scan, simhash
+from tramaline.llm import decontaminate, license_scan, mixing, preferences, secret_scan, simhash
 from tramaline.session import table
 
 
@@ -14,6 +14,11 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = preferences.conversations(table(spark, sf_dir, "conversations"))
+    return preferences.format_preferences(preferences.paired_with_neighbour(convs))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -27,11 +32,17 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
+    "op3_preferences": op3_preferences,
     "op4_decontaminate": op4_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_secrets": op8_secrets,
+    "op10_mixing": op10_mixing,
 }
 
 #: Words of a text: A-Z lower-cased, runs of digits, letters and non-ASCII characters.
@@ -55,4 +66,44 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
 from d left join words using (doc_id) left join items using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": _OP4}
+_TURN = "'<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)"
+
+
+def _completion(x: str) -> str:
+    """SQL of a completion and its mask, from the list of turns x that follow the prefix."""
+    length = "length(t.role) + length(t.text) + 13"
+    start = f"coalesce(list_sum(list_transform({x}[1:i - 1], lambda t: {length})), 0)::bigint"
+    spans = f"list_transform(list_filter(range(1, len({x}) + 1), lambda i: {x}[i].role = 'assistant'), lambda i: ({start} + length({x}[i].role) + 5)::varchar || ':' || ({start} + length({x}[i].role) + length({x}[i].text) + 13)::varchar)"
+    return f"coalesce(array_to_string(list_transform({x}, lambda t: {_TURN}), ''), '')", f"coalesce(array_to_string({spans}, ','), '')"
+
+
+_OP3 = f"""
+with c as (select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} order by turn, coalesce(role, ''), coalesce(text, '')) as turns
+           from conversations group by conv_id),
+p as (select c.conv_id as pair_id, c.turns as c, case when o.conv_id is null then c.turns[1:len(c.turns) - 1]
+             else list_concat(c.turns[1:len(c.turns) - 1], [{{'role': c.turns[-1].role, 'text': o.turns[-1].text}}]) end as r
+      from c left join c o on o.conv_id = xor(c.conv_id, 1)),
+q as (select *, cast(coalesce(list_min(list_filter(range(1, greatest(len(c), len(r)) + 1), lambda i: c[i] is distinct from r[i])) - 1, len(c)) as bigint) as n_prefix from p),
+s as (select *, c[n_prefix + 1:] as c2, r[n_prefix + 1:] as r2 from q)
+select pair_id, n_prefix, coalesce(array_to_string(list_transform(c[1:n_prefix], lambda t: {_TURN}), ''), '') as prompt,
+       {_completion("c2")[0]} as chosen, {_completion("c2")[1]} as chosen_mask, {_completion("r2")[0]} as rejected, {_completion("r2")[1]} as rejected_mask
+from s
+"""
+
+#: Source rates, copies by inverting the Poisson distribution at a uniform number from MD5.
+_MIXED = """
+select d.*, n_copies, unnest(range(1, n_copies + 1)) as copy from (
+  select d.*, (select count(*) from cdf where cdf.source is not distinct from d.source
+               and cdf.p < (cast('0x' || substr(md5(coalesce(cast(d.doc_id as varchar), '') || ':42'), 1, 13) as bigint) + 0.5) / 4503599627370496.0) as n_copies
+  from {docs} d) d
+where n_copies > 0
+"""
+_RATES = """
+rates as (select source, count(*) as n, (1.0::double / (select count(*) from (select distinct source from {docs}))) * (select count(*) from {docs}) / count(*) as rate from {docs} group by source),
+terms as (select source, rate, k, sum(case when k = 0 then -rate else ln(rate / k) end) over (partition by source order by k) as log_p
+          from rates, unnest(range(0, cast(ceil(rate + 10 * sqrt(rate) + 20) as bigint) + 1)) r(k)),
+cdf as (select source, sum(exp(log_p)) over (partition by source order by k) as p from terms)
+"""
+_OP10 = "with " + _RATES.format(docs="documents") + _MIXED.format(docs="documents").replace("select d.*, n_copies, unnest", "select doc_id, text, lang, source, n_chars, n_copies, unnest")
+
+ORACLE_SQL: dict[str, str] = {"op3_preferences": _OP3, "op4_decontaminate": _OP4, "op10_mixing": _OP10}

@@ -6,8 +6,7 @@ factor the shared bits out: a child adds only the differences on bits that its p
 and a whole group is pruned as soon as the differences added up so far exceed the radius.
 
 Over a cluster the sorted distinct fingerprints are range partitions, one index each. The partitions'
-own shared patterns form the top of the index (one row per partition, so its size is bound by the number
-of partitions); each fingerprint visits the partitions that the top doesn't prune. Partitions link what
+own shared patterns form the top of the index (one row per partition of a million fingerprints); each fingerprint visits the partitions that the top doesn't prune. Partitions link what
 they hold into forests, and connected_components joins these.
 """
 
@@ -27,6 +26,8 @@ from tramaline.operators.graph import connected_components
 from tramaline.session import cut
 
 FAN_OUT = 8
+#: Distinct fingerprints in one partition of the index, and the least number of partitions.
+PER_PARTITION, LEAST_PARTITIONS = 1_000_000, 32
 ONES = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -162,12 +163,12 @@ def near_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     Two fingerprints within the radius end in one tree of the links. Work in a partition follows the
     number of its nodes and true neighbours; rows out are at most one per node and partition visited.
     """
-    spark = nodes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # few, large partitions: a fingerprint visits more of them the more there are
+    parts = max(LEAST_PARTITIONS, -(-nodes.count() // PER_PARTITION))
     sorted_nodes = nodes.select(gray_rank("fp").alias("gray"), "fp", "root").repartitionByRange(parts, "gray")
     sorted_nodes = cut(sorted_nodes.select(F.spark_partition_id().alias("part"), "gray", "fp", "root"), "gray")
     # one row per partition: bound by the number of partitions, not by the data
-    top = sorted(sorted_nodes.groupBy("part").agg(F.bit_and("fp"), F.bit_or("fp")).limit(parts).collect())
+    top = sorted(sorted_nodes.groupBy("part").agg(F.bit_and("fp"), F.bit_or("fp")).collect())
     ids = np.array([r[0] for r in top], np.int32)
     low, high = (np.array([r[i] for r in top], np.int64).view(U64) for i in (1, 2))
 
