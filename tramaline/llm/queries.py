@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramaline.llm import decontaminate, license_scan, mixing, preferences, secret_scan, simhash
+from tramaline.llm import decontaminate, license_scan, mixing, preferences, quality, secret_scan, simhash, weighted_sampling
 from tramaline.session import table
 
 
@@ -23,6 +23,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -32,6 +36,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -40,8 +48,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op3_preferences": op3_preferences,
     "op4_decontaminate": op4_decontaminate,
+    "op6_fingerprints": op6_fingerprints,
     "op7_simhash": op7_simhash,
     "op8_secrets": op8_secrets,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 
