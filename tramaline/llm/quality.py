@@ -2,11 +2,12 @@
 
 Two generative models over hashed features, of target text (documents labelled good) and of raw text (all
 documents), give each document a log importance weight: the sum of its features' log ratios. Features are the
-distinct 5-grams of the lower-cased bytes, and how much of the text repeats the word before. A bucket counts
+distinct 5-grams of the lower-cased bytes, and what tenths of the words repeat the word before. A bucket counts
 only if target and raw differ by more than chance, so that rare text is not held against a document.
 
-Documents are accepted by a threshold on the log weight, set where labelled good and bad ones part best, and
-sampled without replacement in proportion to their weights by Gumbel top-k.
+Documents are sampled without replacement in proportion to their weights by Gumbel top-k. The log weight of
+clean text grows with its length and would outweigh a few bad passages; so documents are accepted by the part
+of it that speaks against them, with a threshold where labelled good and bad ones part best.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tramaline.llm.mixing import uniform
 from tramaline.llm.textblock import INK, U64, Block, blocks, mix
@@ -27,7 +29,11 @@ GRAM, BITS = 5, 18
 #: Labelled rows used in fitting, at most. More are sampled by hash of doc_id.
 MAX_LABELS = 200_000
 #: Pseudo-count of a bucket, and the least difference in standard deviations that counts.
-PSEUDO, SIGMAS = 5.0, 2.5
+PSEUDO, SIGMAS = 1.0, 2.0
+#: A feature speaks against a document if target has less than this share of what raw lets expect.
+LESS = 0.2
+#: What speaks against clean text by chance grows with the root of its features; below so many it is as it is.
+FLOOR = 100
 BINS = 4096
 
 
@@ -56,8 +62,9 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     again[1:] = (h[1:] == h[:-1]) & (block.doc[1:] == block.doc[:-1])
     words = np.diff(block.first)
     share = np.bincount(block.doc, again, n) / np.maximum(words, 1)
-    level = mix((share * 10).astype(U64) + U64(1 << 40)) >> U64(64 - BITS)
-    pairs.append((np.arange(n) << BITS) | level.astype(np.int64))
+    for tenth in range(1, 10):
+        level = int(mix(np.array([tenth], U64) + U64(1 << 40))[0] >> U64(64 - BITS))
+        pairs.append((np.flatnonzero(share * 10 >= tenth) << BITS) | level)
     pairs = np.unique(np.concatenate(pairs))
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
@@ -132,39 +139,45 @@ def _threshold(docs: DataFrame, sent, model: Model) -> float:
         for batch in batches:
             has, good = _labelled(_ids(batch.column(0)), *sent.value)
             own = np.flatnonzero(has)
-            scores = _scores(batch.column(1).take(pa.array(own)), ratios.value)
+            _, scores = _scores(batch.column(1).take(pa.array(own)), ratios.value)
             yield pa.RecordBatch.from_arrays([pa.array(_bin(scores)), pa.array(good[own].astype(np.int64))], ["bin", "good"])
 
     bins = docs.mapInArrow(score, "bin long, good long").groupBy("bin").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")).toPandas().sort_values("bin")
     if not len(bins) or not bins.good.sum() or not bins.bad.sum():
         return -np.inf
     gain = (bins.bad.cumsum() / bins.bad.sum() - bins.good.cumsum() / bins.good.sum()).to_numpy()
+    if gain.max() <= 0.05:  # nothing found that tells them apart
+        return -np.inf
     last = int(bins.bin.to_numpy()[int(np.argmax(gain))])  # bins up to this one are rejected
     edge = last + 1 if last >= 0 else last
     return float(np.sign(edge) * (edge / 32) ** 2) if last != -1 else 0.0
 
 
-def _scores(texts: pa.Array, ratios: np.ndarray) -> np.ndarray:
-    out = [np.zeros(0)]
+def _scores(texts: pa.Array, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log weight of each text, and the part of it from features that speak against it, over their chance growth."""
+    out = [np.zeros((2, 0))]
+    against = np.where(ratios < np.log(LESS), ratios, 0)
     for block in blocks(texts):
         doc, bucket = features(block)
-        out.append(np.bincount(doc, ratios[bucket], block.hi - block.lo))
-    return np.concatenate(out)
+        n = block.hi - block.lo
+        out.append(np.stack([np.bincount(doc, ratios[bucket], n), np.bincount(doc, against[bucket], n) / np.sqrt(1 + np.bincount(doc, minlength=n) / FLOOR)]))
+    log_weight, part = np.concatenate(out, axis=1)
+    return log_weight, part
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with log_weight and accepted after its columns (columns of these names are replaced)."""
-    docs = docs.drop("log_weight", "accepted")
+    """docs with log_weight, against and accepted after its columns (columns of these names are replaced)."""
+    docs = docs.drop("log_weight", "against", "accepted")
     at = docs.columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = sent.value
-            s = _scores(batch.column(at), m.ratios)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(s >= m.threshold)], [*batch.schema.names, "log_weight", "accepted"])
+            s, against = _scores(batch.column(at), m.ratios)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(against), pa.array(against >= m.threshold)], [*batch.schema.names, "log_weight", "against", "accepted"])
 
-    schema = docs.schema.add("log_weight", "double").add("accepted", "boolean")
+    schema = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("against", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -198,7 +211,7 @@ def gumbel_top_k(scored: DataFrame, fraction: float, seed: int = 42, key: str =
 
 
 def classify(docs: DataFrame, labels: DataFrame, fraction: float = 0.5, seed: int = 42) -> DataFrame:
-    """One row per document: doc_id, log_weight, accepted, gumbel_key, selected.
+    """One row per document: doc_id, log_weight, against, accepted, gumbel_key, selected.
 
     Null text counts as empty. Unlabelled documents are judged like others; labels of unknown documents, and
     labels without quality, are ignored; a null toxic counts as 0. Repeated rows stay. Other columns are not read.
