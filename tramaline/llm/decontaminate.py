@@ -17,12 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tramaline.llm.textblock import ALNUM, U64, Block, blocks, grams
 
 WINDOW, GRAM = 10, 5
 MAX_BROADCAST_BYTES = 4 << 20
-OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def winnow(g: np.ndarray, begin: np.ndarray, end: np.ndarray, span: int) -> np.ndarray:
@@ -118,7 +118,7 @@ def extend(block: Block, h: np.ndarray, at: np.ndarray, around: np.ndarray, size
 
 
 def _rows(block: Block, doc: np.ndarray, begin: np.ndarray, end: np.ndarray, owner: np.ndarray, ids: list[str]) -> list[list]:
-    """The columns of OUT for the documents of a block, from agreeing runs and their items."""
+    """The columns in NAMES for the documents of a block, from agreeing runs and their items."""
     step = np.zeros(len(block.start) + 1, np.int32)
     np.add.at(step, begin, 1)
     np.add.at(step, end, -1)
@@ -131,15 +131,25 @@ def _rows(block: Block, doc: np.ndarray, begin: np.ndarray, end: np.ndarray, own
     return [n_words.tolist(), n_hit.tolist(), [len(x) for x in names], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], (n_hit > 0).tolist()]
 
 
-def _local(docs: DataFrame, items: Items, window: int, gram: int) -> DataFrame:
-    """Every document against items that are sent to the tasks."""
+NAMES = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+
+
+def _schema(carried: T.StructType, prefix: str) -> T.StructType:
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType())
+    return T.StructType([*carried.fields, *(T.StructField(prefix + n, k) for n, k in zip(NAMES, kinds, strict=True))])
+
+
+def _local(docs: DataFrame, items: Items, window: int, gram: int, prefix: str) -> DataFrame:
+    """Every document against items that are sent to the tasks. Adds the columns in NAMES, their names prefixed."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
+    text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = sent.value
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(text)):
                 block.words(ALNUM)
                 h = block.word_hashes()
                 begin, end, own, doc = [], [], [], []
@@ -161,12 +171,12 @@ def _local(docs: DataFrame, items: Items, window: int, gram: int) -> DataFrame:
                 cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
                 for k, v in enumerate(_rows(block, cat(doc), cat(begin), cat(end), cat(own), it.ids)):
                     out[k] += v
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, t in zip(out, TYPES, strict=True))], [*batch.schema.names, *(prefix + n for n in NAMES)])
 
-    return docs.mapInArrow(run, f"doc_id long, {OUT}")
+    return docs.mapInArrow(run, _schema(docs.schema, prefix))
 
 
-def _joined(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+def _joined(docs: DataFrame, items: DataFrame, window: int, gram: int, prefix: str) -> DataFrame:
     """The same by a join of fingerprints, for a benchmark of any size. Hits belong to texts, by their SHA-256."""
     lengths = tuple(r[0] for r in items.select(F.size(F.regexp_extract_all("text", F.lit(r"([0-9A-Za-z\x{80}-\x{10FFFF}]+)"))).alias("n")).where(f"n > 0 and n < {window}").distinct().limit(window).collect())
 
@@ -197,15 +207,26 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFr
                 names = [r[2] for r in rows]
                 for k, v in enumerate(_rows(block, block.doc[at[ok]], b[ok], e[ok], np.flatnonzero(ok), names)):
                     out[k] += v
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True))], ["key", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, TYPES, strict=True))], ["_key", *(prefix + n for n in NAMES)])
 
-    keyed = docs.withColumn("key", F.sha2(F.coalesce("text", F.lit(b"")), 256))
-    texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
+    # a text's key also stands for rows that repeat it, so that a passage copied often is searched once
+    keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256))
+    texts = keyed.groupBy("_key").agg(F.first(F.col("text").cast("binary")).alias("text"))
     found = items.mapInArrow(item_prints, "hash long, item string, around binary, size int")
     hits = texts.mapInArrow(doc_prints, "key string, at int, hash long, size int").join(found, ["hash", "size"])
-    per_text = hits.groupBy("key").agg(F.collect_list(F.struct("at", "size", "item", "around")).alias("hits"))
-    out = texts.join(per_text, "key", "left").select("key", "text", "hits").mapInArrow(verify, f"key string, {OUT}")
-    return keyed.select("doc_id", "key").join(out, "key").drop("key")
+    per_text = hits.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("at", "size", "item", "around")).alias("hits"))
+    out = texts.join(per_text, "_key", "left").select("_key", "text", "hits")
+    out = out.mapInArrow(verify, _schema(T.StructType([T.StructField("_key", T.StringType())]), prefix))
+    return keyed.join(out, "_key").drop("_key")
+
+
+def _flagged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, most: int, prefix: str) -> DataFrame:
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 24), F.lit(0))).first()[0]
+    if size > most:
+        return _joined(docs, items, window, gram, prefix)
+    rows = items.collect()
+    return _local(docs, Items([r[0] for r in rows], [bytes(r[1] or b"") for r in rows], window, gram), window, gram, prefix)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -217,10 +238,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     id count once. Repeated rows stay, and null keys are kept. Other columns are not read. An empty benchmark
     leaves all documents clean.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 24), F.lit(0))).first()[0]
-    if size > max_broadcast_bytes:
-        return _joined(docs, items, window, gram)
-    rows = items.collect()
-    return _local(docs, Items([r[0] for r in rows], [bytes(r[1] or b"") for r in rows], window, gram), window, gram)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _flagged(docs, benchmark, window, gram, max_broadcast_bytes, "").drop("text")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs without a hit, with docs' columns; rows with null text or key stay."""
+    return _flagged(docs, benchmark, window, gram, max_broadcast_bytes, "_found_").where("not _found_contaminated").select(*docs.columns)

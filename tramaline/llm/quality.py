@@ -34,6 +34,8 @@ PSEUDO, SIGMAS = 1.0, 2.0
 LESS = 0.2
 #: What speaks against clean text by chance grows with the root of its features; below so many it is as it is.
 FLOOR = 100
+#: How much losing a share of the good weighs against catching the same share of the bad.
+CARE = 4.0
 BINS = 4096
 
 
@@ -90,6 +92,11 @@ def _labelled(ids: np.ndarray, known: np.ndarray, good: np.ndarray) -> tuple[np.
     return has, has & (good[at] if len(known) else False)
 
 
+def _held_out(ids: np.ndarray) -> np.ndarray:
+    """A quarter of all keys by hash: their labels set the threshold, the others' labels the model."""
+    return mix(ids.astype(np.int64).view(U64)) >> U64(62) == 0
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
 
@@ -107,7 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target, n = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            _, good = _labelled(_ids(batch.column(0)), *sent.value)
+            ids = _ids(batch.column(0))
+            good = _labelled(ids, *sent.value)[1] & ~_held_out(ids)
             for block in blocks(batch.column(1)):
                 doc, bucket = features(block)
                 own = good[block.lo : block.hi]
@@ -137,20 +145,23 @@ def _threshold(docs: DataFrame, sent, model: Model) -> float:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            has, good = _labelled(_ids(batch.column(0)), *sent.value)
-            own = np.flatnonzero(has)
+            ids = _ids(batch.column(0))
+            has, good = _labelled(ids, *sent.value)
+            own = np.flatnonzero(has & _held_out(ids))
             _, scores = _scores(batch.column(1).take(pa.array(own)), ratios.value)
             yield pa.RecordBatch.from_arrays([pa.array(_bin(scores)), pa.array(good[own].astype(np.int64))], ["bin", "good"])
 
     bins = docs.mapInArrow(score, "bin long, good long").groupBy("bin").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")).toPandas().sort_values("bin")
     if not len(bins) or not bins.good.sum() or not bins.bad.sum():
         return -np.inf
-    gain = (bins.bad.cumsum() / bins.bad.sum() - bins.good.cumsum() / bins.good.sum()).to_numpy()
+    gain = (bins.bad.cumsum() / bins.bad.sum() - CARE * bins.good.cumsum() / bins.good.sum()).to_numpy()
     if gain.max() <= 0.05:  # nothing found that tells them apart
         return -np.inf
-    last = int(bins.bin.to_numpy()[int(np.argmax(gain))])  # bins up to this one are rejected
-    edge = last + 1 if last >= 0 else last
-    return float(np.sign(edge) * (edge / 32) ** 2) if last != -1 else 0.0
+    # bins up to the last with the best gain are rejected; the edge lies half way to the next
+    at = int(np.flatnonzero(gain >= gain.max() - 1e-12)[-1])
+    own = bins.bin.to_numpy()
+    edge = (own[at] + 1 + own[min(at + 1, len(own) - 1)]) / 2
+    return float(np.sign(edge) * (edge / 32) ** 2)
 
 
 def _scores(texts: pa.Array, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

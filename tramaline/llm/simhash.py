@@ -206,3 +206,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str
 def hex_fingerprint(fp: str = "fp") -> F.Column:
     """A 64-bit fingerprint as 16 lowercase hex digits."""
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """docs without near duplicates: of each component the row with the least doc_id stays, with all its columns.
+
+    Of rows that repeat one doc_id, one stays. Rows without a doc_id can't be named as copies and stay.
+    """
+    near = cut(near_duplicates(docs.select("doc_id", "text"), shingle, radius), "components")
+    kept = near.where("doc_id = component_id").select("doc_id").distinct()
+    out = docs.join(kept, "doc_id", "left_semi")
+    n = near.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if n[0] != n[1]:
+        out = out.dropDuplicates(["doc_id"])
+    if n[0] != near.count():
+        out = out.unionByName(docs.where("doc_id is null"))
+    return out.select(*docs.columns)
