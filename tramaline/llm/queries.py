@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramaline.llm import decontaminate, license_scan, mixing, preferences, quality, secret_scan, simhash, weighted_sampling
+from tramaline.llm import decontaminate, license_scan, mixing, preferences, quality, secret_scan, simhash, suffix_repeats, weighted_sampling
 from tramaline.session import table
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op2_licenses": op2_licenses,
     "op3_preferences": op3_preferences,
     "op4_decontaminate": op4_decontaminate,
