@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramaline.llm import decontaminate, license_scan, mixing, preferences, quality, secret_scan, simhash, suffix_repeats, weighted_sampling
+from tramaline.llm import decontaminate, license_scan, mixing, pitman_yor, preferences, quality, secret_scan, simhash, suffix_repeats, weighted_sampling
 from tramaline.session import table
 
 
@@ -27,6 +27,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op3_preferences": op3_preferences,
     "op4_decontaminate": op4_decontaminate,
+    "op5_language_model": op5_language_model,
     "op6_fingerprints": op6_fingerprints,
     "op7_simhash": op7_simhash,
     "op8_secrets": op8_secrets,
