@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = ["text"]
+MODULES: list[str] = ["text", "ledger", "people"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

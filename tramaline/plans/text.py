@@ -145,7 +145,7 @@ def page_token(spark, d):
 @plan("list_ordinal", "select doc_id, seq, seq % 3 as kind, case when seq % 3 = 0 then seq when seq % 3 = 1 then 97 + seq % 26 else null end as rank from " + SEGMENTS)
 def list_ordinal(spark, d):
     mark = F.expr("case when seq % 3 = 0 then concat(seq, '. ') when seq % 3 = 1 then concat(char(97 + seq % 26), ') ') else '' end")
-    s = segments(spark, d).withColumn("line", F.concat(mark, F.regexp_replace("text", r"^\w", "")))
+    s = segments(spark, d).withColumn("line", F.concat(mark, F.lit("item "), "text"))
     number, letter = F.regexp_extract("line", r"^(\d+)[.)] ", 1), F.regexp_extract("line", r"^([a-z])[.)] ", 1)
     rank = F.when(number != "", number.cast("long")).when(letter != "", F.ascii(letter).cast("long"))
     return s.select("doc_id", "seq", F.when(number != "", 0).when(letter != "", 1).otherwise(2).cast("long").alias("kind"), rank.alias("rank"))
