@@ -126,4 +126,18 @@ cdf as (select source, sum(exp(log_p)) over (partition by source order by k) as
 """
 _OP10 = "with " + _RATES.format(docs="documents") + _MIXED.format(docs="documents").replace("select d.*, n_copies, unnest", "select doc_id, text, lang, source, n_chars, n_copies, unnest")
 
-ORACLE_SQL: dict[str, str] = {"op3_preferences": _OP3, "op4_decontaminate": _OP4, "op10_mixing": _OP10}
+#: All 100-byte strings (as hex), those met before, their stretches, and what lies between these.
+_OP1 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+w as (select doc_id, i, hash(substr(x, 2 * i - 1, 200)) as h from d, unnest(range(1, len(x) // 2 - 98)) r(i)),
+rep as (select doc_id, i from (select *, row_number() over (partition by h order by doc_id, i) as r from w) where r > 1),
+isle as (select *, sum(new) over (partition by doc_id order by i) as g from (select *, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as new from rep)),
+span as (select doc_id, min(i) as a, max(i) + 99 as b from isle group by doc_id, g),
+piece as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as p from span),
+cuts as (select doc_id, sum(b - a + 1) as n, count(*) as k, max(b) as last, string_agg(substr(x, 2 * p + 1, 2 * (a - 1 - p)), '' order by a) as kept from piece join d using (doc_id) group by doc_id)
+select d.doc_id, cast(len(x) // 2 as bigint) as n_bytes, cast(coalesce(n, 0) as bigint) as n_removed, coalesce(k, 0) as n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from d left join cuts using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_repeats": _OP1, "op3_preferences": _OP3, "op4_decontaminate": _OP4, "op10_mixing": _OP10}
