@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Sources up to which their rates are broadcast: their number is checked first.
+MAX_SOURCES = 10_000
+
+
 def uniform(*parts: F.Column | str, seed: int) -> F.Column:
     """A number in (0, 1) from the MD5 of the parts and the seed: 52 bits, so that it is exact as a double."""
     text = F.concat_ws(":", *(F.coalesce(F.col(p).cast("string") if isinstance(p, str) else p.cast("string"), F.lit("")) for p in parts), F.lit(str(seed)))
@@ -53,19 +57,25 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None, total: f
     return rated.withColumn("cdf", poisson_cdf(F.col("rate")))
 
 
+def _known_rates(rates: DataFrame) -> DataFrame:
+    """rates, to be sent to all tasks if it has at most MAX_SOURCES rows; else to be joined by source."""
+    rows = rates.limit(MAX_SOURCES + 1).collect()
+    return F.broadcast(rates.sparkSession.createDataFrame(rows, rates.schema)) if len(rows) <= MAX_SOURCES else rates
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """docs with each row repeated N times, N Poisson with the mean rate of its source, globally shuffled.
 
     Adds n_copies and copy (1..n_copies) to the columns of docs, after them; columns of docs with these names
     are replaced. Rows that draw 0 copies go: that is the sampling. Equal keys draw alike, so that repeated
     rows are repeated alike; a null key draws from the empty string. An empty table gives an empty table.
-    The order within and across partitions is the shuffle. Nothing is broadcast but one row of sums and, where
-    Spark finds at run time that it is small, the table of sources; else it is joined, a hot source split.
+    The order within and across partitions is the shuffle. The rates of up to MAX_SOURCES sources are broadcast,
+    so that documents move once, for the shuffle; those of more are joined, where Spark splits a hot source.
     """
     columns = [c for c in docs.columns if c not in ("n_copies", "copy")]
     docs = docs.select(*columns)
     rates = repetition_rates(docs, weights, total).select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf"))
-    drawn = docs.join(rates, docs["source"].eqNullSafe(rates["_source"])).withColumn("_u", uniform(key, seed=seed))
+    drawn = docs.join(_known_rates(rates), docs["source"].eqNullSafe(rates["_source"])).withColumn("_u", uniform(key, seed=seed))
     drawn = drawn.withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c < F.col("_u"))).cast("long"))
     copies = drawn.where("n_copies > 0").select(*columns, "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy"))
     spark = docs.sparkSession
