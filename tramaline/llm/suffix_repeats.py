@@ -95,6 +95,18 @@ def minimizer_runs(block: Block, length: int) -> tuple[np.ndarray, ...]:
     return m, _hash(total, start, start + count + length - 1), doc, start - block.offsets[doc], count, left != right
 
 
+def repeated_here(m: np.ndarray, h: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of runs met in one batch: whether an earlier one there has the same bytes.
+
+    Such a run is a repeat as a whole whatever else there is, so it need not meet the others of its minimizer: a
+    passage that many documents share sends one run per batch to its minimizer's task.
+    """
+    order = np.lexsort((at, key, h, m))
+    out = np.zeros(len(m), bool)
+    out[order[1:]] = (m[order][1:] == m[order][:-1]) & (h[order][1:] == h[order][:-1])
+    return out
+
+
 def repeats_of(strings: list[bytes], key: np.ndarray, start: np.ndarray, length: int) -> tuple[list[tuple[int, int, list[int]]], np.ndarray, np.ndarray]:
     """Maximal repeats among strings: (length, first occurrence, other occurrences not in a longer one) of each.
 
@@ -259,14 +271,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            keys, found = batch.column(0).to_numpy(), []
             for block in blocks(batch.column(1)):
                 m, h, doc, start, count, inner = minimizer_runs(block, length)
-                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(h.view(np.int64)), pa.array(keys[block.lo + doc]), pa.array((start << 9) | (count << 1) | inner)], ["m", "h", "key", "at"])
+                found.append((m, h, keys[block.lo + doc], (start << 9) | (count << 1) | inner))
+            if found:
+                m, h, key, at = (np.concatenate(x) for x in zip(*found, strict=True))
+                again = repeated_here(m, h, key, at)
+                m, h = np.where(again, mix(h ^ mix(key.view(U64) ^ at.view(U64))), m), np.where(again, U64(0), h)
+                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(h.view(np.int64)), pa.array(key), pa.array(at), pa.array(again)], ["m", "h", "key", "at", "again"])
 
     met = Window.partitionBy("m").orderBy("h", "key", "at")
-    seen = texts.mapInArrow(runs, "m long, h long, key long, at long")
-    seen = seen.withColumn("first", F.coalesce(F.lag("h").over(met) != F.col("h"), F.lit(True)))
+    seen = texts.mapInArrow(runs, "m long, h long, key long, at long, again boolean")
+    seen = seen.withColumn("first", ~F.col("again") & F.coalesce(F.lag("h").over(met) != F.col("h"), F.lit(True)))
     seen = seen.withColumn("different", F.sum(F.col("first").cast("int")).over(Window.partitionBy("m")))
     wanted = F.col("first") & ((F.col("different") > 1) | (F.col("at").bitwiseAND(F.lit(1)) == 1))
     seen = seen.where(~F.col("first") | wanted)
