@@ -18,7 +18,7 @@ def folder(spark, tmp_path_factory):
     good = [(i, prose(2000 + i, 70)) for i in range(300)]
     bad = [(400 + i, prose(2400 + i, 20) + " rotten vilest" * 6 + " " + prose(2500 + i, 20)) for i in range(80)]
     item = prose(3000, 40)
-    planted = [(600, good[0][1]), (601, good[1][1] + " tail"), (602, "start " + item + " end"), (603, good[2][1] + " password=abcdef123456"), (604, None), (605, ""), (None, prose(3001, 30))]
+    planted = [(600, good[0][1]), (601, good[1][1] + " tail"), (602, "start " + item + " end"), (603, prose(3002, 70) + " password=abcdef123456"), (604, None), (605, ""), (None, prose(3001, 30))]
     docs = [(i, t, "en", f"s{(i or 0) % 3}", len(t or "")) for i, t in [*good, *bad, *planted]]
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{d}/documents.parquet")
     labels = [(i, 1, 0) for i, _ in good[:200]] + [(i, 0, 1) for i, _ in bad[:60]]

@@ -74,8 +74,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     """
     columns = [c for c in docs.columns if c not in ("n_copies", "copy")]
     docs = docs.select(*columns)
-    rates = repetition_rates(docs, weights, total).select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf"))
-    drawn = docs.join(_known_rates(rates), docs["source"].eqNullSafe(rates["_source"])).withColumn("_u", uniform(key, seed=seed))
+    rates = _known_rates(repetition_rates(docs, weights, total).select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf")))
+    drawn = docs.join(rates, docs["source"].eqNullSafe(rates["_source"])).withColumn("_u", uniform(key, seed=seed))
     drawn = drawn.withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c < F.col("_u"))).cast("long"))
     copies = drawn.where("n_copies > 0").select(*columns, "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy"))
     spark = docs.sparkSession
