@@ -10,7 +10,7 @@ from tramaline.functions import identity as I
 from tramaline.functions import money as M
 from tramaline.functions import text as T
 from tramaline.operators.graph import connected_components
-from tramaline.operators.layout import anchor_clusters, greedy_batches, ordered
+from tramaline.operators.layout import anchor_clusters, column_gutters, greedy_batches, ordered, stacked_blocks
 from tramaline.sources.html import html_segments
 from tramaline.streaming.jobs import cooldown_alerts, drained
 
@@ -86,3 +86,13 @@ def test_cooldown(spark, tmp_path):
     stream = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in")).withWatermark("ts", "1 hour")
     got = sorted((r.k, (r.ts - day).seconds // 60) for r in drained(cooldown_alerts(stream, "k", 3600), "append").collect())
     assert got == [("a", 0), ("a", 61), ("a", 150), ("b", 0)]
+
+
+def test_blocks_and_gutters(spark):
+    rows = [("p", 0, 0, 0, 100, 10, False), ("p", 1, 0, 12, 90, 22, False), ("p", 2, 0, 24, 95, 34, True), ("p", 3, 300, 12, 380, 22, False), ("p", 4, 0, 80, 99, 90, False)]
+    lines = spark.createDataFrame(rows, "page string, seq bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint, bullet boolean")
+    got = {r.seq: r.block for r in stacked_blocks(lines, ["page"]).collect()}
+    assert got[0] == got[1] and len({got[0], got[2], got[3], got[4]}) == 4
+    gaps = [("p", n, 50 + n, 70) for n in range(4)] + [("p", 1, 10, 14), ("p", 9, 50, 70)]
+    found = column_gutters(spark.createDataFrame(gaps, "page string, line bigint, x0 bigint, x1 bigint"), ["page"], 3, 5.0).collect()
+    assert [tuple(r) for r in found] == [("p", 53.0, 70.0, 4)]

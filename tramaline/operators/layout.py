@@ -81,3 +81,59 @@ def greedy_batches(texts: DataFrame, group: str, items: int, chars: int) -> Data
         )
 
     return listed.select(group, F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("b")).select(group, "b.seq", "b.batch")
+
+
+def stacked_blocks(lines: DataFrame, page: list[str], height: float = 0.35, edge: float = 0.6) -> DataFrame:
+    """page, seq and block (from 0): lines stacked under one another make a block.
+
+    lines has page's columns, seq, x0, y0, x1, y1 and bullet (opens a block). A line goes to the first block whose
+    last line is about as high, shares its left edge, right edge or axis, overlaps it sideways, and ends close
+    above. A page is a unit of work.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+
+    def joins(a, b) -> bool:
+        ha, hb = a.y1 - a.y0, b.y1 - b.y0
+        slack = edge * max(ha, hb)
+        shared = abs(a.x0 - b.x0) <= slack or abs(a.x1 - b.x1) <= slack or abs(a.x0 + a.x1 - b.x0 - b.x1) <= 2 * slack
+        return shared and abs(ha - hb) <= height * max(ha, hb) and -0.3 * ha < b.y0 - a.y1 < 0.8 * ha and min(a.x1, b.x1) > max(a.x0, b.x0)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        last: list = []
+        found = []
+        for r in rows.sort_values(["y0", "x0", "seq"]).itertuples(index=False):
+            k = next((i for i, a in enumerate(last) if not r.bullet and joins(a, r)), len(last))
+            last[k : k + 1] = [r]
+            found.append((r.seq, k))
+        head = {k: [rows[k].iloc[0]] * len(found) for k in page}
+        return pd.DataFrame({**head, "seq": [s for s, _ in found], "block": [b for _, b in found]})
+
+    return lines.groupBy(*page).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in page) + ", seq long, block long")
+
+
+def column_gutters(gaps: DataFrame, page: list[str], rows: int, width: float) -> DataFrame:
+    """page, x0, x1, lines: blank corridors that persist over at least `rows` lines in a row.
+
+    gaps has page's columns, line, x0 and x1 of each blank between two words of a line. A corridor starts at a blank
+    and narrows to what it shares with the next line's blanks; it ends where less than width is left.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in gaps.schema}
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        by_line: dict[int, list[tuple[float, float]]] = {}
+        for line, a, b in frame[["line", "x0", "x1"]].itertuples(index=False, name=None):
+            by_line.setdefault(line, []).append((float(a), float(b)))
+        found, live = [], []
+        for line in range(min(by_line), max(by_line) + 2):
+            blanks, grown, used = by_line.get(line, []), [], set()
+            for a, b, n in live:
+                shared = [(max(a, c), min(b, d), i) for i, (c, d) in enumerate(blanks) if min(b, d) - max(a, c) >= width]
+                grown += [(c, d, n + 1) for c, d, _ in shared]
+                used |= {i for _, _, i in shared}
+                if not shared and n >= rows:
+                    found.append((a, b, n))
+            live = grown + [(c, d, 1) for i, (c, d) in enumerate(blanks) if i not in used and d - c >= width]
+        head = {k: [frame[k].iloc[0]] * len(found) for k in page}
+        return pd.DataFrame({**head, "x0": [f[0] for f in found], "x1": [f[1] for f in found], "lines": [f[2] for f in found]})
+
+    return gaps.groupBy(*page).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in page) + ", x0 double, x1 double, lines long")

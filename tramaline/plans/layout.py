@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tramaline.operators.layout import anchor_clusters, greedy_batches, reading_order
+from tramaline.operators.layout import anchor_clusters, column_gutters, greedy_batches, reading_order, stacked_blocks
 from tramaline.plans.base import SEGMENTS, Plans, segments
 from tramaline.sources.html import html_segments
 from tramaline.session import table
@@ -194,3 +194,16 @@ def image_budget_report(spark, d):
 @plan("embedded_object_report", f"select doc, {_WHY} as nature, count(*) as n, count(distinct image) as names from {_IMAGES} group by 1, 2")
 def embedded_object_report(spark, d):
     return images(spark, d).groupBy("doc", F.expr(_WHY).alias("nature")).agg(F.count("*").alias("n"), F.countDistinct("image").alias("names"))
+
+
+@plan("ocr_blocks")
+def ocr_blocks(spark, d):
+    lines = words(spark, d).groupBy("doc_id", "page", F.col("line").alias("seq")).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"))
+    return stacked_blocks(lines.withColumn("bullet", F.col("seq") % 6 == 5), ["doc_id", "page"])
+
+
+@plan("column_gutters")
+def gutters(spark, d):
+    after = F.lead("x").over(by_line())
+    gaps = words(spark, d).withColumn("x1", after).withColumn("x0", F.col("x") + F.col("w")).where("x1 > x0").select("doc_id", "page", "line", "x0", "x1")
+    return column_gutters(gaps, ["doc_id", "page"], 3, 10.0)
