@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramaline.plans.base import Plans
 from tramaline.session import table
-from tramaline.streaming.jobs import cooldown_alerts, drained, event_stream
+from tramaline.streaming.jobs import cooldown_alerts, crossing_alerts, drained, event_stream
 
 plan = Plans()
 QUERIES, SQL = plan.queries, plan.sql
@@ -66,8 +65,5 @@ def late_payment_status(spark, d):
 
 @plan("balance_alerts", "select user_id, count(*) as alerts from (select user_id, value, lag(value) over (partition by user_id order by ts, event_id) as prev from events) where value < 5 and coalesce(prev >= 5, true) group by 1")
 def balance_alerts(spark, d):
-
-
-    prev = F.lag("value").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    t = table(spark, d, "events").withColumn("prev", prev).where("value < 5 and coalesce(prev >= 5, true)")
-    return t.groupBy("user_id").agg(F.count("*").alias("alerts"))
+    s = event_stream(spark, d).select("user_id", "ts", F.col("event_id").alias("n"), "value")
+    return drained(crossing_alerts(s, "user_id", 5.0), "append").groupBy("user_id").agg(F.count("*").alias("alerts"))
