@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramaline.llm.textblock import ALNUM, U64, Block, blocks
+from tramaline.llm.textblock import ALNUM, Block, blocks
 
 #: Fixed phrases of the base labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
