@@ -129,7 +129,8 @@ _OP10 = "with " + _RATES.format(docs="documents") + _MIXED.format(docs="document
 #: All 100-byte strings (as hex), those met before, their stretches, and what lies between these.
 _OP1 = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
-w as (select doc_id, i, hash(substr(x, 2 * i - 1, 200)) as h from d, unnest(range(1, len(x) // 2 - 98)) r(i)),
+cut as (select doc_id, b, len(x) // 2 as n, substr(x, 2 * b + 1, 2198) as y from d, unnest(range(0, greatest(len(x) // 2 - 99, 0), 1000)) r(b)),
+w as (select doc_id, b + i as i, hash(substr(y, 2 * i - 1, 200)) as h from cut, unnest(range(1, least(1000, n - 99 - b) + 1)) r(i)),
 rep as (select doc_id, i from (select *, row_number() over (partition by h order by doc_id, i) as r from w) where r > 1),
 isle as (select *, sum(new) over (partition by doc_id order by i) as g from (select *, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as new from rep)),
 span as (select doc_id, min(i) as a, max(i) + 99 as b from isle group by doc_id, g),
