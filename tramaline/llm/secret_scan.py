@@ -45,15 +45,23 @@ BASE = (
     Rule("access", rb"AKIA[A-Z0-9]+", 0, 0, 20, True),
     Rule("hex", rb"[0-9a-f]+", 0, 0, 24, True),
 )
+#: A private key from its head through the next END line; where that is missing, through its header and base64 lines.
+#: Line ends may be escaped, and lines quoted. Shorter runs of base64 belong to the key if they fill a line or end in =.
+_BETWEEN = rb"(?:\\[nrt]|[\s\"'>#*|,])*+"
+_KEY_BODY = (
+    rb"(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+    rb"|(?:" + _BETWEEN + rb"(?:[A-Z][A-Za-z]*-[A-Za-z-]+:[^\r\n\\]*|[A-Za-z0-9+/=]{16,}+|[A-Za-z0-9+/]++=)=*"
+    rb"|[\x20\t\"']*(?:\\[nr]|[\r\n])" + _BETWEEN + rb"[A-Za-z0-9+/]++(?=[\x20\t]*(?:[\r\n\\\"'<]|\Z)))*)"
+)
 #: Fixed patterns of further kinds, after public formats of tokens.
 EXTRA = (
-    Rule("private_key", rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----" + _KEY_BODY),
     Rule("github", rb"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("slack", rb"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", rb"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", rb"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("jwt", rb"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url_login", rb"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"),
+    Rule("url_login", rb"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]++:[^\s/:@]++@"),
 )
 RULES = BASE + EXTRA
 
