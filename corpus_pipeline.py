@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramaline.llm import decontaminate, mixing, quality, secret_scan, simhash
+from tramaline.llm import decontaminate, mixing, near_copies, quality, secret_scan
 from tramaline.session import cut, table
 
 
@@ -20,7 +20,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least doc_id."""
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing", mix_sources),
 ]
 
-#: The classifier and SimHash can't be said in SQL; tests/llm compares the stages with brute force.
+#: The classifier and near copies can't be said in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,151 @@
+"""Near copies of texts: Jaccard similarity of word shingles, candidates by MinHash bands, each verified exactly.
+
+Texts with equal sets of shingles are one node. A node has BANDS keys of ROWS minima each; nodes that share a
+key are candidates. Every bucket is first compared with its most connected node; then, what these links have
+left in different components is compared pair by pair. So a large group of copies takes one comparison a node,
+and no candidate pair that could join two components is left out.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tramaline.llm.textblock import U64, binary
+from tramaline.operators.graph import connected_components
+from tramaline.session import cut
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: A pair of similarity s shares no key in (1 - s**ROWS)**BANDS of cases: 3e-6 at 0.8, less above.
+BANDS, ROWS = 24, 4
+#: Nodes compared with one node in one task, and rows up to which a side of a join is sent to all tasks.
+PER_TASK, MOST_SENT = 1000, 200_000
+
+_RANDOM = np.random.default_rng(42).integers(0, 1 << 63, (3, BANDS * ROWS), dtype=np.uint64)
+_ADD, _TIMES, _MIX = _RANDOM[0], _RANDOM[1] * U64(2) + U64(1), _RANDOM[2] * U64(2) + U64(1)
+
+
+def shingles(text: bytes, k: int = SHINGLE) -> set[bytes]:
+    """Runs of k words, lower-cased; of fewer words, the one run of all; of none, nothing."""
+    words = text.lower().split()
+    if not words:
+        return set()
+    k = min(k, len(words))
+    return set(map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set's 64-bit hashes; none of an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, U64)
+    for lo in range(0, len(hashes), 1 << 13):
+        np.minimum(least, ((hashes[lo : lo + (1 << 13), None] ^ _ADD) * _TIMES).min(0), out=least)
+    return (least * _MIX).reshape(BANDS, ROWS).sum(1, dtype=U64).view(np.int64)
+
+
+def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, the set's identity (128 bits) and its band keys, of each row; a null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = binary(batch.column(1))
+            data, same, keys = data.tobytes(), [], []
+            for a, b in zip(off, off[1:], strict=False):
+                own = shingles(data[a:b], shingle)
+                h = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, own), U64, len(own)))
+                same.append(xxhash.xxh128_digest(h.tobytes()))
+                keys.append(band_keys(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, same binary, keys array<long>")
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """df for a join: sent to all tasks if it is small, so that common keys need not meet in one."""
+    return F.broadcast(df) if df.limit(MOST_SENT + 1).count() <= MOST_SENT else df
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of the distinct pairs a, b whose texts (doc_id, text) have at least the similarity."""
+    tasks = pairs.groupBy("a").agg(F.expr(f"1 + count(*) div {PER_TASK}").alias("n"))
+    dealt = pairs.join(tasks, "a").select("a", "b", F.expr("pmod(xxhash64(b), n)").alias("part"))
+    sides = dealt.select("a", "part", F.col("b").alias("doc_id")).union(dealt.select("a", "part", F.col("a").alias("doc_id")).distinct())
+    rows = sides.join(texts, "doc_id").select("a", "part", (F.col("doc_id") != F.col("a")).alias("other"), "doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, set()
+        for batch in batches:
+            a, b = [], []
+            for x, part, other, y, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if not other:
+                    at, own = (x, part), shingles(text, shingle)
+                    continue
+                if at != (x, part):
+                    raise RuntimeError(f"text of {x} is missing")
+                s = shingles(text, shingle)
+                if min(len(s), len(own)) >= similarity * max(len(s), len(own)) - 1e-6:
+                    both = len(s & own)
+                    if both / (len(s) + len(own) - both) >= similarity:
+                        a.append(x)
+                        b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "other").mapInArrow(run, "a long, b long")
+
+
+def near_links(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Links a, b among nodes (root, keys), whose components are those of all candidate pairs with the similarity.
+
+    docs has the text of each root. Work is quadratic in those nodes of a bucket that stay apart from its most
+    connected one.
+    """
+    rows = nodes.select(F.explode("keys").alias("key"), "root")
+    sizes = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = cut(rows.join(_sent(sizes), "key"), "members")
+    weight = members.groupBy("root").agg(F.sum("n").alias("w"))
+    members = cut(members.join(weight, "root").select("key", "root", "w"), "weighed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    texts = cut(texts.join(weight.select(F.col("root").alias("doc_id")), "doc_id", "left_semi"), "texts")
+
+    heads = members.groupBy("key").agg(F.max(F.struct("w", (-F.col("root")).alias("r"))).alias("x"))
+    heads = cut(heads.select("key", (-F.col("x.r")).alias("head")), "heads")
+    stars = members.join(_sent(heads), "key").where("root <> head")
+    stars = cut(stars.select(F.col("head").alias("a"), F.col("root").alias("b")).distinct(), "stars")
+    links = cut(verified(stars, texts, shingle, similarity), "star_links")
+
+    parts = connected_components(links, "a", "b").select(F.col("node").alias("root"), F.col("component").alias("c"))
+    named = cut(members.join(parts, "root", "left").select("key", "root", F.coalesce("c", "root").alias("c")), "named")
+    headed = heads.join(parts, F.col("head") == F.col("root"), "left").select("key", F.coalesce("c", "head").alias("most"))
+    odd = cut(named.join(_sent(cut(headed, "headed")), "key").where("c <> most").select("key", F.col("root").alias("x"), F.col("c").alias("cx")), "apart")
+    pairs = named.join(_sent(odd), "key").where("c <> cx").select(F.least("root", "x").alias("a"), F.greatest("root", "x").alias("b")).distinct()
+    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+    return links.union(verified(pairs, texts, shingle, similarity))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without near copies: of each component the row with the least doc_id stays, with all its columns.
+
+    Texts link when the Jaccard similarity of their sets of shingles is at least `similarity`, and through
+    others. Texts without words are copies of each other; null counts as empty. Of rows that repeat one doc_id,
+    one stays. Rows without a doc_id can't be named as copies and stay.
+    """
+    named, n = docs.where("doc_id is not null"), docs.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if n[1] != n[2]:
+        named = cut(named.dropDuplicates(["doc_id"]), "once")  # written, as the row that stays may be any
+    prints = cut(signatures(named.select("doc_id", "text"), shingle), "signatures")
+    # equal sets have equal keys, so any row's will do
+    nodes = cut(prints.groupBy("same").agg(F.min("doc_id").alias("root"), F.any_value("keys").alias("keys")).select("root", "keys"), "nodes")
+    links = near_links(nodes, named, shingle, similarity)
+    copies = connected_components(links, "a", "b").where("node <> component").select(F.col("node").alias("root"))
+    kept = cut(nodes.select("root").join(copies, "root", "left_anti"), "kept")
+    out = named.join(kept.withColumnRenamed("root", "doc_id"), "doc_id", "left_semi")
+    if n[0] != n[1]:
+        out = out.unionByName(docs.where("doc_id is null"))
+    return out.select(*docs.columns)
