@@ -57,6 +57,17 @@ def _seeds(notices: tuple[str, ...], chars_per_edit: int):
     return machine, found
 
 
+def _matches(pattern: regex.Pattern[bytes], least: int, data: bytes) -> list[regex.Match[bytes]]:
+    """The best match of data, and likewise those before and after it; a match has at least so many bytes."""
+    found, rest = [], [(0, len(data))]
+    while rest:
+        lo, hi = rest.pop()
+        if hi - lo >= least and (m := pattern.search(data, lo, hi)):
+            found.append(m)
+            rest += [(lo, m.start()), (m.end(), hi)]
+    return found
+
+
 def fuzzy_spans(block: Block, notices: tuple[str, ...], chars_per_edit: int) -> list[tuple[int, int, int, int, int]]:
     """(document, start, end, notice, edits) of the block's matches, in bytes of the document, sorted."""
     machine, patterns = _seeds(notices, chars_per_edit)
@@ -85,8 +96,8 @@ def fuzzy_spans(block: Block, notices: tuple[str, ...], chars_per_edit: int) ->
             else:
                 joined.append([d, lo, hi])
         for d, lo, hi in joined:
-            home = int(block.offsets[d])
-            out += [(d, lo + m.start() - home, lo + m.end() - home, k, sum(m.fuzzy_counts)) for m in patterns[k][0].finditer(raw[lo:hi])]
+            home, (pattern, n, e) = int(block.offsets[d]), patterns[k]
+            out += [(d, lo + m.start() - home, lo + m.end() - home, k, sum(m.fuzzy_counts)) for m in _matches(pattern, n - e, raw[lo:hi])]
     return sorted(out)
 
 
