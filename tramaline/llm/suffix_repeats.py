@@ -255,6 +255,40 @@ def keyed_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return ids.select("k", "key").join(texts, "k").select("key", "text"), ids.select("key", "doc_id", "n_rows")
 
 
+def _hot_stretches(runs: DataFrame, length: int) -> DataFrame:
+    """Stretches (key, begin, end) of windows that are met before, of the runs of hot minimizers.
+
+    Such windows are known by 128-bit hashes. The first place of each is a minimum, combined before the shuffle,
+    so that a window of very many documents needs no task that holds them.
+    """
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = binary(batch.column(1))
+            lists, bounds = batch.column(2), batch.column(2).offsets.to_numpy()
+            ats = lists.flatten().field(1).to_numpy(zero_copy_only=False)
+            bounds = bounds - bounds[0]
+            hashes: list[bytes] = []
+            owners: list[int] = []
+            starts: list[int] = []
+            for r, key in enumerate(batch.column(0).to_pylist()):
+                text = data[off[r] : off[r + 1]].tobytes()
+                for at in ats[bounds[r] : bounds[r + 1]].tolist():
+                    x, n = at >> 9, (at >> 1) & 255
+                    hashes += [hashlib.blake2b(text[i : i + length], digest_size=16).digest() for i in range(x, x + n)]
+                    owners += [key] * n
+                    starts += range(x, x + n)
+                if len(hashes) > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(owners, pa.int64()), pa.array(starts, pa.int64())], ["hash", "key", "start"])
+                    hashes, owners, starts = [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(owners, pa.int64()), pa.array(starts, pa.int64())], ["hash", "key", "start"])
+
+    met = cut(runs.mapInArrow(windows, "hash binary, key long, start long"), "hot")
+    firsts = met.groupBy("hash").agg(F.min(F.struct("key", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").select("hash", "least")
+    again = met.join(firsts, "hash").where(F.struct("key", "start") != F.col("least"))
+    return again.select("key", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -288,6 +322,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     wanted = F.col("first") & ((F.col("different") > 1) | (F.col("at").bitwiseAND(F.lit(1)) == 1))
     seen = seen.where(~F.col("first") | wanted)
     per_doc = seen.groupBy("key").agg(F.collect_list(F.struct("m", "at", "first", (F.col("different") > hot).alias("hot"))).alias("runs"))
+    per_doc = cut(per_doc, "runs")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Strings for the suffix arrays (bucket, key, start, string), and whole runs to remove (no string)."""
@@ -308,13 +343,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
                     _add(out, None, key, x, y.to_bytes(8, "little"))
                 text = data[off[r] : off[r + 1]].tobytes()
                 for m, x, n, is_hot in zip(ms[bounds[r] : bounds[r + 1]][first].tolist(), begin[first].tolist(), count[first].tolist(), hots[bounds[r] : bounds[r + 1]][first].tolist(), strict=True):
-                    if is_hot:  # window by window; equal windows still meet
-                        for i in range(x, x + n):
-                            window = text[i : i + length]
-                            _add(out, int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), key, i, window)
-                    else:
+                    if not is_hot:
                         _add(out, m, key, x, text[x : x + n + length - 1])
-                    size += n + length
+                        size += n + length
                 if size > 1 << 22:
                     yield _strings(out)
                     out, size = ([], [], [], []), 0
@@ -329,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["bucket", "key", "start", "string"])
 
     found = texts.join(per_doc, "key").select("key", "text", "runs").mapInArrow(cut_out, "bucket long, key long, start long, string binary")
-    # whole runs pass through, dealt by document; equal hot windows of one bucket were told apart before
+    # whole runs pass through, dealt by document; a bucket has the different runs of one minimizer, `hot` at most
     bucketed = found.repartition(parts, F.coalesce("bucket", F.xxhash64("key"))).sortWithinPartitions(F.col("bucket").isNull(), "bucket")
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,6 +384,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
         yield from passed
 
     spans = bucketed.mapInArrow(stretches, "key long, begin long, end long")
+    hot_docs = per_doc.withColumn("runs", F.filter("runs", lambda r: r["hot"] & r["first"])).where("size(runs) > 0")
+    if not hot_docs.isEmpty():
+        spans = spans.union(_hot_stretches(texts.join(hot_docs, "key").select("key", "text", "runs"), length))
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
