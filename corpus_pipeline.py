@@ -14,8 +14,8 @@ from tramaline.session import cut, table
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    return quality.keep_accepted(docs, table(spark, sf_dir, "labels"))
+    """Documents that the quality classifier selects, by the Gumbel key of their importance weight; repeated rows stay alike."""
+    return quality.keep_selected(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

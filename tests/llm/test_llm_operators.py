@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from tramaline.llm import decontaminate, license_scan, mixing, pitman_yor, preferences, quality, secret_scan, simhash, suffix_repeats, weighted_sampling
+from tramaline.llm import decontaminate, license_scan, mixing, pitman_yor, preferences, secret_scan, simhash, suffix_repeats, weighted_sampling
 from tramaline.llm.textblock import ALNUM, blocks
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, m bigint, fp string"
@@ -305,25 +305,6 @@ def test_queries_hold_for_all_matches():
             assert re.search(pattern, t, re.I) and any(all(g in t for g in every) for every in query)
 
 
-# ---- 9 ----
-
-
-def test_quality(spark):
-    good = [(i, prose(400 + i, 80)) for i in range(300)]
-    bad = [(1000 + i, prose(800 + i, 30) + " rotten vilest " * 4 + prose(900 + i, 30)) for i in range(90)]
-    docs = [*good, *bad, (5000, None), (5001, ""), (5002, prose(5, 60)), (5002, prose(5, 60)), (None, prose(6, 60))]
-    labels = spark.createDataFrame([(i, 1, None) for i, _ in good[:220]] + [(i, 1, 1) for i, _ in bad[:60]] + [(99999, 0, 0), (None, 1, 0), (5, None, 0)], "doc_id bigint, quality int, toxic int")
-    got = quality.classify(frame(spark, docs), labels, 0.25).toPandas()
-    assert len(got) == len(docs) and got.selected.sum() == round(0.25 * len(docs))
-    held = got[~got.doc_id.isin([i for i, _ in good[:220]] + [i for i, _ in bad[:60]])]
-    assert held[held.doc_id.between(0, 999)].accepted.mean() > 0.95
-    assert held[held.doc_id.between(1000, 1999)].accepted.mean() < 0.05
-    assert got.gumbel_key[got.selected].min() >= got.gumbel_key[~got.selected].max()
-    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
-    assert quality.keep_accepted(frame(spark, docs), none).count() == len(docs)
-    assert quality.classify(frame(spark, []), labels).count() == 0
-
-
 # ---- 10 ----
 
 

@@ -1,13 +1,16 @@
 """Quality classifier by importance resampling of hashed n-gram models.
 
-Two generative models over hashed features, of target text (documents labelled good) and of raw text (all
-documents), give each document a log importance weight: the sum of its features' log ratios. Features are the
-distinct 5-grams of the lower-cased bytes, and what tenths of the words repeat the word before. A bucket counts
-only if target and raw differ by more than chance, so that rare text is not held against a document.
-
-Documents are sampled without replacement in proportion to their weights by Gumbel top-k. The log weight of
-clean text grows with its length and would outweigh a few bad passages; so documents are accepted by the part
-of it that speaks against them, with a threshold where labelled good and bad ones part best.
+Two generative models count hashed word n-grams: of target text (documents labelled good) and of raw text (all
+documents). A document's log importance weight is the sum, over all its n-grams with their counts, of the log
+ratio of the two models. Its own counts are taken out of both models first, so that a text seen in training is
+judged as one that was not. A ratio counts where the models differ by more than a factor and by more than chance
+in numbers of documents: then the weight of ordinary words doesn't add up with length.
+
+Words and runs of punctuation are tokens. A token that repeats the one before is counted by how many tenths of a
+document's tokens do so, as one stuffed text would else outweigh all uses of a word.
+
+Documents are sampled without replacement in proportion to their weights by Gumbel top-k. k is given as a
+fraction, or fitted: as many as have a key above the one that parts labelled good from labelled bad best.
 """
 
 from __future__ import annotations
@@ -17,65 +20,85 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tramaline.llm.mixing import uniform
-from tramaline.llm.textblock import INK, U64, Block, blocks, mix
+from tramaline.llm.textblock import ALNUM, U64, Block, blocks, grams, mix
 from tramaline.session import cut
 
-GRAM, BITS = 5, 18
+#: Buckets are 2**BITS; they are summed in slices of 2**SLICE.
+BITS, SLICE = 20, 12
+#: Longest n-gram of words. Pairs of words only add noise where texts repeat few of them.
+ORDER = 1
 #: Labelled rows used in fitting, at most. More are sampled by hash of doc_id.
 MAX_LABELS = 200_000
-#: Pseudo-count of a bucket, and the least difference in standard deviations that counts.
-PSEUDO, SIGMAS = 1.0, 2.0
-#: A feature speaks against a document if target has less than this share of what raw lets expect.
-LESS = 0.2
-#: What speaks against clean text by chance grows with the root of its features; below so many it is as it is.
-FLOOR = 100
+#: A ratio counts if it is over FACTOR or under 1 / FACTOR, and SIGMAS standard deviations from chance.
+FACTOR, SIGMAS = 5.0, 2.0
 #: How much losing a share of the good weighs against catching the same share of the bad.
-CARE = 4.0
+CARE = 10.0
 BINS = 4096
+#: Bytes of tokens of runs of punctuation.
+MARKS = ~ALNUM
+MARKS[:33] = MARKS[65:91] = MARKS[127] = False
+_NULL = -(1 << 63)
 
 
 @dataclass(frozen=True)
 class Model:
-    ratios: np.ndarray  # log ratio of each of 2**BITS buckets
-    threshold: float
-
-
-def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, bucket) pairs of a block."""
-    b, n = block.bytes, block.hi - block.lo
-    pairs = []
-    if len(b) >= GRAM:
-        m = len(b) - GRAM + 1
-        code = b[:m].astype(U64)
-        for j in range(1, GRAM):
-            code |= b[j : j + m].astype(U64) << U64(8 * j)
-        doc = np.repeat(np.arange(n), np.diff(block.offsets))[:m]
-        inside = np.arange(m) + GRAM <= block.offsets[doc + 1]
-        bucket = (mix(code) >> U64(64 - BITS)).astype(np.int64)
-        pairs.append((doc[inside] << BITS) | bucket[inside])
-    block.words(INK)
-    h = block.word_hashes()
-    again = np.zeros(len(h), np.int64)
-    again[1:] = (h[1:] == h[:-1]) & (block.doc[1:] == block.doc[:-1])
-    words = np.diff(block.first)
-    share = np.bincount(block.doc, again, n) / np.maximum(words, 1)
+    """Of each bucket, counts and numbers of documents in raw and target text; and target's share of ordinary words."""
+
+    counts: np.ndarray  # rows: raw counts, target counts, raw documents, target documents
+    share: float
+
+
+def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document of every word and run of punctuation, in order."""
+    starts, hashes, docs = [], [], []
+    for kind in (ALNUM, MARKS):
+        block.words(kind)
+        starts.append(block.start)
+        hashes.append(block.word_hashes())
+        docs.append(block.doc)
+    order = np.argsort(np.concatenate(starts), kind="stable")
+    return np.concatenate(hashes)[order], np.concatenate(docs)[order]
+
+
+def features(block: Block, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, bucket and count of every n-gram of up to `order` words, by document and bucket."""
+    h, doc = tokens(block)
+    n = block.hi - block.lo
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+    share = np.bincount(doc, again, n) / np.maximum(np.bincount(doc, minlength=n), 1)
+    h, doc = h[~again], doc[~again]
+    found = [(doc, h)]
+    for k in range(2, order + 1):
+        inside = doc[k - 1 :] == doc[: len(doc) - k + 1]
+        found.append((doc[k - 1 :][inside], grams(h, k)[inside]))
     for tenth in range(1, 10):
-        level = int(mix(np.array([tenth], U64) + U64(1 << 40))[0] >> U64(64 - BITS))
-        pairs.append((np.flatnonzero(share * 10 >= tenth) << BITS) | level)
-    pairs = np.unique(np.concatenate(pairs))
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+        at = np.flatnonzero(share * 10 >= tenth)
+        found.append((at, mix(np.full(len(at), (1 << 40) + tenth, U64))))
+    doc, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    pair, count = np.unique(doc.astype(np.int64) << BITS | (h >> U64(64 - BITS)).astype(np.int64), return_counts=True)
+    return pair >> BITS, pair & ((1 << BITS) - 1), count
+
 
+def log_ratios(counts: np.ndarray, share: float) -> np.ndarray:
+    """Log ratio of target's to raw's model where it counts, else 0. counts has the four rows of a Model."""
+    raw, target, raw_docs, target_docs = counts
+    ratio = np.log((target + 1) / (raw * share + 1))
+    expected = raw_docs * share
+    sure = np.abs(target_docs - expected) > SIGMAS * np.sqrt(expected + 1)
+    return np.where(sure & (np.abs(ratio) > np.log(FACTOR)), ratio, 0.0)
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int) -> np.ndarray:
-    """Of each bucket, log of target's count over the count expected from raw; 0 where chance may explain it."""
-    expected = raw * (n_target / max(n_raw, 1))
-    chance = SIGMAS * np.sqrt(expected + 1)
-    return np.where(np.abs(target - expected) > chance, np.log((target + PSEUDO) / (expected + PSEUDO)), 0.0).astype(np.float32)
+
+def log_weights(block: Block, good: np.ndarray, model: Model) -> np.ndarray:
+    """Log importance weight of each document of a block; good: whether it is part of target."""
+    doc, bucket, count = features(block)
+    own = good[doc]
+    without = model.counts[:, bucket] - np.stack([count, count * own, np.ones(len(own)), own])
+    return np.bincount(doc, count * log_ratios(without, model.share), block.hi - block.lo)
 
 
 def bounded_labels(labels: DataFrame, most: int = MAX_LABELS) -> tuple[np.ndarray, np.ndarray]:
@@ -92,146 +115,184 @@ def _labelled(ids: np.ndarray, known: np.ndarray, good: np.ndarray) -> tuple[np.
     return has, has & (good[at] if len(known) else False)
 
 
-def _held_out(ids: np.ndarray) -> np.ndarray:
-    """A quarter of all keys by hash: their labels set the threshold, the others' labels the model."""
-    return mix(ids.astype(np.int64).view(U64)) >> U64(62) == 0
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False)
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> Model:
-    """Counts of all documents and of those labelled good, and the threshold that parts good from bad best.
+def fit(docs: DataFrame, labels: tuple[np.ndarray, np.ndarray]) -> Model:
+    """Counts over all documents, and over those labelled good.
 
-    Sent to the driver: at most `most` labels, 2**18 buckets and 4096 bins of scores. Without good or without
-    bad labels every document is accepted.
+    A task sends its counts in packed slices, each slice is summed in one task, and the driver gets 2**BITS
+    buckets in all, whatever the size of docs.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(bounded_labels(labels, most))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(labels)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target, n = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), np.zeros(2, np.int64)
+        total = np.zeros((4, 1 << BITS), np.int64)
         for batch in batches:
-            ids = _ids(batch.column(0))
-            good = _labelled(ids, *sent.value)[1] & ~_held_out(ids)
+            good = _labelled(_ids(batch.column(0)), *sent.value)[1]
             for block in blocks(batch.column(1)):
-                doc, bucket = features(block)
-                own = good[block.lo : block.hi]
-                raw += np.bincount(bucket, minlength=1 << BITS)
-                target += np.bincount(bucket[own[doc]], minlength=1 << BITS)
-                n += (len(own), own.sum())
-        some = np.flatnonzero(raw)
-        cols = (np.append(some, -1), np.append(raw[some], n[0]), np.append(target[some], n[1]))
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["bucket", "raw", "target"])
-
-    counts = docs.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    at = counts.bucket.to_numpy()
-    raw[at[at >= 0]], target[at[at >= 0]] = counts.raw[at >= 0], counts.target[at >= 0]
-    n_raw, n_target = (int(counts[c][at < 0].sum()) for c in ("raw", "target"))
-    model = Model(log_ratios(raw, target, n_raw, n_target), -np.inf)
-    return Model(model.ratios, _threshold(docs, sent, model))
-
-
-def _bin(score: np.ndarray) -> np.ndarray:
-    """Scores on a signed square-root scale: fine about 0, and bound."""
-    return np.clip(np.sign(score) * np.sqrt(np.abs(score)) * 32, -BINS // 2, BINS // 2 - 1).astype(np.int64)
-
-
-def _threshold(docs: DataFrame, sent, model: Model) -> float:
-    ratios = docs.sparkSession.sparkContext.broadcast(model.ratios)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                doc, bucket, c = features(block)
+                own = good[block.lo : block.hi][doc]
+                for row, (b, w) in zip(total, ((bucket, c), (bucket[own], c[own]), (bucket, None), (bucket[own], None)), strict=True):
+                    row += np.bincount(b, w, 1 << BITS).astype(np.int64)
+        slices = total.reshape(4, -1, 1 << SLICE).swapaxes(0, 1)
+        some = np.flatnonzero(slices.any(axis=(1, 2)))
+        packed = [zstandard.compress(slices[i].tobytes(), 1) for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], ["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
         for batch in batches:
-            ids = _ids(batch.column(0))
-            has, good = _labelled(ids, *sent.value)
-            own = np.flatnonzero(has & _held_out(ids))
-            _, scores = _scores(batch.column(1).take(pa.array(own)), ratios.value)
-            yield pa.RecordBatch.from_arrays([pa.array(_bin(scores)), pa.array(good[own].astype(np.int64))], ["bin", "good"])
-
-    bins = docs.mapInArrow(score, "bin long, good long").groupBy("bin").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")).toPandas().sort_values("bin")
-    if not len(bins) or not bins.good.sum() or not bins.bad.sum():
-        return -np.inf
-    gain = (bins.bad.cumsum() / bins.bad.sum() - CARE * bins.good.cumsum() / bins.good.sum()).to_numpy()
-    if gain.max() <= 0.05:  # nothing found that tells them apart
-        return -np.inf
-    # bins up to the last with the best gain are rejected; the edge lies half way to the next
-    at = int(np.flatnonzero(gain >= gain.max() - 1e-12)[-1])
-    own = bins.bin.to_numpy()
-    edge = (own[at] + 1 + own[min(at + 1, len(own) - 1)]) / 2
-    return float(np.sign(edge) * (edge / 32) ** 2)
-
-
-def _scores(texts: pa.Array, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log weight of each text, and the part of it from features that speak against it, over their chance growth."""
-    out = [np.zeros((2, 0))]
-    against = np.where(ratios < np.log(LESS), ratios, 0)
-    for block in blocks(texts):
-        doc, bucket = features(block)
-        n = block.hi - block.lo
-        out.append(np.stack([np.bincount(doc, ratios[bucket], n), np.bincount(doc, against[bucket], n) / np.sqrt(1 + np.bincount(doc, minlength=n) / FLOOR)]))
-    log_weight, part = np.concatenate(out, axis=1)
-    return log_weight, part
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with log_weight, against and accepted after its columns (columns of these names are replaced)."""
-    docs = docs.drop("log_weight", "against", "accepted")
-    at = docs.columns.index("text")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+            for i, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if i != at:
+                    if at is not None:
+                        yield packed_row(at, total)
+                    at, total = i, np.zeros((4, 1 << SLICE), np.int64)
+                total += np.frombuffer(zstandard.decompress(packed), np.int64).reshape(4, -1)
+        if at is not None:
+            yield packed_row(at, total)
+
+    def packed_row(at: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    sums = _read(docs).mapInArrow(count, schema).repartition("slice").sortWithinPartitions("slice").mapInArrow(add, schema)
+    counts = np.zeros((4, 1 << BITS))
+    for i, packed in sums.collect():  # 2**(BITS - SLICE) rows at most
+        counts[:, i << SLICE : (i + 1) << SLICE] = np.frombuffer(packed, np.int64).reshape(4, -1)
+    return Model(counts, ordinary_share(counts[0], counts[1]))
+
+
+def ordinary_share(raw: np.ndarray, target: np.ndarray) -> float:
+    """The share of target in raw of the middle token, when tokens are in order of their buckets' shares."""
+    if not raw.any():
+        return 0.0
+    share = target / np.maximum(raw, 1)
+    order = np.argsort(share, kind="stable")
+    up_to = np.cumsum(raw[order])
+    return float(share[order][np.searchsorted(up_to, up_to[-1] / 2)])
+
+
+def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
+    """A standard Gumbel number from a hash of each doc_id and the seed."""
+    x = mix(mix(ids.astype(np.int64).view(U64)) ^ U64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return -np.log(-np.log(((x >> U64(12)).astype(np.float64) + 0.5) / float(1 << 52)))
+
+
+def _bin(key: np.ndarray) -> np.ndarray:
+    """Keys on a signed square-root scale: fine about 0, and bound."""
+    return np.clip(np.sign(key) * np.sqrt(np.abs(key)) * 32, -BINS // 2, BINS // 2 - 1).astype(np.int64)
+
+
+class Classifier:
+    """A fitted model with its labels and seed, sent to all tasks."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, seed: int = 42, most: int = MAX_LABELS):
+        context = docs.sparkSession.sparkContext
+        known = bounded_labels(labels, most)
+        self.model, self.seed = fit(docs, known), seed
+        self._sent = context.broadcast((self.model, known))
+
+    def weigher(self):
+        """A function from arrays of doc_ids and texts to log weights and Gumbel keys, for use in tasks."""
+        sent, seed = self._sent, self.seed
+
+        def weigh(ids: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            model, known = sent.value
+            good = _labelled(ids, *known)[1]
+            w = np.concatenate([np.zeros(0), *(log_weights(b, good[b.lo : b.hi], model) for b in blocks(texts))])
+            return w, w + gumbel(ids, seed)
+
+        return weigh
+
+    def fitted_cut(self, docs: DataFrame) -> float:
+        """The key above which documents are selected: the one that parts labelled good from labelled bad best.
+
+        Without good or without bad labels, or if nothing tells them apart, every key is above it.
+        """
+        sent, weigh = self._sent, self.weigher()
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = _ids(batch.column(0))
+                has, good = _labelled(ids, *sent.value[1])
+                own = np.flatnonzero(has)
+                _, key = weigh(ids[own], batch.column(1).take(pa.array(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(_bin(key)), pa.array(good[own].astype(np.int64))], ["bin", "good"])
+
+        bins = _read(docs).mapInArrow(score, "bin long, good long").groupBy("bin").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")).toPandas().sort_values("bin")
+        if not len(bins) or not bins.good.sum() or not bins.bad.sum():
+            return -np.inf
+        gain = (bins.bad.cumsum() / bins.bad.sum() - CARE * bins.good.cumsum() / bins.good.sum()).to_numpy()
+        if gain.max() <= 0.05:
+            return -np.inf
+        # bins up to the last with the best gain are out; the edge lies half way to the next
+        at = int(np.flatnonzero(gain >= gain.max() - 1e-12)[-1])
+        own = bins.bin.to_numpy()
+        edge = (own[at] + 1 + own[min(at + 1, len(own) - 1)]) / 2
+        return float(np.sign(edge) * (edge / 32) ** 2)
+
+
+def kth_key(scored: DataFrame, k: int) -> float:
+    """The k-th greatest gumbel_key: intervals of equal width, and of the one it lies in again, until it stands alone.
+
+    Each round counts 2**12 intervals at most, so that the driver's part doesn't grow. scored is a written table.
+    """
+    lo, hi = scored.agg(F.min("gumbel_key"), F.max("gumbel_key")).first()
+    left = k
+    while lo < hi:
+        width = (hi - lo) / (1 << 12)
+        inside = scored.where(F.col("gumbel_key").between(lo, hi)).groupBy(F.floor((F.col("gumbel_key") - lo) / width).alias("i"))
+        for _, n, low, high in inside.agg(F.count("*"), F.min("gumbel_key"), F.max("gumbel_key")).orderBy(F.desc("i")).collect():
+            if n >= left:
+                lo, hi = low, high
+                break
+            left -= n
+    return lo
+
+
+def classify(docs: DataFrame, labels: DataFrame, fraction: float | None = None, seed: int = 42) -> DataFrame:
+    """One row per document: doc_id, log_weight, gumbel_key, selected.
+
+    selected: whether the key is among the top k, with k a fraction of the rows, rounded, or fitted; keys that
+    tie with the k-th are all selected. Null text counts as empty and weighs 0; a null doc_id draws noise like
+    one key. Unlabelled documents are judged like others; labels of unknown documents, and labels without
+    quality, are ignored; a null toxic counts as 0. Repeated rows stay and are selected alike. Other columns are
+    not read. Empty tables give empty results.
+    """
+    classifier = Classifier(docs, labels, seed)
+    weigh = classifier.weigher()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = sent.value
-            s, against = _scores(batch.column(at), m.ratios)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(against), pa.array(against >= m.threshold)], [*batch.schema.names, "log_weight", "against", "accepted"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("against", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+            w, key = weigh(_ids(batch.column(0)), batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(key)], ["doc_id", "log_weight", "gumbel_key"])
 
+    scored = _read(docs).mapInArrow(run, "doc_id long, log_weight double, gumbel_key double")
+    if fraction is None:
+        return scored.withColumn("selected", F.col("gumbel_key") > classifier.fitted_cut(docs))
+    scored = cut(scored, "scores")  # read once for each count
+    k = round(fraction * scored.count())
+    return scored.withColumn("selected", F.col("gumbel_key") >= kth_key(scored, k) if k else F.lit(False))
 
-def gumbel(key: str, seed: int) -> Column:
-    """A standard Gumbel number from a hash of the key."""
-    return -F.log(-F.log(uniform(key, seed=seed)))
 
+def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
+    """The rows of docs whose Gumbel key is among the fitted top k, with docs' columns and no others.
 
-def gumbel_top_k(scored: DataFrame, fraction: float, seed: int = 42, key: str = "doc_id") -> DataFrame:
-    """scored with gumbel_key (log weight plus Gumbel noise) and selected: whether it is among the top k.
-
-    k is fraction of the rows, rounded. A histogram of fixed size finds the bin in which the k-th key lies;
-    only that bin's rows are ranked. scored must be stored, as it is read more than once.
-    """
-    keyed = scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(key, seed))
-    ends = keyed.agg(F.min("gumbel_key"), F.max("gumbel_key"), F.count("*")).first()
-    k = round(fraction * ends[2])
-    if not ends[2]:
-        return keyed.withColumn("selected", F.lit(False))
-    width = max(ends[1] - ends[0], 1e-9) / (1 << 16)
-    keyed = keyed.withColumn("_bin", F.floor((F.col("gumbel_key") - ends[0]) / width))
-    above, edge = 0, -1
-    for b, n in keyed.groupBy("_bin").count().orderBy(F.desc("_bin")).collect():  # at most 65537 bins
-        if above + n > k:
-            edge = b
-            break
-        above += n
-    near = Window.partitionBy("_bin").orderBy(F.desc("gumbel_key"), key)
-    at_edge = keyed.where(F.col("_bin") == edge).withColumn("selected", F.row_number().over(near) <= k - above)
-    return keyed.where(F.col("_bin") != edge).withColumn("selected", F.col("_bin") > edge).unionByName(at_edge).drop("_bin")
-
-
-def classify(docs: DataFrame, labels: DataFrame, fraction: float = 0.5, seed: int = 42) -> DataFrame:
-    """One row per document: doc_id, log_weight, against, accepted, gumbel_key, selected.
-
-    Null text counts as empty. Unlabelled documents are judged like others; labels of unknown documents, and
-    labels without quality, are ignored; a null toxic counts as 0. Repeated rows stay. Other columns are not read.
+    Rows are judged as by classify; columns of any name pass through as they are.
     """
-    model = fit(docs, labels)
-    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
-    return gumbel_top_k(cut(scored, "scores"), fraction, seed)
+    classifier = Classifier(docs, labels, seed)
+    cut_key, weigh = classifier.fitted_cut(docs), classifier.weigher()
+    i, j = docs.columns.index("doc_id"), docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, key = weigh(_ids(batch.column(i)), batch.column(j))
+            yield batch.filter(pa.array(key > cut_key))
 
-def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier accepts, with docs' columns."""
-    return score(docs, fit(docs, labels)).where("accepted").select(*docs.columns)
+    return docs.mapInArrow(run, docs.schema)
