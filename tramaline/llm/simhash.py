@@ -8,12 +8,16 @@ and a whole group is pruned as soon as the differences added up so far exceed th
 Over a cluster the sorted distinct fingerprints are range partitions, one index each. The partitions'
 own shared patterns form the top of the index (one row per partition of a million fingerprints); each fingerprint visits the partitions that the top doesn't prune. Partitions link what
 they hold into forests, and connected_components joins these.
+
+For near copies by the similarity of their shingles, as in keep_one, a text gets a wide fingerprint whose tables
+are indexed alike; pairs found are told by the whole fingerprint, or else verified on their shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from functools import partial
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +25,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramaline.llm.textblock import U64, binary
+from tramaline.llm.textblock import U64, binary, mix
 from tramaline.operators.graph import connected_components
 from tramaline.session import cut
 
 FAN_OUT = 8
 #: Distinct fingerprints in one partition of the index, and the least number of partitions.
 PER_PARTITION, LEAST_PARTITIONS = 1_000_000, 32
-ONES = U64(0xFFFFFFFFFFFFFFFF)
+#: Near copies: words of a shingle and Jaccard similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+#: A wide fingerprint has WORDS 64-bit words, read as TABLES codes of TABLE_BITS bits. Texts of similarity 0.8 differ
+#: in 15 % of all bits: in a table in at most TABLE_RADIUS bits in 18 % of cases, in no table in 0.7 % of cases.
+WORDS, TABLES, TABLE_BITS, TABLE_RADIUS = 11, 25, 28, 2
+#: Of all 704 bits 107 differ on average at 0.8, with a deviation of 9.5: near for certain, and not near for certain.
+SURE, FAR = 60, 148
+#: Nodes compared with one node in one task; rounds of verifying each component's nearest pair.
+PER_TASK, NEAREST_ROUNDS = 1000, 6
+_SALT = mix(np.arange(1, 8 * WORDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
 def simhash(text: bytes, shingle: int = 3) -> int:
@@ -123,40 +136,73 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def _link(radius: int):
-    """Of one partition: its own fingerprints (home) and those that visit it, to a forest of links."""
+    """Of one partition, home rows first: its own fingerprints and those that visit it, to a forest of links.
+
+    The home rows are indexed once and visitors stream through the index, so that a task holds no visitors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: int | None = None
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            part = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if lo == hi:
-                    continue
-                if part[lo] != at:
-                    if held:
-                        yield links(held)
-                    held, at = [], part[lo]
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield links(held)
-
-    def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
-        home, rank, fp, root = (t.column(i).to_numpy() for i in (1, 2, 3, 4))
-        order = np.lexsort((rank, ~home))  # home rows first, in Gray order
-        fp, root, n = fp[order].view(U64), root[order], int(home.sum())
-        label = np.arange(len(fp))
-        if n:
-            for who, item in GrayIndex(fp[:n], fp[:n]).search(fp, radius):
+        for home, visitors in partitions(batches):
+            order = np.argsort(home.column("gray").to_numpy(), kind="stable")
+            fp, root = home.column("fp").to_numpy()[order].view(U64), home.column("root").to_numpy()[order]
+            index, label = GrayIndex(fp, fp), np.arange(len(fp))
+            for who, item in index.search(fp, radius):
                 merge(label, who, item)
-        own = np.flatnonzero(label != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(root[own]), pa.array(root[label[own]])], ["a", "b"])
+            for batch in visitors:
+                for who, item in index.search(batch.column("fp").to_numpy().view(U64), radius):
+                    # each visitor joins the items that it finds, and is linked to one of them
+                    _, first = np.unique(who, return_index=True)
+                    own = np.zeros(len(batch), np.int64)
+                    own[who[first]] = item[first]
+                    merge(label, own[who], item)
+                    yield _links(batch.column("root").to_numpy()[who[first]], root[item[first]])
+            own = np.flatnonzero(label != np.arange(len(fp)))
+            yield _links(root[own], root[label[own]])
 
     return run
 
 
+def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Iterator[pa.RecordBatch]]]:
+    """Home rows and a stream of visitors of each part, from rows sorted by part, home rows first."""
+    pending: list[pa.RecordBatch] = []
+
+    def pieces() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column("part").to_numpy() * 2 + ~batch.column("home").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)]
+            yield from (batch.slice(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi > lo)
+
+    stream = pieces()
+
+    def following(part: int, home: bool) -> Iterator[pa.RecordBatch]:
+        for piece in stream:
+            if piece.column("part")[0].as_py() != part or piece.column("home")[0].as_py() != home:
+                pending.append(piece)
+                return
+            yield piece
+
+    while True:
+        first = pending.pop() if pending else next(stream, None)
+        if first is None:
+            return
+        part = first.column("part")[0].as_py()
+        if not first.column("home")[0].as_py():
+            continue  # visitors of a part without home rows find nothing
+        home = pa.Table.from_batches([first, *following(part, True)]).combine_chunks()
+        rest = pending.pop() if pending else None
+        if rest is not None and rest.column("part")[0].as_py() != part:
+            pending.append(rest)
+            rest = None
+        visitors = chain([rest], following(part, False)) if rest is not None else iter(())
+        yield home, visitors
+        for _ in visitors:
+            pass
+
+
 def near_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     """Forest of links a, b (roots) among distinct fingerprints: nodes has fp and root.
 
@@ -183,7 +229,7 @@ def near_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[item]), pa.array(ids[item] == part[who]), *(batch.column(i).take(take) for i in (1, 2, 3))], ["part", "home", "gray", "fp", "root"])
 
     routed = sorted_nodes.mapInArrow(route, "part int, home boolean, gray long, fp long, root long")
-    return routed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_link(radius), "a long, b long")
+    return routed.repartition(parts, "part").sortWithinPartitions("part", F.desc("home")).mapInArrow(_link(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,17 +254,225 @@ def hex_fingerprint(fp: str = "fp") -> F.Column:
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """docs without near duplicates: of each component the row with the least doc_id stays, with all its columns.
+def shingles(text: bytes, k: int = SHINGLE) -> set[bytes]:
+    """Runs of k words, lower-cased; of fewer words, the one run of all; of none, nothing."""
+    words = text.lower().split()
+    if not words:
+        return set()
+    k = min(k, len(words))
+    return set(map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
+
+
+def wide(hashes: np.ndarray) -> np.ndarray:
+    """A fingerprint of WORDS words from the hashes of distinct shingles.
+
+    Bit by bit, whether the mean over all shingles of a number in 0..255 is above the middle. Numbers, not bits,
+    so that the difference of small sets, too, follows their similarity.
+    """
+    total = np.zeros(64 * WORDS, np.int64)
+    for lo in range(0, len(hashes), 255):
+        total += mix(hashes[lo : lo + 255, None] ^ _SALT).view(np.uint8).sum(0, dtype=np.uint16)
+    return np.packbits(2 * total > 255 * len(hashes), bitorder="little").view(U64)
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, the identity of its set of shingles (128 bits) and its wide fingerprint; a null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = binary(batch.column(1))
+            data, same, prints = data.tobytes(), [], []
+            for a, b in zip(off, off[1:], strict=False):
+                own = shingles(data[a:b], shingle)
+                h = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, own), U64, len(own)))
+                same.append(xxhash.xxh128_digest(h.tobytes()))
+                prints.append(wide(h).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(prints, pa.binary())], ["doc_id", "same", "print"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, same binary, print binary")
+
+
+def _prints(column: pa.Array) -> np.ndarray:
+    data, off = binary(column)
+    return data[off[0] : off[-1]].view(U64).reshape(-1, WORDS) if len(column) else np.zeros((0, WORDS), U64)
+
+
+def table_codes(prints: np.ndarray) -> np.ndarray:
+    """Of each wide fingerprint, its TABLES windows of TABLE_BITS bits."""
+    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, : TABLES * TABLE_BITS].reshape(-1, TABLES, TABLE_BITS)
+    whole = np.zeros((len(prints), TABLES, 64), np.uint8)
+    whole[:, :, :TABLE_BITS] = bits
+    return np.packbits(whole, axis=2, bitorder="little").view(U64)[:, :, 0]
+
+
+def gray_order(codes: np.ndarray) -> np.ndarray:
+    """Places that sort codes by Gray rank."""
+    x = codes.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        x ^= x >> U64(k)
+    return np.argsort(x, kind="stable")
+
+
+def _tables(prefix: int):
+    """Rows (part, home, code, root, print) of each node in each table; a part is a table and the code's first bits.
+
+    A node visits the parts whose first bits differ in at most TABLE_RADIUS, those of greater number only, so that
+    each pair of parts meets once.
+    """
+    near = [np.array([v], np.int64) for v in range(1 << prefix)]
+    for v in range(1 << prefix):
+        near[v] = np.array([u for u in range(v, 1 << prefix) if (u ^ v).bit_count() <= TABLE_RADIUS], np.int64)
+    most = max(map(len, near))
+    padded = np.array([np.concatenate([x, np.full(most - len(x), -1)]) for x in near])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), 1024):
+                batch = whole.slice(lo, 1024)
+                codes = table_codes(_prints(batch.column("print")))
+                first = (codes >> U64(TABLE_BITS - prefix)).astype(np.int64)
+                to = padded[first]  # node, table, visit
+                node, table, visit = np.nonzero(to >= 0)
+                v = to[node, table, visit]
+                cols = [(table << prefix | v).astype(np.int32), v == first[node, table], codes[node, table].view(np.int64)]
+                take = pa.array(node)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), batch.column("root").take(take), batch.column("print").take(take)], ["part", "home", "code", "root", "print"])
+
+    return run
+
+
+def _close(batches: Iterator[pa.RecordBatch], prefix: int) -> Iterator[pa.RecordBatch]:
+    """Pairs a, b of one table by their wide fingerprints: d is their distance, or -1 if they are near for certain.
 
-    Of rows that repeat one doc_id, one stays. Rows without a doc_id can't be named as copies and stay.
+    Certain pairs come as a forest. Of the others, each comes from the first table that finds it, and only if the
+    certain ones here don't join it.
+    """
+    def doubtful(part: int, x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        found = np.bitwise_count(table_codes(x) ^ table_codes(y)) <= TABLE_RADIUS
+        first = found.argmax(1) == part
+        return _pairs(a[first], b[first], d[first])
+
+    for home, visitors in partitions(batches):
+        code = home.column("code").to_numpy().view(U64)
+        order = gray_order(code)
+        table = home.column("part")[0].as_py() >> prefix
+        code, root, prints = code[order], home.column("root").to_numpy()[order], _prints(home.column("print").combine_chunks())[order]
+        index, label = GrayIndex(code, code), np.arange(len(code))
+        maybe: list[tuple[np.ndarray, ...]] = []
+        for who, item in index.search(code, TABLE_RADIUS):
+            own = (who < item) & (label[who] != label[item])
+            who, item = who[own], item[own]
+            d = np.bitwise_count(prints[who] ^ prints[item]).sum(1)
+            sure = d <= SURE
+            merge(label, who[sure], item[sure])
+            may = ~sure & (d <= FAR)
+            maybe.append((who[may], item[may], d[may]))
+        for who, item, d in maybe:
+            own = label[who] != label[item]
+            who, item = who[own], item[own]
+            yield doubtful(table, prints[who], prints[item], root[who], root[item], d[own])
+        own = np.flatnonzero(label != np.arange(len(code)))
+        yield _pairs(root[own], root[label[own]], np.full(len(own), -1))
+        for batch in visitors:
+            theirs, names = _prints(batch.column("print")), batch.column("root").to_numpy()
+            for who, item in index.search(batch.column("code").to_numpy().view(U64), TABLE_RADIUS):
+                d = np.bitwise_count(theirs[who] ^ prints[item]).sum(1)
+                sure = np.flatnonzero(d <= SURE)
+                # one link for each component that a visitor is certain to be in
+                _, once = np.unique(np.stack([who[sure], label[item[sure]]]), axis=1, return_index=True)
+                yield _pairs(names[who[sure[once]]], root[item[sure[once]]], np.full(len(once), -1))
+                may = (d > SURE) & (d <= FAR)
+                who, item = who[may], item[may]
+                yield doubtful(table, theirs[who], prints[item], names[who], root[item], d[may])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int32))], ["a", "b", "d"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of the distinct pairs a, b whose texts (doc_id, text) have at least the similarity."""
+    tasks = pairs.groupBy("a").agg(F.expr(f"1 + count(*) div {PER_TASK}").alias("n"))
+    dealt = pairs.join(tasks, "a").select("a", "b", F.expr("pmod(xxhash64(b), n)").alias("part"))
+    sides = dealt.select("a", "part", F.col("b").alias("doc_id")).union(dealt.select("a", "part", F.col("a").alias("doc_id")).distinct())
+    rows = sides.join(texts, "doc_id").select("a", "part", (F.col("doc_id") != F.col("a")).alias("other"), "doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, set()
+        for batch in batches:
+            a, b = [], []
+            for x, part, other, y, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if not other:
+                    at, own = (x, part), shingles(text, shingle)
+                    continue
+                if at != (x, part):
+                    raise RuntimeError(f"text of {x} is missing")
+                s = shingles(text, shingle)
+                if min(len(s), len(own)) >= similarity * max(len(s), len(own)) - 1e-6:
+                    both = len(s & own)
+                    if both / (len(s) + len(own) - both) >= similarity:
+                        a.append(x)
+                        b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "other").mapInArrow(run, "a long, b long")
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs a, b, d whose ends the links don't join, with the component of each end."""
+    parts = cut(connected_components(links, "a", "b"), "parts")
+    ends = pairs
+    for x in ("a", "b"):
+        named = parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        ends = ends.join(named, x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    return cut(ends.where("ca <> cb"), "apart")
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Links a, b among nodes (root, print), whose components are those of all pairs with the similarity.
+
+    docs has the text of each root. Pairs that are near for certain need no text. Of the others, the nearest pair
+    of each component is verified first, as it may join what many pairs would join again; then all that is left.
+    """
+    n = nodes.count()
+    prefix = min(10, max(0, (-(-n // PER_PARTITION) - 1).bit_length()))
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), TABLES)
+    rows = nodes.mapInArrow(_tables(prefix), "part int, home boolean, code long, root long, print binary")
+    rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.desc("home"))
+    found = cut(rows.mapInArrow(partial(_close, prefix=prefix), "a long, b long, d int"), "pairs")
+    links = found.where("d < 0").select("a", "b")
+    pairs = _apart(found.where("d >= 0"), links)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    for _ in range(NEAREST_ROUNDS):
+        if not (left := pairs.count()):
+            break
+        both = pairs.select(F.col("ca").alias("c"), "d", "a", "b").union(pairs.select(F.col("cb").alias("c"), "d", "a", "b"))
+        near = both.groupBy("c").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        near = cut(near, "nearest")
+        if near.count() * 2 > left:
+            break
+        links = cut(links.union(verified(near, texts, shingle, similarity)), "links")
+        pairs = _apart(pairs.select("a", "b", "d").join(near, ["a", "b"], "left_anti"), links)
+    return links.union(verified(pairs.select("a", "b"), texts, shingle, similarity))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without near copies: of each component the row with the least doc_id stays, with all its columns.
+
+    Texts link when the Jaccard similarity of their sets of shingles is at least `similarity` (0.8 or more, for
+    which the tables are made), and through others. Texts without words are copies of each other; null counts as
+    empty. Of rows that repeat one doc_id, one stays. Rows without a doc_id can't be named as copies and stay.
     """
-    near = cut(near_duplicates(docs.select("doc_id", "text"), shingle, radius), "components")
-    kept = near.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    n = near.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
+    named, n = docs.where("doc_id is not null"), docs.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if n[1] != n[2]:
+        named = cut(named.dropDuplicates(["doc_id"]), "once")  # written, as the row that stays may be any
+    prints = cut(wide_fingerprints(named.select("doc_id", "text"), shingle), "prints")
+    # equal sets have equal fingerprints, so any row's will do
+    nodes = cut(prints.groupBy("same").agg(F.min("doc_id").alias("root"), F.any_value("print").alias("print")).select("root", "print"), "nodes")
+    links = similar_links(nodes, named, shingle, similarity)
+    copies = connected_components(links, "a", "b").where("node <> component").select(F.col("node").alias("root"))
+    kept = cut(nodes.select("root").join(copies, "root", "left_anti"), "kept")
+    out = named.join(kept.withColumnRenamed("root", "doc_id"), "doc_id", "left_semi")
     if n[0] != n[1]:
-        out = out.dropDuplicates(["doc_id"])
-    if n[0] != near.count():
         out = out.unionByName(docs.where("doc_id is null"))
     return out.select(*docs.columns)
