@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tramaline.functions import identity as I
 from tramaline.functions import money as M
 from tramaline.functions import text as T
+from tramaline.operators import ledger as L
 from tramaline.operators.graph import connected_components
-from tramaline.operators.layout import anchor_clusters, column_gutters, greedy_batches, ordered, stacked_blocks
+from tramaline.operators.folds import anchor_clusters, greedy_batches, typed_batches
+from tramaline.operators.layout import column_gutters, page_order, stacked_blocks, trailing_folios
+from tramaline.operators.pairs import word_recall
+from tramaline.operators.tables import insert_if_absent
 from tramaline.sources.html import html_segments
 from tramaline.streaming.jobs import cooldown_alerts, drained
 
@@ -62,13 +67,25 @@ def test_components(spark):
 
 def test_reading_order():
     boxes = [(0, 0, 100, 10, "title"), (0, 20, 45, 30, "l1"), (55, 20, 100, 30, "r1"), (0, 40, 45, 50, "l2"), (55, 40, 100, 50, "r2"), (0, 90, 100, 99, "foot")]
+    read = lambda rows: [rows[i][4] for i in page_order(np.array([r[:4] for r in rows], float))]
     for turn in range(6):
-        assert [b[4] for b in ordered(boxes[turn:] + boxes[:turn])] == ["title", "l1", "l2", "r1", "r2", "foot"]
+        assert read(boxes[turn:] + boxes[:turn]) == ["title", "l1", "l2", "r1", "r2", "foot"]
+    # a line without columns of its own stays a band, though it leaves the corridor above free
+    short = [*boxes[1:5], (0, 60, 40, 70, "tail"), (0, 90, 100, 99, "foot")]
+    assert read(short) == ["l1", "l2", "r1", "r2", "tail", "foot"]
+    # columns at other places are read on their own
+    other = [(0, 0, 45, 10, "a"), (55, 0, 100, 10, "b"), (0, 20, 20, 30, "c"), (30, 20, 100, 30, "d")]
+    assert read(other) == ["a", "b", "c", "d"]
+    assert read([(5, 5, 5, 5, "x"), (5, 5, 5, 5, "y")]) == ["x", "y"] and read([(0, 0, 1, 1, "x")]) == ["x"]
 
 
 def test_batches_and_clusters(spark):
     t = spark.createDataFrame([("d", i, "x" * n) for i, n in enumerate([5, 6, 20, 3, 3, 3, 3])], "g string, seq bigint, text string")
     assert [r.batch for r in greedy_batches(t, "g", 3, 12).orderBy("seq").collect()] == [0, 0, 1, 2, 2, 2, 3]
+    k = spark.createDataFrame([("d", i, x) for i, x in enumerate([1, 1, 2, 2, 2, 2, 2, 1])], "g string, seq bigint, kind int")
+    assert [r.batch for r in typed_batches(k, ["g"], 2, 4).orderBy("seq").collect()] == [0, 0, 1, 1, 1, 1, 2, 2]
+    long = spark.createDataFrame([("e", 400, "x")] + [("d", i, "y") for i in range(30_000)], "g string, seq bigint, text string")
+    assert greedy_batches(long, "g", 300, 18_000).where("g = 'd'").selectExpr("max(batch)", "count(*)").first() == (99, 30_000)
     c = spark.createDataFrame([("d", i, float(x)) for i, x in enumerate([0, 2, 4, 10])], "g string, seq bigint, x double")
     assert [r.cluster for r in anchor_clusters(c, ["g"], "x", 3.0).orderBy("seq").collect()] == [0, 0, 1, 2]
 
@@ -96,3 +113,43 @@ def test_blocks_and_gutters(spark):
     gaps = [("p", n, 50 + n, 70) for n in range(4)] + [("p", 1, 10, 14), ("p", 9, 50, 70)]
     found = column_gutters(spark.createDataFrame(gaps, "page string, line bigint, x0 bigint, x1 bigint"), ["page"], 3, 5.0).collect()
     assert [tuple(r) for r in found] == [("p", 53.0, 70.0, 4)]
+
+
+def test_rules_by_hand(spark):
+    """Cases that the queries' own tables don't hold."""
+    assert values(spark, I.phone_operator(F.col("x")), ["684 12 34 56", "+237 685123456", "237689123456", "677123456", "65412345", "655123456", "220123456", None]) == ["mtn", "orange", "orange", "mtn", None, "orange", None, None]
+    assert values(spark, I.phone_operator(F.col("x")), ["684123456", "699 123 456", "6541234567"]) == ["mtn", "orange", None]
+    blocked, allowed = ["trash.net", "example.org"], ["good.example.org"]
+    assert values(spark, I.is_disposable(F.col("x"), blocked, allowed), ["a.trash.net", "x.example.org", "good.example.org", "sub.good.example.org", "net"]) == [True, True, False, False, False]
+
+    def copied(source, target):
+        row = spark.createDataFrame([(source, target)], "s array<string>, t array<string>")
+        return row.select(T.copied_run(F.col("s"), F.col("t"))).first()[0]
+
+    assert copied(["a", "b", "c"], ["x", "y", "c"]) and copied(["a", "7", "c"], ["x", "7", "c"])
+    assert not copied(["a", "b"], ["a", "b"]) and not copied(["a", "7", "c"], ["x", "7", "z"]) and not copied(["a"], ["a"])
+
+    rows = spark.createDataFrame([("p", 0, 100.0, "3"), ("p", 1, 102.4, "17"), ("p", 2, 49.9, "5"), ("p", 3, 101.0, "x"), ("p", 4, 60.0, "8"), ("p", 5, 62.6, "9")], "page string, line bigint, x1 double, token string")
+    assert sorted(r.line for r in trailing_folios(rows, ["page"]).collect()) == [0, 1]  # on either side of a fixed bound
+
+    there = spark.createDataFrame([(1, 50)], "k bigint, v bigint")
+    new = spark.createDataFrame([(1, 3), (2, 9), (2, 7)], "k bigint, v bigint")
+    assert sorted(map(tuple, insert_if_absent(there, new, ["k"], "v").collect())) == [(1, 50), (2, 7)]
+
+    pairs = spark.createDataFrame([(1, "a b b c", "b b b d"), (2, "", "x")], "k bigint, a string, b string")
+    assert {r.k: r.recall for r in word_recall(pairs, ["k"], "a", "b").collect()} == {1: 0.5, 2: 0.0}
+
+
+def test_refunds(spark):
+    schema = "document_id bigint, line bigint, part bigint, kind string, pages bigint, refunded boolean, status string"
+    rows = [(1, 1, 0, "plan", 5, False, "P"), (1, 2, 0, "credits", 4, False, "P"), (1, 3, 0, "credits", 2, True, "P"), (2, 1, 0, "plan", 6, False, "O"), (2, 2, 0, "credits", 3, False, "O"), (3, 1, 0, "plan", 1, False, "F")]
+    usage = spark.createDataFrame(rows, schema)
+    once = L.refund_documents(usage, F.col("status") == "P")
+    assert once.count() == 6 and once.agg(F.sum("credits_back")).first()[0] == 4
+    assert L.refund_documents(once.drop("credits_back"), F.col("status") == "P").agg(F.sum("credits_back")).first()[0] == 0
+    part = L.refund_unfinished(usage.where("not refunded").withColumn("kept", F.when(F.col("status") == "O", 5)), "kept")
+    assert {(r.document_id, r.line): (r.pages, r.given_back) for r in part.collect()} == {(1, 1): (5, 0), (1, 2): (4, 0), (2, 1): (5, 1), (2, 2): (0, 3), (3, 1): (1, 0)}
+    again = L.rebill_documents(once, F.col("status") == "P").agg(F.sum("pages_again"), F.sum("credits_again"), F.count_if("refunded")).first()
+    assert tuple(again) == (11, 6, 0)
+    lines = usage.withColumn("format", F.when(F.col("document_id") == 2, "pdf").otherwise("docx"))
+    assert [(r.document_id, r.line) for r in L.partial_delivery(lines, F.col("status") != "F", 1).where("delivered").collect()] == [(2, 1)]

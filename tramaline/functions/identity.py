@@ -52,6 +52,30 @@ def domain_suffixes(domain: Column) -> Column:
     return F.filter(all_of, lambda x: x.contains("."))
 
 
+def has_suffix(domain: Column, of: list[str]) -> Column:
+    """Whether a domain or one above it is on the list."""
+    return F.arrays_overlap(domain_suffixes(domain), F.array(*map(F.lit, of)))
+
+
+def is_disposable(domain: Column, blocked: list[str], allowed: list[str]) -> Column:
+    """Whether a domain or one above it is blocked, and none of them is allowed."""
+    return has_suffix(domain, blocked) & ~has_suffix(domain, allowed)
+
+
+#: First digits of Cameroon's mobile numbers by operator.
+MOBILE_PREFIXES = {"mtn": ["650", "651", "652", "653", "654", "67", "680", "681", "682", "683", "684"], "orange": ["655", "656", "657", "658", "659", "685", "686", "687", "688", "689", "69"]}
+
+
+def phone_operator(number: Column, prefixes: dict[str, list[str]] = MOBILE_PREFIXES, country: str = "237") -> Column:
+    """Operator of a number of nine digits, after its country code is dropped; null if there is none."""
+    digits = F.regexp_replace(number, r"\D", "")
+    local = F.regexp_replace(digits, rf"^{country}(?=\d{{9}}$)", "")
+    out = F.lit(None).cast("string")
+    for operator, starts in prefixes.items():
+        out = F.when(local.rlike(rf"^(?:{'|'.join(starts)})") & (F.length(local) == 9), operator).otherwise(out)
+    return out
+
+
 def fingerprint(source: Column, level: Column, location: Column, message: Column) -> Column:
     """Group of an error: 32 hex digits over source, level, place and the head of the message."""
     head = F.substring(F.trim(F.coalesce(message, F.lit(""))), 1, 200)

@@ -47,6 +47,25 @@ def nude_form(x: Text) -> Column:
     return squeezed(F.lower(_unaccented(_c(x))))
 
 
+def run_forms(bare: Text, runs: Text, keys: Column) -> Column:
+    """Nude forms of a text without tags and of its runs (a map) by keys, all in one call; a missing run is empty."""
+    border = "\ue000"
+    all_of = F.concat(F.array(_c(bare)), F.transform(keys, lambda k: F.coalesce(F.element_at(_c(runs), k), F.lit(""))))
+    return F.transform(F.split(nude_form(F.array_join(all_of, border)), border), F.trim)
+
+
+def copied_run(source: Column, target: Column) -> Column:
+    """Of two runs or more, in nude form: one with a letter is as in the source, while another is not."""
+    same = F.zip_with(source, target, lambda a, b: a == b)
+    copied = F.exists(F.arrays_zip(source.alias("s"), same.alias("same")), lambda x: x["same"] & F.rlike(x["s"], F.lit(r"\p{L}")))
+    return (F.size(source) >= 2) & copied & F.exists(same, lambda x: ~x)
+
+
+def error_rate(read: Text, expected: Text) -> Column:
+    """Edits between two whole texts, per character of the first."""
+    return F.levenshtein(_c(read), _c(expected)) / F.greatest(F.length(_c(read)), F.lit(1)).cast("double")
+
+
 def memo_key(x: Text) -> Column:
     """Key of a text in a document's memory: no tags, single spaces, no French spaces about punctuation."""
     t = F.regexp_replace(squeezed(strip_tags(x)), r" ([:;!?%»])", "$1")

@@ -2,43 +2,62 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _islands(boxes: list[tuple], low: int, high: int) -> list[list[tuple]]:
-    """Groups of boxes apart on one axis: a new one where a box begins at or after all ends so far."""
-    groups: list[list[tuple]] = []
-    reach = float("-inf")
-    for b in sorted(boxes, key=lambda b: b[low]):
-        if not groups or b[low] >= reach:
-            groups.append([])
-        groups[-1].append(b)
-        reach = max(reach, b[high])
-    return groups
-
-
-def ordered(boxes: list[tuple]) -> list[tuple]:
-    """Boxes (x0, y0, x1, y1, ...) in reading order: columns from left to right, else bands from the top, each cut again."""
-    if len(boxes) < 2:
-        return boxes
-    columns = _islands(boxes, 0, 2)
-    if len(columns) > 1:
-        return [b for c in columns for b in ordered(c)]
-    bands = _islands(boxes, 1, 3)
-    if len(bands) == 1:
-        return sorted(boxes, key=lambda b: (b[1], b[0]))
-    # neighbouring bands that share a gutter are columns of one piece
-    joined: list[list[tuple]] = []
-    for band in bands:
-        if joined and len(_islands(joined[-1], 0, 2)) > 1 and len(_islands(joined[-1] + band, 0, 2)) > 1:
-            joined[-1] += band
-        else:
-            joined.append(band)
-    if len(joined) == 1:
-        return [b for c in _islands(joined[0], 0, 2) for b in ordered(c)]
-    return [b for j in joined for b in ordered(j)]
+def _blanks(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Intervals of an axis that no box covers, those before the first box and after the last included."""
+    order = np.argsort(lo, kind="stable")
+    end = np.concatenate([[-np.inf], np.maximum.accumulate(hi[order])])
+    begin = np.append(lo[order], np.inf)
+    # boxes may touch; those without extent at the same place aren't parted
+    return np.unique(np.stack([end, begin], 1)[(begin >= end) & ((end == -np.inf) | (begin > lo.min(initial=np.inf)))], axis=0)
+
+
+def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What two lists of intervals have in common."""
+    low, high = np.maximum(a[:, None, 0], b[None, :, 0]).ravel(), np.minimum(a[:, None, 1], b[None, :, 1]).ravel()
+    return np.stack([low, high], 1)[high >= low]
+
+
+def page_order(boxes: np.ndarray) -> np.ndarray:
+    """Rows of boxes (x0, y0, x1, y1) in reading order.
+
+    A piece of the page with a blank from top to bottom is read column by column. Else it is read band by band;
+    bands one below the other that have columns and a corridor in common are one piece. A piece that can't be cut
+    is read by lines.
+    """
+    read: list[int] = []
+    todo = [np.arange(len(boxes))]
+    while todo:
+        own = todo.pop()
+        x0, y0, x1, y1 = boxes[own].T
+        corridors = _blanks(x0, x1)
+        if len(corridors) > 2:
+            todo += [own[np.digitize(x0, corridors[1:-1, 1]) == k] for k in reversed(range(len(corridors) - 1))]
+            continue
+        rungs = _blanks(y0, y1)
+        if len(rungs) <= 2:
+            read += own[np.lexsort((x0, y0))].tolist()
+            continue
+        bands = [own[np.digitize(y0, rungs[1:-1, 1]) == k] for k in range(len(rungs) - 1)]
+        pieces: list[list[np.ndarray]] = []
+        common = None  # corridors of the piece so far, if all of its bands have columns
+        for band in bands:
+            mine = _blanks(boxes[band, 0], boxes[band, 2])
+            mine = mine if len(mine) > 2 else None
+            both = None if common is None or mine is None else _meet(common, mine)
+            if both is not None and len(both) > 2:
+                pieces[-1].append(band)
+                common = both
+            else:
+                pieces.append([band])
+                common = mine
+        todo += [np.concatenate(p) for p in reversed(pieces)]
+    return np.array(read, np.int64)
 
 
 def reading_order(boxes: DataFrame, page: list[str]) -> DataFrame:
@@ -46,43 +65,14 @@ def reading_order(boxes: DataFrame, page: list[str]) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in boxes.schema}
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        order = ordered(list(rows[["x0", "y0", "x1", "y1", "seq"]].itertuples(index=False, name=None)))
-        head = {k: [rows[k].iloc[0]] * len(order) for k in page}
-        return pd.DataFrame({**head, "seq": [b[4] for b in order], "place": range(len(order))})
+        rows = rows.sort_values(["x0", "y0", "x1", "y1", "seq"])  # the order in which rows come doesn't matter
+        order = page_order(rows[["x0", "y0", "x1", "y1"]].to_numpy(float))
+        return rows.iloc[order][[*page, "seq"]].assign(place=range(len(order)))
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in page) + ", seq long, place long"
     return boxes.groupBy(*page).applyInPandas(one, schema)
 
 
-def anchor_clusters(rows: DataFrame, page: list[str], value: str, tolerance: float) -> DataFrame:
-    """rows with cluster (from 0): along value, a new one where the distance to the cluster's first exceeds tolerance."""
-    listed = rows.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "seq"))).alias("items"))
-    start = F.struct(F.lit(-1).cast("long").alias("n"), F.lit(None).cast("double").alias("first"), F.array().cast("array<struct<seq:bigint,cluster:bigint>>").alias("out"))
-
-    def step(s, x):
-        new = s["first"].isNull() | (x["v"] - s["first"] > tolerance)
-        n = F.when(new, s["n"] + 1).otherwise(s["n"])
-        return F.struct(n.alias("n"), F.when(new, x["v"].cast("double")).otherwise(s["first"]).alias("first"), F.concat(s["out"], F.array(F.struct(x["seq"].alias("seq"), n.alias("cluster")))).alias("out"))
-
-    return listed.select(*page, F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("c")).select(*page, "c.seq", "c.cluster")
-
-
-def greedy_batches(texts: DataFrame, group: str, items: int, chars: int) -> DataFrame:
-    """group, seq and batch (from 0): a new batch where the open one would pass so many items or characters."""
-    listed = texts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("seq", F.least(F.length("text"), F.lit(chars)).alias("n")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).alias("count"), F.lit(0).alias("size"), F.array().cast("array<struct<seq:bigint,batch:bigint>>").alias("out"))
-
-    def step(s, x):
-        new = (s["count"] >= items) | ((s["count"] > 0) & (s["size"] + x["n"] > chars))
-        batch = F.when(new, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(
-            batch.alias("batch"), F.when(new, 1).otherwise(s["count"] + 1).alias("count"), F.when(new, x["n"]).otherwise(s["size"] + x["n"]).alias("size"),
-            F.concat(s["out"], F.array(F.struct(x["seq"].alias("seq"), batch.alias("batch")))).alias("out"),
-        )
-
-    return listed.select(group, F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("b")).select(group, "b.seq", "b.batch")
-
-
 def stacked_blocks(lines: DataFrame, page: list[str], height: float = 0.35, edge: float = 0.6) -> DataFrame:
     """page, seq and block (from 0): lines stacked under one another make a block.
 
@@ -137,3 +127,12 @@ def column_gutters(gaps: DataFrame, page: list[str], rows: int, width: float) ->
         return pd.DataFrame({**head, "x0": [f[0] for f in found], "x1": [f[1] for f in found], "lines": [f[2] for f in found]})
 
     return gaps.groupBy(*page).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in page) + ", x0 double, x1 double, lines long")
+
+
+def trailing_folios(last: DataFrame, page: list[str], tolerance: float = 2.5) -> DataFrame:
+    """Of the last words of lines (page's columns, line, x1, token), the bare numbers whose right edge lies within
+    the tolerance of another line's: page numbers of a table of contents."""
+    # in hundredths, as frames of ranges take whole numbers
+    near = Window.partitionBy(*page).orderBy(F.round(F.col("x1") * 100).cast("long")).rangeBetween(round(-100 * tolerance), round(100 * tolerance))
+    numbers = last.where(F.col("token").rlike(r"^[0-9]+$"))
+    return numbers.withColumn("_near", F.count("*").over(near)).where("_near >= 2").drop("_near")

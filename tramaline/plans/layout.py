@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tramaline.operators.layout import anchor_clusters, column_gutters, greedy_batches, reading_order, stacked_blocks
+from tramaline.operators.folds import anchor_clusters, greedy_batches
+from tramaline.operators.layout import column_gutters, reading_order, stacked_blocks, trailing_folios
 from tramaline.plans.base import SEGMENTS, Plans, segments
 from tramaline.sources.html import html_segments
 from tramaline.session import table
@@ -118,11 +119,16 @@ def list_markers(spark, d):
     return t.select("doc_id", "seq", (near(F.lag("rank").over(w), -1) | near(F.lead("rank").over(w), 1)).alias("proven"))
 
 
-@plan("trailing_folios", f"select doc_id, page, edge, count(*) as lines from (select doc_id, page, line, (x + w) // 50 as edge, row_number() over (partition by doc_id, line order by pos desc) as r from {WORDS}) where r = 1 group by 1, 2, 3 having count(*) >= 2")
-def trailing_folios(spark, d):
+#: The last word of every third line is its number, as in a table of contents.
+_LAST = f"(select doc_id, page, line, (x + w)::double as x1, case when line % 3 = 0 then line::varchar else token end as token from (select *, row_number() over (partition by doc_id, line order by pos desc) as r from {WORDS}) where r = 1)"
+
+
+@plan("trailing_folios", f"select doc_id, page, line, token from (select *, count(*) over (partition by doc_id, page order by x1 range between 2.5 preceding and 2.5 following) as n from {_LAST} where regexp_full_match(token, '[0-9]+')) where n >= 2")
+def folios(spark, d):
     r = F.row_number().over(W.partitionBy("doc_id", "line").orderBy(F.desc("pos")))
-    last = words(spark, d).withColumn("r", r).where("r = 1").selectExpr("doc_id", "page", "(x + w) div 50 as edge")
-    return last.groupBy("doc_id", "page", "edge").agg(F.count("*").alias("lines")).where("lines >= 2")
+    last = words(spark, d).withColumn("r", r).where("r = 1")
+    last = last.select("doc_id", "page", "line", (F.col("x") + F.col("w")).cast("double").alias("x1"), F.when(F.col("line") % 3 == 0, F.col("line").cast("string")).otherwise(F.col("token")).alias("token"))
+    return trailing_folios(last, ["doc_id", "page"]).select("doc_id", "page", "line", "token")
 
 
 @plan("anchor_cluster")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tramaline.functions import identity as I
 from tramaline.functions import money as M
+from tramaline.operators import ledger as L
 from tramaline.plans.base import NOW_ORDERS, Plans
 from tramaline.session import table
 
@@ -33,13 +35,14 @@ def users(spark: SparkSession, d: str) -> DataFrame:
 
 
 _KIND = "case l_linenumber % 4 when 0 then 'free_offer' when 1 then 'plan' when 2 then 'credits' else 'legacy' end"
-USAGE = f"(select o_custkey as user_id, o_orderkey as document_id, l_linenumber as line, {_KIND} as kind, cast(l_quantity as bigint) as pages, l_returnflag = 'R' as refunded, l_shipdate as created_at, l_partkey as part from orders join lineitem on l_orderkey = o_orderkey)"
+USAGE = f"(select o_custkey as user_id, o_orderkey as document_id, l_linenumber as line, {_KIND} as kind, cast(l_quantity as bigint) as pages, l_returnflag = 'R' as refunded, l_shipdate as created_at, l_partkey as part, o_orderstatus as status from orders join lineitem on l_orderkey = o_orderkey)"
 
 
 def usage(spark: SparkSession, d: str) -> DataFrame:
-    """The ledger: user_id, document_id, line, kind, pages, refunded, created_at, part."""
+    """The ledger: user_id, document_id, line, kind, pages, refunded, created_at, part, and the document's
+    status: F done, O stopped before its end, P failed."""
     j = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.expr("l_orderkey = o_orderkey"))
-    return j.selectExpr("o_custkey as user_id", "o_orderkey as document_id", "l_linenumber as line", f"{_KIND} as kind", "cast(l_quantity as bigint) as pages", "l_returnflag = 'R' as refunded", "l_shipdate as created_at", "l_partkey as part")
+    return j.selectExpr("o_custkey as user_id", "o_orderkey as document_id", "l_linenumber as line", f"{_KIND} as kind", "cast(l_quantity as bigint) as pages", "l_returnflag = 'R' as refunded", "l_shipdate as created_at", "l_partkey as part", "o_orderstatus as status")
 
 
 PAYMENTS = "(select o_orderkey as payment_id, o_custkey as user_id, case o_orderstatus when 'F' then 'SUCCESSFUL' when 'O' then 'PENDING' else 'FAILED' end as status, cast(round(o_totalprice * 100) as bigint) as amount, case when o_orderkey % 3 = 0 then 'starter' when o_orderkey % 3 = 1 then 'pro' end as plan, o_orderkey % 12 + 1 as months, o_orderkey % 40 as pages, o_orderpriority = '1-URGENT' as card, o_orderdate as created_at from orders)"
@@ -206,29 +209,25 @@ def settle_free_pages(spark, d):
     return summary(spark, d).selectExpr("user_id", "case when unlimited then start_day else least(remaining, start_day) end as from_plan", "case when unlimited then 0L else least(credits, start_day - least(remaining, start_day)) end as from_credits")
 
 
-@plan("refund_document", f"select document_id, count(*) filter (where not refunded) as rows_refunded, coalesce(sum(pages) filter (where not refunded and kind = 'credits'), 0)::bigint as credits_back from {USAGE} where document_id % 5 = 0 group by 1")
+@plan("refund_document", f"select document_id, line, kind, pages, refunded or status = 'P' as refunded, case when not refunded and status = 'P' and kind = 'credits' then pages else 0 end as credits_back from {USAGE}")
 def refund_document(spark, d):
-    t = usage(spark, d).where("document_id % 5 = 0")
-    back = F.coalesce(F.sum(F.when(F.expr("not refunded and kind = 'credits'"), F.col("pages"))), F.lit(0).cast("long"))
-    return t.groupBy("document_id").agg(F.count_if(~F.col("refunded")).alias("rows_refunded"), back.alias("credits_back"))
+    return L.refund_documents(usage(spark, d), F.col("status") == "P").select("document_id", "line", "kind", "pages", "refunded", "credits_back")
 
 
-_GIVEN = f"(select *, greatest(sum(pages) over (partition by document_id) - 20, 0)::bigint as back, coalesce(sum(pages) over (partition by document_id order by (kind <> 'credits')::int, line, part, pages rows between unbounded preceding and 1 preceding), 0)::bigint as prior from {USAGE} where not refunded and document_id % 3 = 0)"
+_GIVEN = f"(select *, case when status = 'O' then greatest(sum(pages) over (partition by document_id) - 20, 0) else 0 end::bigint as back, coalesce(sum(pages) over (partition by document_id order by (kind <> 'credits')::int, line, part, pages rows between unbounded preceding and 1 preceding), 0)::bigint as prior from {USAGE} where not refunded)"
 
 
 @plan("refund_unfinished", f"select document_id, line, kind, pages - least(pages, greatest(back - prior, 0)) as pages, least(pages, greatest(back - prior, 0)) as given_back from {_GIVEN}")
 def refund_unfinished(spark, d):
-    t = usage(spark, d).where("not refunded and document_id % 3 = 0")
-    all_rows = W.partitionBy("document_id")
-    before = all_rows.orderBy((F.col("kind") != "credits").cast("int"), "line", "part", "pages").rowsBetween(W.unboundedPreceding, -1)
-    back = F.greatest(F.sum("pages").over(all_rows) - 20, F.lit(0)) - F.coalesce(F.sum("pages").over(before), F.lit(0))
-    given = F.least("pages", F.greatest(back, F.lit(0)))
-    return t.withColumn("given_back", given).select("document_id", "line", "kind", (F.col("pages") - F.col("given_back")).alias("pages"), "given_back")
+    rows = usage(spark, d).withColumn("kept", F.when(F.col("status") == "O", 20))
+    return L.refund_unfinished(rows.where("not refunded"), "kept").select("document_id", "line", "kind", "pages", "given_back")
 
 
-@plan("rebill_document", f"select user_id, sum(pages)::bigint as pages, min(c.credits) - sum(case when kind = 'credits' then pages else 0 end)::bigint as balance from {USAGE} u join {USERS} c using (user_id) where refunded and document_id % 7 = 0 group by 1")
+@plan("rebill_document", f"select user_id, coalesce(sum(pages) filter (where refunded and status = 'F'), 0)::bigint as pages, min(c.credits) - coalesce(sum(pages) filter (where refunded and status = 'F' and kind = 'credits'), 0)::bigint as balance from {USAGE} u join {USERS} c using (user_id) group by 1")
 def rebill_document(spark, d):
-    t = usage(spark, d).where("refunded and document_id % 7 = 0").groupBy("user_id").agg(F.sum("pages").alias("pages"), F.sum(F.expr("case when kind = 'credits' then pages else 0L end")).alias("used"))
+    # documents that were delivered after all are charged again, to a negative balance if need be
+    again = L.rebill_documents(usage(spark, d), F.col("status") == "F")
+    t = again.groupBy("user_id").agg(F.sum("pages_again").alias("pages"), F.sum("credits_again").alias("used"))
     return t.join(users(spark, d).select("user_id", "credits"), "user_id").select("user_id", "pages", (F.col("credits") - F.col("used")).alias("balance"))
 
 
@@ -293,10 +292,10 @@ def plan_dimensions(spark, d):
     return t.select("user_id", "plan", F.coalesce("storage", F.lit(0).cast("long")).alias("storage"), "monthly", F.coalesce("priority", F.lit(0).cast("long")).alias("priority"), F.coalesce("label", "plan").alias("label"))
 
 
-@plan("partial_delivery", f"select document_id, line from (select document_id, line, row_number() over (partition by document_id order by line) as r from {USAGE} where not refunded and document_id % 4 < 2) where r <= 2")
+@plan("partial_delivery", f"select document_id, line, status = 'O' and document_id % 4 in (0, 1) and row_number() over (partition by document_id order by line) <= 2 as delivered from {USAGE} where not refunded")
 def partial_delivery(spark, d):
-    r = F.row_number().over(W.partitionBy("document_id").orderBy("line"))
-    return usage(spark, d).where("not refunded and document_id % 4 < 2").withColumn("r", r).where("r <= 2").select("document_id", "line")
+    rows = usage(spark, d).where("not refunded").withColumn("format", F.expr("case document_id % 4 when 0 then 'pdf' when 1 then 'pptx' when 2 then 'docx' else 'xlsx' end"))
+    return L.partial_delivery(rows, F.col("status") == "O", paid=2).select("document_id", "line", "delivered")
 
 
 # ---- prices and payments ----
@@ -402,11 +401,13 @@ def method_availability(spark, d):
     return buys(spark, d).select("payment_id", F.when(F.col("card") | (M.currency(F.col("zone")) == "XAF"), "available").otherwise("no provider").alias("state"))
 
 
-@plan("operator_of_phone", "select c_custkey, case when substr(p, 1, 3) in ('650','651','652','653','654','670','671','672','673','674','675','676','677','678','679','680','681','682','683') then 'mtn' when substr(p, 1, 3) in ('655','656','657','658','659','690','691','692','693','694','695','696','697','698','699') then 'orange' end as operator from (select c_custkey, '6' || lpad((c_custkey * 7919 % 100000000)::varchar, 8, '0') as p from customer)")
+@plan("operator_of_phone", """select c_custkey, case when length(p) <> 9 then null when substr(p, 1, 2) = '67' then 'mtn' when substr(p, 1, 2) = '69' then 'orange'
+  when substr(p, 1, 2) in ('65', '68') then case when substr(p, 3, 1) between '0' and '4' then 'mtn' else 'orange' end end as operator
+  from (select c_custkey, '6' || lpad((c_custkey * 7919 % 100000000)::varchar, case when c_custkey % 10 = 0 then 7 else 8 end, '0') as p from customer)""")
 def operator_of_phone(spark, d):
-    raw = F.expr("concat('+237 6', lpad(cast(c_custkey * 7919 % 100000000 as string), 8, '0'))")
-    p = F.regexp_replace(F.regexp_replace(raw, r"\D", ""), r"^237(?=\d{9}$)", "")
-    return table(spark, d, "customer").select("c_custkey", F.when(p.rlike("^(65[0-4]|67|68[0-3])"), "mtn").when(p.rlike("^(65[5-9]|69)"), "orange").alias("operator"))
+    # every tenth number lacks a digit
+    raw = F.expr("concat('+237 6', lpad(cast(c_custkey * 7919 % 100000000 as string), if(c_custkey % 10 = 0, 7, 8), '0'))")
+    return table(spark, d, "customer").select("c_custkey", I.phone_operator(raw).alias("operator"))
 
 
 @plan("effect_dedup", "select project, environment, effect_key, count(*) as events from (select o_orderkey % 3 as project, o_orderstatus as environment, o_custkey as effect_key from orders) group by 1, 2, 3")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramaline.functions import text as T
-from tramaline.operators.folds import apply_plans, redistribute_runs, spread_sample, title_safe_batches
+from tramaline.operators.folds import apply_plans, redistribute_runs, spread_sample, title_safe_batches, typed_batches
 from tramaline.plans.base import NOW_EVENTS, SEGMENTS, Plans, pairs, segments
 from tramaline.plans.ledger import payments
 from tramaline.session import table
@@ -23,17 +23,10 @@ def safe_batches(spark, d):
 
 
 @plan("typed_batches")
-def typed_batches(spark, d):
+def kinds_apart(spark, d):
     # a batch closes once it holds 5 lines and the kind of line changes; at 10 lines in any case
-    listed = segments(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.expr("seq div 3 % 2").alias("kind")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).alias("n"), F.lit(-1).cast("long").alias("kind"), F.array().cast("array<struct<seq:bigint,batch:bigint>>").alias("out"))
-
-    def step(s, x):
-        new = (s["n"] >= 10) | ((s["n"] >= 5) & (s["kind"] != x["kind"]))
-        b = F.when(new, s["b"] + 1).otherwise(s["b"])
-        return F.struct(b.alias("b"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), x["kind"].alias("kind"), F.concat(s["out"], F.array(F.struct(x["seq"].alias("seq"), b.alias("batch")))).alias("out"))
-
-    return listed.select("doc_id", F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("o")).select("doc_id", "o.seq", "o.batch")
+    rows = segments(spark, d).selectExpr("doc_id", "seq", "seq div 3 % 2 as kind")
+    return typed_batches(rows, ["doc_id"], 5, 10)
 
 
 @plan("spread_sample")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tramaline.functions import identity as I
 from tramaline.operators.graph import connected_components
 from tramaline.plans.base import NOW_EVENTS, Plans
+from tramaline.operators.tables import insert_if_absent
 from tramaline.session import table
 
 plan = Plans()
@@ -51,10 +52,9 @@ def canonical_mailbox(spark, d):
     return emails(spark, d).select("c_custkey", I.canonical_mailbox(F.col("email")).alias("mailbox"))
 
 
-@plan("is_disposable", f"select c_custkey, domain in ('x.mailinator.com', 'trash.example.net') as disposable from {EMAILS}")
+@plan("is_disposable", f"select c_custkey, domain similar to '(.*[.])?(mailinator[.]com|trash[.]example[.]net)' and not domain similar to '(.*[.])?example[.]org' as disposable from {EMAILS}")
 def is_disposable(spark, d):
-    hit = F.arrays_overlap(I.domain_suffixes(F.col("domain")), F.array(*map(F.lit, BLOCKED)))
-    return emails(spark, d).select("c_custkey", (hit & ~F.col("domain").isin(ALLOWED)).alias("disposable"))
+    return emails(spark, d).select("c_custkey", I.is_disposable(F.col("domain"), BLOCKED, ALLOWED).alias("disposable"))
 
 
 @plan("network_key", "select event_id, case event_id % 4 when 0 then '10.0.0.' || (event_id % 250) when 1 then '2001:db8:0:' || printf('%x', 1 + event_id % 60) || '::/64' when 2 then '10.0.1.' || (event_id % 250) end as network from events")
@@ -449,15 +449,21 @@ def highlights(spark, d):
     return table(spark, d, "part").where("p_type = 'ECONOMY'").orderBy(F.desc("p_size"), F.desc("p_partkey")).limit(4).select("p_partkey", "p_size")
 
 
-@plan("since_last_visit", "select user_id, count(*) as news from (select user_id, max(ts) as seen from events where event_type = 'view' group by 1) u join (select distinct cast(ts as date) as day from events where event_type = 'signup') n on n.day > cast(u.seen as date) group by 1")
+_NEWS = "(select distinct cast(ts as date) as day from events where event_type = 'signup')"
+
+
+@plan("since_last_visit", f"select user_id, case when seen is null then (select count(*) from (select day from {_NEWS} order by day desc limit 4)) else (select count(*) from {_NEWS} n where n.day > cast(u.seen as date)) end as news from (select user_id, max(case when event_type = 'view' then ts end) as seen from events group by 1) u")
 def since_last_visit(spark, d):
     # news per day are summed from the end, so that a visit day finds its number by one equi-join
     s = signals(spark, d).withColumn("day", F.to_date("ts"))
     news = s.where("event_type = 'signup'").select("day").distinct().withColumn("n", F.lit(1))
-    seen = s.where("event_type = 'view'").groupBy("user_id").agg(F.max("day").alias("day"))
+    seen = s.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "view", F.col("day"))).alias("day"))
     days = s.select("day").distinct().join(news, "day", "left")
     later = F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a day
-    return seen.join(days.withColumn("news", later), "day").where("news > 0").select("user_id", F.col("news").cast("long").alias("news"))
+    # who was never seen gets the highlights: the four newest
+    first = news.agg(F.least(F.count("*"), F.lit(4)).alias("highlights"))
+    out = seen.join(days.withColumn("news", later), "day", "left").join(F.broadcast(first))  # one row
+    return out.select("user_id", F.when(F.col("day").isNull(), F.col("highlights")).otherwise(F.col("news")).cast("long").alias("news"))
 
 
 @plan("recipients", "select c_custkey, row_number() over (partition by c_nationkey order by c_custkey) as place from customer where c_custkey % 4 <> 0 and c_custkey not in (select user_id from events where event_type = 'purchase')")
@@ -480,10 +486,8 @@ def upsert_seen(spark, d):
     return old.unionByName(new).groupBy("user_id", F.col("props").alias("key")).agg(F.max(F.to_date("ts")).cast("string").alias("day"))
 
 
-@plan("insert_if_absent", "select user_id, min(event_id) as event_id from events group by 1")
-def insert_if_absent(spark, d):
-    e = table(spark, d, "events")
+@plan("insert_if_absent", "select user_id, coalesce(min(event_id) filter (where event_type = 'view'), min(event_id)) as event_id from events group by 1")
+def insert_new(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
     there = e.where("event_type = 'view'").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
-    all_first = e.groupBy("user_id").agg(F.min("event_id").alias("first"))
-    kept = there.join(all_first, "user_id").select("user_id", F.least("event_id", "first").alias("event_id"))
-    return kept.unionByName(all_first.join(there, "user_id", "left_anti").select("user_id", F.col("first").alias("event_id")))
+    return insert_if_absent(there, e.select("user_id", "event_id"), ["user_id"], "event_id")

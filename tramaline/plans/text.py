@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramaline.functions import text as T
+from tramaline.operators.pairs import word_recall
 from tramaline.plans.base import PAIRS, SEGMENTS, TAGGED, Plans, pairs, segments, tagged
 from tramaline.session import table
 
@@ -208,19 +209,13 @@ _FORMS = f"(select *, {_NUDE.format(_TAG0.format('source'))} as n0s, {_NUDE.form
 
 
 def _checked(spark, d):
-    p = pairs(spark, d)
-    s, t = T.tag_contents("source"), T.tag_contents("target")
-    p = p.withColumn("ms", s).withColumn("mt", t)
+    p = pairs(spark, d).withColumn("ms", T.tag_contents("source")).withColumn("mt", T.tag_contents("target"))
     p = p.withColumn("tags", F.size(F.array_except(F.map_keys("ms"), F.map_keys("mt"))) > 0)
-    for i in (0, 1):
-        for x in "st":
-            p = p.withColumn(f"n{i}{x}", T.nude_form(F.coalesce(F.col(f"m{x}")[i], F.lit(""))))
-    lone = lambda i, j: (F.col(f"n{i}s") == F.col(f"n{i}t")) & (F.col(f"n{j}s") != F.col(f"n{j}t")) & (T.letters(f"n{i}s") > 0)
-    bare_s, bare_t = T.strip_tags("source"), T.strip_tags("target")
-    p = p.withColumn("copied", ~F.col("tags") & (lone(0, 1) | lone(1, 0)))
-    p = p.withColumn("ns", T.nude_form(bare_s)).withColumn("nt", T.nude_form(bare_t))
-    p = p.withColumn("unchanged", (F.col("ns") == F.col("nt")) & (T.letters("ns") > 0))
-    p = p.withColumn("numbers", F.array_sort(T.digit_runs(bare_s)) != F.array_sort(T.digit_runs(bare_t)))
+    p = p.withColumn("bs", T.strip_tags("source")).withColumn("bt", T.strip_tags("target"))
+    p = p.withColumn("fs", T.run_forms("bs", "ms", F.map_keys("ms"))).withColumn("ft", T.run_forms("bt", "mt", F.map_keys("ms")))
+    p = p.withColumn("copied", ~F.col("tags") & T.copied_run(F.slice("fs", F.lit(2), F.size("fs")), F.slice("ft", F.lit(2), F.size("ft"))))
+    p = p.withColumn("unchanged", (F.get("fs", F.lit(0)) == F.get("ft", F.lit(0))) & (T.letters(F.get("fs", F.lit(0))) > 0))
+    p = p.withColumn("numbers", F.array_sort(T.digit_runs("bs")) != F.array_sort(T.digit_runs("bt")))
     return p.withColumn("parens", T.open_parens("target") > T.open_parens("source"))
 
 
@@ -333,13 +328,17 @@ def orphan_id_pairing(spark, d):
     return numbered("user", "asked").join(numbered("assistant", "answered"), ["conv_id", "k", "n"]).drop("k", "n")
 
 
-@plan("same_text_similarity", "select conv_id, turn as seq, levenshtein(substr(a, 1, 200), substr(b, 1, 200)) / greatest(length(substr(a, 1, 200)), 1)::double as cer from (select u.conv_id, u.turn, regexp_replace(u.text, '[^ -~]', '?', 'g') as a, regexp_replace(v.text, '[^ -~]', '?', 'g') as b from conversations u join conversations v on v.conv_id = u.conv_id and v.turn = u.turn + 1 where u.role = 'user' and v.role = 'assistant')")
+_RECALL = "(select sum(least(x.n, y.n)) from (select w, count(*) as n from unnest(string_split(a, ' ')) t(w) where w <> '' group by w) x join (select w, count(*) as n from unnest(string_split(b, ' ')) t(w) where w <> '' group by w) y using (w))"
+
+
+@plan("same_text_similarity", f"select conv_id, turn as seq, levenshtein(a, b) / greatest(length(a), 1)::double as cer, coalesce({_RECALL}, 0) / greatest(len(list_filter(string_split(a, ' '), lambda w: w <> '')), 1)::double as recall from (select u.conv_id, u.turn, regexp_replace(u.text, '[^ -~]', '?', 'g') as a, regexp_replace(v.text, '[^ -~]', '?', 'g') as b from conversations u join conversations v on v.conv_id = u.conv_id and v.turn = u.turn + 1 where u.role = 'user' and v.role = 'assistant')")
 def same_text_similarity(spark, d):
     # one sign for any non-ASCII character, as SQL engines differ in what they count
     c = table(spark, d, "conversations").withColumn("text", F.regexp_replace("text", "[^ -~]", "?"))
-    u = c.where("role = 'user'").select("conv_id", F.col("turn").alias("seq"), F.substring("text", 1, 200).alias("a"))
-    v = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("seq"), F.substring("text", 1, 200).alias("b"))
-    return u.join(v, ["conv_id", "seq"]).select("conv_id", "seq", (F.levenshtein("a", "b") / F.greatest(F.length("a"), F.lit(1)).cast("double")).alias("cer"))
+    u = c.where("role = 'user'").select("conv_id", F.col("turn").alias("seq"), F.col("text").alias("a"))
+    v = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("seq"), F.col("text").alias("b"))
+    both = u.join(v, ["conv_id", "seq"])
+    return both.select("conv_id", "seq", T.error_rate("a", "b").alias("cer")).join(word_recall(both, ["conv_id", "seq"], "a", "b"), ["conv_id", "seq"])
 
 
 # ---- memory and consistency ----
@@ -387,14 +386,14 @@ def memory_by_tagged_text(spark, d):
 _OLD = f"(select doc_id, seq, text, 'old ' || seq as translation from {SEGMENTS} where doc_id % 2 = 0 and seq % 3 <> 2)"
 
 
-@plan("resume_fill", f"""select n.doc_id, n.seq, coalesce(a.translation, b.translation) as translation from (select * from {SEGMENTS} where doc_id % 4 < 2) n left join {_OLD} a on a.doc_id = n.doc_id and a.seq = n.seq and a.text = n.text
+@plan("resume_fill", f"""select n.doc_id, n.seq, coalesce(a.translation, b.translation) as translation, coalesce(a.translation, b.translation) is null as left_over from {SEGMENTS} n left join {_OLD} a on a.doc_id = n.doc_id and a.seq = n.seq and a.text = n.text
 left join (select text, min_by(translation, doc_id * 1000000 + seq) as translation from {_OLD} group by text) b on b.text = n.text""")
 def resume_fill(spark, d):
     s = segments(spark, d)
     old = s.where("doc_id % 2 = 0 and seq % 3 <> 2").select("doc_id", "seq", "text", F.expr("concat('old ', seq)").alias("t"))
     by_text = old.groupBy("text").agg(F.min_by("t", F.expr("doc_id * 1000000 + seq")).alias("t2"))
-    out = s.where("doc_id % 4 < 2").join(old, ["doc_id", "seq", "text"], "left").join(by_text, "text", "left")
-    return out.select("doc_id", "seq", F.coalesce("t", "t2").alias("translation"))
+    out = s.join(old, ["doc_id", "seq", "text"], "left").join(by_text, "text", "left").withColumn("translation", F.coalesce("t", "t2"))
+    return out.select("doc_id", "seq", "translation", F.col("translation").isNull().alias("left_over"))
 
 
 @plan("reattach_page", f"select doc_id, seq // 10 as page, bool_and(b.text is not null) as reattached from {SEGMENTS} s left join (select distinct text from {_OLD}) b on b.text = s.text group by 1, 2")
