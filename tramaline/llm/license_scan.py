@@ -21,42 +21,103 @@ from tramaline.llm.textblock import ALNUM, Block, blocks
 
 #: Fixed phrases of the base labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Fixed short notices, lower-cased, and their labels.
-NOTICES = {
-    "all rights reserved": "reserved",
-    "licensed under the apache license, version 2.0": "apache-2.0",
-    "licensed under the gnu general public license": "gpl",
-    "licensed under the gnu lesser general public license": "lgpl",
-    "subject to the terms of the mozilla public license": "mpl",
-    "permission is hereby granted, free of charge": "mit",
-    "released under the mit license": "mit",
-    "redistribution and use in source and binary forms": "bsd",
-    "released into the public domain": "public-domain",
-    "licensed under cc by": "cc-by",
-    "creative commons attribution": "cc-by",
+#: Fixed short notices of public licenses, lower-cased, by label.
+NOTICES_OF = {
+    "afl": ["academic free license"],
+    "agpl": ["gnu affero general public license"],
+    "apache-2.0": ["licensed under the apache license, version 2.0", "apache license, version 2.0", "released under the apache license"],
+    "artistic": ["licensed under the artistic license", "same terms as perl itself"],
+    "bsd": ["redistribution and use in source and binary forms", "licensed under the bsd license", "released under the bsd license", "this software is provided by the copyright holders and contributors"],
+    "bsl": ["business source license"],
+    "boost": ["boost software license"],
+    "cc-by": ["licensed under cc by", "creative commons attribution", "licensed under a creative commons attribution license"],
+    "cc-by-nc": ["creative commons attribution-noncommercial"],
+    "cc-by-nd": ["creative commons attribution-noderivs"],
+    "cc-by-sa": ["creative commons attribution-sharealike"],
+    "cc0": ["cc0 1.0 universal", "creative commons zero"],
+    "cddl": ["common development and distribution license"],
+    "cecill": ["cecill free software license"],
+    "cpl": ["common public license"],
+    "elastic": ["licensed under the elastic license"],
+    "epl": ["eclipse public license"],
+    "eupl": ["european union public licence"],
+    "gfdl": ["gnu free documentation license"],
+    "gpl": ["licensed under the gnu general public license", "under the terms of the gnu general public license", "released under the gpl"],
+    "isc": ["permission to use, copy, modify, and/or distribute this software for any purpose", "licensed under the isc license"],
+    "lgpl": ["licensed under the gnu lesser general public license", "gnu library general public license"],
+    "lppl": ["latex project public license"],
+    "mit": ["permission is hereby granted, free of charge", "released under the mit license", "licensed under the mit license"],
+    "mpl": ["subject to the terms of the mozilla public license", "mozilla public license"],
+    "ms-pl": ["microsoft public license"],
+    "ncsa": ["university of illinois/ncsa open source license"],
+    "odbl": ["open data commons open database license"],
+    "odc-by": ["open data commons attribution license"],
+    "ofl": ["sil open font license"],
+    "openssl": ["openssl toolkit license"],
+    "osl": ["open software license"],
+    "pddl": ["public domain dedication and license"],
+    "proprietary": ["proprietary and confidential", "unauthorized copying of this file", "no part of this publication may be reproduced"],
+    "psf": ["python software foundation license"],
+    "public-domain": ["released into the public domain", "dedicated to the public domain"],
+    "reserved": ["all rights reserved", "tous droits réservés", "todos los derechos reservados", "alle rechte vorbehalten"],
+    "sspl": ["server side public license"],
+    "unlicense": ["this is free and unencumbered software"],
+    "upl": ["universal permissive license"],
+    "zlib": ["this software is provided 'as-is', without any express or implied warranty"],
 }
+NOTICES = {notice: label for label, notices in NOTICES_OF.items() for notice in notices}
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 9
+#: White space, and marks that open lines of comments: between words at a line's end, they are one space.
+SPACE, MARK = np.zeros(256, bool), np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+MARK[list(b"!#%*-/;>|")] = True
 
 
 @lru_cache(maxsize=4)
 def _seeds(notices: tuple[str, ...], chars_per_edit: int):
     """The automaton of all pieces; of each notice its pattern, length and edits."""
-    pieces: dict[str, list[tuple[int, int]]] = {}
+    pieces: dict[bytes, list[tuple[int, int]]] = {}
     found = []
-    for k, notice in enumerate(notices):
+    for k, notice in enumerate(x.encode() for x in notices):
         edits = len(notice) // chars_per_edit
-        found.append((regex.compile(rb"(?b)(?:" + regex.escape(notice.encode()) + b"){e<=" + str(edits).encode() + b"}"), len(notice), edits))
+        found.append((regex.compile(rb"(?b)(?:" + regex.escape(notice) + b"){e<=" + str(edits).encode() + b"}"), len(notice), edits))
         cuts = [len(notice) * i // (edits + 1) for i in range(edits + 2)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             pieces.setdefault(notice[a:b], []).append((k, a))
     machine = ahocorasick.Automaton()
     for piece, owners in pieces.items():
-        machine.add_word(piece, (len(piece), owners))
+        machine.add_word(piece.decode("latin-1"), (len(piece), owners))
     machine.make_automaton()
     return machine, found
 
 
+def flowing(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's bytes as running text, where each stood, and where each document begins.
+
+    A run of white space is one space; so is one of white space and comment marks with a line break in it.
+    """
+    data = block.bytes
+    filler = np.append(SPACE[data] | MARK[data], False)
+    before = np.zeros(len(filler), bool)
+    before[1:] = filler[:-1]
+    before[block.offsets] = False  # a run doesn't go on into the next document
+    start = np.flatnonzero(filler & ~before)
+    after = filler.copy()
+    after[block.offsets] = False
+    end = np.flatnonzero(filler[:-1] & ~after[1:]) + 1
+    up_to = lambda on: np.append(0, np.cumsum(on))
+    breaks, marks = up_to((data == 10) | (data == 13)), up_to(MARK[data])
+    one = (breaks[end] > breaks[start]) | (marks[end] == marks[start])
+    keep, out = np.ones(len(data), bool), data.copy()
+    inside = np.zeros(len(data) + 1, np.int64)
+    np.add.at(inside, start[one] + 1, 1)
+    np.add.at(inside, end[one], -1)
+    keep[np.cumsum(inside)[:-1] > 0] = False
+    out[start[one]] = 32
+    return out[keep], np.flatnonzero(keep), up_to(keep)[block.offsets]
+
+
 def _matches(pattern: regex.Pattern[bytes], least: int, data: bytes) -> list[regex.Match[bytes]]:
     """The best match of data, and likewise those before and after it; a match has at least so many bytes."""
     found, rest = [], [(0, len(data))]
@@ -71,7 +132,8 @@ def _matches(pattern: regex.Pattern[bytes], least: int, data: bytes) -> list[reg
 def fuzzy_spans(block: Block, notices: tuple[str, ...], chars_per_edit: int) -> list[tuple[int, int, int, int, int]]:
     """(document, start, end, notice, edits) of the block's matches, in bytes of the document, sorted."""
     machine, patterns = _seeds(notices, chars_per_edit)
-    raw = block.bytes.tobytes()
+    data, stood, offsets = flowing(block)
+    raw = data.tobytes()
     regions: dict[int, list[tuple[int, int]]] = {}
     for last, (size, owners) in machine.iter(raw.decode("latin-1")):
         for k, a in owners:
@@ -81,11 +143,11 @@ def fuzzy_spans(block: Block, notices: tuple[str, ...], chars_per_edit: int) ->
     out = []
     for k, spans in regions.items():
         spans.sort()
-        doc = np.searchsorted(block.offsets, [a + (b - a) // 2 for a, b in spans], "right") - 1
+        doc = np.searchsorted(offsets, [a + (b - a) // 2 for a, b in spans], "right") - 1
         merged: list[list[int]] = []
         for (a, b), d in zip(spans, np.clip(doc, 0, block.hi - block.lo - 1).tolist(), strict=True):
             for d in range(max(0, d - 1), min(block.hi - block.lo, d + 2)):  # noqa: PLW2901  a region may touch neighbours
-                lo, hi = max(a, int(block.offsets[d])), min(b, int(block.offsets[d + 1]))
+                lo, hi = max(a, int(offsets[d])), min(b, int(offsets[d + 1]))
                 if hi > lo:
                     merged.append([d, lo, hi])
         merged.sort()
@@ -97,10 +159,30 @@ def fuzzy_spans(block: Block, notices: tuple[str, ...], chars_per_edit: int) ->
                 joined.append([d, lo, hi])
         for d, lo, hi in joined:
             home, (pattern, n, e) = int(block.offsets[d]), patterns[k]
-            out += [(d, lo + m.start() - home, lo + m.end() - home, k, sum(m.fuzzy_counts)) for m in _matches(pattern, n - e, raw[lo:hi])]
+            found = _matches(pattern, n - e, raw[lo:hi])
+            out += [(d, int(stood[lo + m.start()]) - home, int(stood[lo + m.end() - 1]) + 1 - home, k, sum(m.fuzzy_counts)) for m in found]
     return sorted(out)
 
 
+def better(spans: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Sorted spans without those that a closer match of about the same place outdoes.
+
+    Notices may differ by the name of a license alone: of two that overlap, the one with more edits goes, unless
+    the other is shorter by a fifth.
+    """
+    out, live = [], []
+    lost = set()
+    for x in spans:
+        live = [y for y in live if y[0] == x[0] and y[2] > x[1]]
+        for y in live:
+            for a, b in ((x, y), (y, x)):
+                if b[4] < a[4] and 5 * (b[2] - b[1]) >= 4 * (a[2] - a[1]):
+                    lost.add(a)
+        live.append(x)
+        out.append(x)
+    return [x for x in out if x not in lost]
+
+
 def _phrase_places(block: Block, h: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     """Words at which the phrase begins, inside one document."""
     n = len(h) - len(phrase) + 1
@@ -117,7 +199,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, notice
 
     Base counts come from places where a phrase's words stand consecutively. labels adds those of notices found
     with at most len // chars_per_edit edits. score is 1 with a base place, else the best match's share of
-    characters that need no edit, else 0. spans lists the fuzzy matches as label:start:end:edits (code points).
+    characters that need no edit, else 0. Of notices that overlap at about one place, the closest counts. They may be broken over lines, with comment marks. spans lists the fuzzy matches as label:start:end:edits (code points).
     A null or empty text has no words, zero counts, null first_word and last_word, and empty labels. Keys may
     be null or repeat; other columns are not read.
     """
@@ -148,7 +230,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, notice
             for w in _phrase_places(block, hashes, phrase).tolist():
                 base.setdefault(int(block.doc[w]), []).append((w - int(block.first[block.doc[w]]), label))
         fuzzy: dict[int, list[tuple[int, int, int, int]]] = {}
-        for d, a, b, k, e in fuzzy_spans(block, texts, chars_per_edit):
+        for d, a, b, k, e in better(fuzzy_spans(block, texts, chars_per_edit)):
             fuzzy.setdefault(d, []).append((a, b, k, e))
         rows = []
         for d, n in enumerate(np.diff(block.first).tolist()):
