@@ -59,3 +59,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     with shuffles_dropped(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete the written table that df, a result of cut, reads; nothing may read it any more."""
+    if df is None:
+        return
+    context = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
