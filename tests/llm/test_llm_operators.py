@@ -202,17 +202,6 @@ def test_language_model(spark):
     assert (pitman_yor.score_texts(frame(spark, only_held)).toPandas().n_known == 0).all()
 
 
-def test_seating_follows_the_posterior():
-    # 4 customers, discount d, new-table weight a: each seating's probability is a product over its tables
-    d, a, n = 0.5, 0.7, 20_000
-    blocks_of = {1: [[4]], 2: [[3, 1]] * 4 + [[2, 2]] * 3, 3: [[2, 1, 1]] * 6, 4: [[1, 1, 1, 1]]}
-    weight = {t: sum(a**t * math.prod(math.prod(k - d for k in range(1, s)) for s in sizes) for sizes in ways) for t, ways in blocks_of.items()}
-    t = pitman_yor.seat(np.full(n, 4), np.full(n, a), d, np.arange(n, dtype=np.uint64), 0, passes=8)
-    total = sum(weight.values())
-    for k in blocks_of:
-        assert (t == k).mean() == pytest.approx(weight[k] / total, abs=0.015)
-
-
 # ---- 6 ----
 
 

@@ -37,10 +37,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: A wide fingerprint has WORDS 64-bit words, read as TABLES codes of TABLE_BITS bits. Texts of similarity 0.8 differ
 #: in 15 % of all bits: in a table in at most TABLE_RADIUS bits in 18 % of cases, in no table in 0.7 % of cases.
 WORDS, TABLES, TABLE_BITS, TABLE_RADIUS = 11, 25, 28, 2
-#: Of all 704 bits 107 differ on average at 0.8, with a deviation of 9.5: near for certain, and not near for certain.
-SURE, FAR = 60, 148
-#: Nodes compared with one node in one task; rounds of verifying each component's nearest pair.
-PER_TASK, NEAREST_ROUNDS = 1000, 6
+#: Of all 704 bits 107 differ on average at 0.8, with a deviation of 9.5. At most SURE: taken as near, as 1 in 1,000 of
+#: pairs at 0.8 have so few. More than FAR: taken as not near, as 1 in 200 of them have so many. Between: verified.
+SURE, FAR = 76, 132
+#: Nodes compared with one node in one task; rounds of verifying each component's nearest pair; nodes in a part of a table.
+PER_TASK, NEAREST_ROUNDS, PER_TABLE = 1000, 2, 250_000
 _SALT = mix(np.arange(1, 8 * WORDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -300,9 +301,9 @@ def _prints(column: pa.Array) -> np.ndarray:
 def table_codes(prints: np.ndarray) -> np.ndarray:
     """Of each wide fingerprint, its TABLES windows of TABLE_BITS bits."""
     bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, : TABLES * TABLE_BITS].reshape(-1, TABLES, TABLE_BITS)
-    whole = np.zeros((len(prints), TABLES, 64), np.uint8)
+    whole = np.zeros((len(prints), TABLES, 32), np.uint8)
     whole[:, :, :TABLE_BITS] = bits
-    return np.packbits(whole, axis=2, bitorder="little").view(U64)[:, :, 0]
+    return np.packbits(whole, axis=2, bitorder="little").view(np.uint32)[:, :, 0]
 
 
 def gray_order(codes: np.ndarray) -> np.ndarray:
@@ -330,11 +331,11 @@ def _tables(prefix: int):
             for lo in range(0, len(whole), 1024):
                 batch = whole.slice(lo, 1024)
                 codes = table_codes(_prints(batch.column("print")))
-                first = (codes >> U64(TABLE_BITS - prefix)).astype(np.int64)
+                first = (codes >> np.uint32(TABLE_BITS - prefix)).astype(np.int64)
                 to = padded[first]  # node, table, visit
                 node, table, visit = np.nonzero(to >= 0)
                 v = to[node, table, visit]
-                cols = [(table << prefix | v).astype(np.int32), v == first[node, table], codes[node, table].view(np.int64)]
+                cols = [(table << prefix | v).astype(np.int32), v == first[node, table], codes[node, table].astype(np.int64)]
                 take = pa.array(node)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), batch.column("root").take(take), batch.column("print").take(take)], ["part", "home", "code", "root", "print"])
 
@@ -347,43 +348,52 @@ def _close(batches: Iterator[pa.RecordBatch], prefix: int) -> Iterator[pa.Record
     Certain pairs come as a forest. Of the others, each comes from the first table that finds it, and only if the
     certain ones here don't join it.
     """
-    def doubtful(part: int, x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-        found = np.bitwise_count(table_codes(x) ^ table_codes(y)) <= TABLE_RADIUS
-        first = found.argmax(1) == part
-        return _pairs(a[first], b[first], d[first])
-
     for home, visitors in partitions(batches):
+        table = home.column("part")[0].as_py() >> prefix
         code = home.column("code").to_numpy().view(U64)
         order = gray_order(code)
-        table = home.column("part")[0].as_py() >> prefix
         code, root, prints = code[order], home.column("root").to_numpy()[order], _prints(home.column("print").combine_chunks())[order]
+        codes = table_codes(prints)
         index, label = GrayIndex(code, code), np.arange(len(code))
         maybe: list[tuple[np.ndarray, ...]] = []
-        for who, item in index.search(code, TABLE_RADIUS):
+        for who, item in _some(index.search(code, TABLE_RADIUS)):
             own = (who < item) & (label[who] != label[item])
             who, item = who[own], item[own]
             d = np.bitwise_count(prints[who] ^ prints[item]).sum(1)
             sure = d <= SURE
             merge(label, who[sure], item[sure])
-            may = ~sure & (d <= FAR)
+            may = np.flatnonzero(~sure & (d <= FAR))
+            may = may[_first(codes[who[may]], codes[item[may]], table)]
             maybe.append((who[may], item[may], d[may]))
         for who, item, d in maybe:
             own = label[who] != label[item]
-            who, item = who[own], item[own]
-            yield doubtful(table, prints[who], prints[item], root[who], root[item], d[own])
+            yield _pairs(root[who[own]], root[item[own]], d[own])
         own = np.flatnonzero(label != np.arange(len(code)))
         yield _pairs(root[own], root[label[own]], np.full(len(own), -1))
         for batch in visitors:
             theirs, names = _prints(batch.column("print")), batch.column("root").to_numpy()
-            for who, item in index.search(batch.column("code").to_numpy().view(U64), TABLE_RADIUS):
+            their_codes = table_codes(theirs)
+            for who, item in _some(index.search(batch.column("code").to_numpy().view(U64), TABLE_RADIUS)):
                 d = np.bitwise_count(theirs[who] ^ prints[item]).sum(1)
                 sure = np.flatnonzero(d <= SURE)
                 # one link for each component that a visitor is certain to be in
                 _, once = np.unique(np.stack([who[sure], label[item[sure]]]), axis=1, return_index=True)
                 yield _pairs(names[who[sure[once]]], root[item[sure[once]]], np.full(len(once), -1))
-                may = (d > SURE) & (d <= FAR)
-                who, item = who[may], item[may]
-                yield doubtful(table, theirs[who], prints[item], names[who], root[item], d[may])
+                may = np.flatnonzero((d > SURE) & (d <= FAR))
+                may = may[_first(their_codes[who[may]], codes[item[may]], table)]
+                yield _pairs(names[who[may]], root[item[may]], d[may])
+
+
+def _some(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What is found, at most so many pairs at a time."""
+    for who, item in found:
+        for lo in range(0, len(who), most):
+            yield who[lo : lo + most], item[lo : lo + most]
+
+
+def _first(x: np.ndarray, y: np.ndarray, table: int) -> np.ndarray:
+    """Of pairs of codes in all tables, whether `table` is the first that finds it."""
+    return (np.bitwise_count(x ^ y) <= TABLE_RADIUS).argmax(1) == table
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
@@ -435,7 +445,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, sim
     of each component is verified first, as it may join what many pairs would join again; then all that is left.
     """
     n = nodes.count()
-    prefix = min(10, max(0, (-(-n // PER_PARTITION) - 1).bit_length()))
+    prefix = min(10, max(0, (-(-n // PER_TABLE) - 1).bit_length()))
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), TABLES)
     rows = nodes.mapInArrow(_tables(prefix), "part int, home boolean, code long, root long, print binary")
     rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.desc("home"))
@@ -444,12 +454,10 @@ def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, sim
     pairs = _apart(found.where("d >= 0"), links)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     for _ in range(NEAREST_ROUNDS):
-        if not (left := pairs.count()):
-            break
         both = pairs.select(F.col("ca").alias("c"), "d", "a", "b").union(pairs.select(F.col("cb").alias("c"), "d", "a", "b"))
         near = both.groupBy("c").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         near = cut(near, "nearest")
-        if near.count() * 2 > left:
+        if near.count() * 4 > pairs.count():
             break
         links = cut(links.union(verified(near, texts, shingle, similarity)), "links")
         pairs = _apart(pairs.select("a", "b", "d").join(near, ["a", "b"], "left_anti"), links)
