@@ -16,7 +16,6 @@ are indexed alike; pairs found are told by the whole fingerprint, or else verifi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 from itertools import chain, repeat
 
 import numpy as np
@@ -40,8 +39,8 @@ WORDS, TABLES, TABLE_BITS, TABLE_RADIUS = 11, 25, 28, 2
 #: Of all 704 bits 107 differ on average at 0.8, with a deviation of 9.5. At most SURE: taken as near, as 1 in 1,000 of
 #: pairs at 0.8 have so few. More than FAR: taken as not near, as 1 in 200 of them have so many. Between: verified.
 SURE, FAR = 76, 132
-#: Nodes compared with one node in one task; rounds of verifying each component's nearest pair; nodes in a part of a table.
-PER_TASK, NEAREST_ROUNDS, PER_TABLE = 1000, 2, 250_000
+#: Nodes in a block that are compared in one task, and in a part of a table.
+PER_BLOCK, PER_TABLE = 1024, 250_000
 _SALT = mix(np.arange(1, 8 * WORDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -342,46 +341,33 @@ def _tables(prefix: int):
     return run
 
 
-def _close(batches: Iterator[pa.RecordBatch], prefix: int) -> Iterator[pa.RecordBatch]:
-    """Pairs a, b of one table by their wide fingerprints: d is their distance, or -1 if they are near for certain.
-
-    Certain pairs come as a forest. Of the others, each comes from the first table that finds it, and only if the
-    certain ones here don't join it.
-    """
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two forests of links a, b among nodes that one table finds: of pairs that are near for certain (sure), and, as
+    far as these don't join them, of pairs that may be near."""
     for home, visitors in partitions(batches):
-        table = home.column("part")[0].as_py() >> prefix
         code = home.column("code").to_numpy().view(U64)
         order = gray_order(code)
         code, root, prints = code[order], home.column("root").to_numpy()[order], _prints(home.column("print").combine_chunks())[order]
-        codes = table_codes(prints)
         index, label = GrayIndex(code, code), np.arange(len(code))
-        maybe: list[tuple[np.ndarray, ...]] = []
+        may = np.arange(len(code))
         for who, item in _some(index.search(code, TABLE_RADIUS)):
             own = (who < item) & (label[who] != label[item])
             who, item = who[own], item[own]
             d = np.bitwise_count(prints[who] ^ prints[item]).sum(1)
-            sure = d <= SURE
-            merge(label, who[sure], item[sure])
-            may = np.flatnonzero(~sure & (d <= FAR))
-            may = may[_first(codes[who[may]], codes[item[may]], table)]
-            maybe.append((who[may], item[may], d[may]))
-        for who, item, d in maybe:
-            own = label[who] != label[item]
-            yield _pairs(root[who[own]], root[item[own]], d[own])
-        own = np.flatnonzero(label != np.arange(len(code)))
-        yield _pairs(root[own], root[label[own]], np.full(len(own), -1))
+            merge(label, who[d <= SURE], item[d <= SURE])
+            merge(may, who[d <= FAR], item[d <= FAR])
+        for known, sure in ((label, True), (may, False)):
+            own = np.flatnonzero((known != np.arange(len(code))) & (sure | (label != label[known])))
+            yield _pairs(root[own], root[known[own]], sure)
         for batch in visitors:
             theirs, names = _prints(batch.column("print")), batch.column("root").to_numpy()
-            their_codes = table_codes(theirs)
             for who, item in _some(index.search(batch.column("code").to_numpy().view(U64), TABLE_RADIUS)):
                 d = np.bitwise_count(theirs[who] ^ prints[item]).sum(1)
-                sure = np.flatnonzero(d <= SURE)
-                # one link for each component that a visitor is certain to be in
-                _, once = np.unique(np.stack([who[sure], label[item[sure]]]), axis=1, return_index=True)
-                yield _pairs(names[who[sure[once]]], root[item[sure[once]]], np.full(len(once), -1))
-                may = np.flatnonzero((d > SURE) & (d <= FAR))
-                may = may[_first(their_codes[who[may]], codes[item[may]], table)]
-                yield _pairs(names[who[may]], root[item[may]], d[may])
+                for near, known, sure in ((d <= SURE, label, True), ((d > SURE) & (d <= FAR), may, False)):
+                    own = np.flatnonzero(near)
+                    # one link for each tree of the forest
+                    _, once = np.unique(np.stack([who[own], known[item[own]]]), axis=1, return_index=True)
+                    yield _pairs(names[who[own[once]]], root[item[own[once]]], sure)
 
 
 def _some(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -391,77 +377,90 @@ def _some(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 17) -
             yield who[lo : lo + most], item[lo : lo + most]
 
 
-def _first(x: np.ndarray, y: np.ndarray, table: int) -> np.ndarray:
-    """Of pairs of codes in all tables, whether `table` is the first that finds it."""
-    return (np.bitwise_count(x ^ y) <= TABLE_RADIUS).argmax(1) == table
+def _pairs(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], ["a", "b", "sure"])
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int32))], ["a", "b", "d"])
+def _verify(shingle: int, similarity: float):
+    """Of two blocks of a cluster's nodes, sorted by cluster and blocks: links between components, verified on texts.
 
-
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of the distinct pairs a, b whose texts (doc_id, text) have at least the similarity."""
-    tasks = pairs.groupBy("a").agg(F.expr(f"1 + count(*) div {PER_TASK}").alias("n"))
-    dealt = pairs.join(tasks, "a").select("a", "b", F.expr("pmod(xxhash64(b), n)").alias("part"))
-    sides = dealt.select("a", "part", F.col("b").alias("doc_id")).union(dealt.select("a", "part", F.col("a").alias("doc_id")).distinct())
-    rows = sides.join(texts, "doc_id").select("a", "part", (F.col("doc_id") != F.col("a")).alias("other"), "doc_id", "text")
+    A pair of nodes of different components is held against its similarity if its fingerprints allow for it, nearest
+    first, unless other links have joined the two by then.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, set()
+        at, held = None, []
         for batch in batches:
-            a, b = [], []
-            for x, part, other, y, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if not other:
-                    at, own = (x, part), shingles(text, shingle)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != at and held:
+                    yield links(held)
+                    held = []
+                at = row[:3]
+                held.append(row[3:])
+        if held:
+            yield links(held)
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        block, component, prints, texts = zip(*rows, strict=True)
+        block, prints, sets = np.array(block), _prints(pa.array(prints, pa.binary())), {}
+        names, own = np.unique(np.array(component, np.int64), return_inverse=True)
+        label = np.arange(len(names))
+        found: list[tuple[int, int]] = []
+        crossed = len(np.unique(block)) > 1  # pairs within a block are those of another task
+        for x in range(len(block)):
+            d = np.bitwise_count(prints[x + 1 :] ^ prints[x]).sum(1)
+            near = np.flatnonzero((d <= FAR) & (label[own[x + 1 :]] != label[own[x]]) & ((block[x + 1 :] != block[x]) | (not crossed)))
+            for y in (near[np.argsort(d[near], kind="stable")] + x + 1).tolist():
+                if label[own[x]] == label[own[y]]:
                     continue
-                if at != (x, part):
-                    raise RuntimeError(f"text of {x} is missing")
-                s = shingles(text, shingle)
-                if min(len(s), len(own)) >= similarity * max(len(s), len(own)) - 1e-6:
-                    both = len(s & own)
-                    if both / (len(s) + len(own) - both) >= similarity:
-                        a.append(x)
-                        b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "other").mapInArrow(run, "a long, b long")
-
-
-def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs a, b, d whose ends the links don't join, with the component of each end."""
-    parts = cut(connected_components(links, "a", "b"), "parts")
-    ends = pairs
-    for x in ("a", "b"):
-        named = parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-        ends = ends.join(named, x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-    return cut(ends.where("ca <> cb"), "apart")
+                for k in (x, y):
+                    if k not in sets:
+                        sets[k] = shingles(texts[k], shingle)
+                a, b = sets[x], sets[y]
+                if min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-6 and (both := len(a & b)) / (len(a) + len(b) - both) >= similarity:
+                    found.append((own[x], own[y]))
+                    merge(label, own[[x]], own[[y]])
+        a, b = (names[np.array(k, np.int64)] for k in (zip(*found, strict=True) if found else ((), ())))
+        return _links(a, b)
+
+    return run
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Links a, b among nodes (root, print), whose components are those of all pairs with the similarity.
 
-    docs has the text of each root. Pairs that are near for certain need no text. Of the others, the nearest pair
-    of each component is verified first, as it may join what many pairs would join again; then all that is left.
+    docs has the text of each root. Pairs that are near for certain join nodes into components, and pairs that may be
+    near join these into clusters. Of a cluster with one component no text is read. Others are cut into blocks of
+    PER_BLOCK nodes; each two blocks meet in one task. Work is quadratic in the nodes of such a cluster only.
     """
+    spark = nodes.sparkSession
     n = nodes.count()
     prefix = min(10, max(0, (-(-n // PER_TABLE) - 1).bit_length()))
-    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), TABLES)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TABLES)
     rows = nodes.mapInArrow(_tables(prefix), "part int, home boolean, code long, root long, print binary")
     rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.desc("home"))
-    found = cut(rows.mapInArrow(partial(_close, prefix=prefix), "a long, b long, d int"), "pairs")
-    links = found.where("d < 0").select("a", "b")
-    pairs = _apart(found.where("d >= 0"), links)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    for _ in range(NEAREST_ROUNDS):
-        both = pairs.select(F.col("ca").alias("c"), "d", "a", "b").union(pairs.select(F.col("cb").alias("c"), "d", "a", "b"))
-        near = both.groupBy("c").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        near = cut(near, "nearest")
-        if near.count() * 4 > pairs.count():
-            break
-        links = cut(links.union(verified(near, texts, shingle, similarity)), "links")
-        pairs = _apart(pairs.select("a", "b", "d").join(near, ["a", "b"], "left_anti"), links)
-    return links.union(verified(pairs.select("a", "b"), texts, shingle, similarity))
+    found = cut(rows.mapInArrow(_close, "a long, b long, sure boolean"), "pairs")
+    links = found.where("sure").select("a", "b")
+    components = cut(connected_components(links, "a", "b"), "components")
+    doubtful = found.where("not sure").select("a", "b")
+    for x in ("a", "b"):
+        named = components.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        doubtful = doubtful.join(named, x, "left").withColumn(x, F.coalesce(f"c{x}", x)).select("a", "b")
+    clusters = connected_components(cut(doubtful.where("a <> b").distinct(), "doubtful"), "a", "b")
+    clusters = cut(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "clusters")
+    named = components.select(F.col("node").alias("root"), "component")
+    members = nodes.join(named, "root", "left").withColumn("c", F.coalesce("component", "root")).join(clusters, "c")
+    members = cut(members.select("cluster", "c", "root", "print"), "clustered")
+    blocks_of = members.groupBy("cluster").agg(F.expr(f"1 + (count(*) - 1) div {PER_BLOCK}").alias("n"))
+    dealt = members.join(blocks_of, "cluster").withColumn("block", F.expr("pmod(xxhash64(root), n)"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
+    dealt = dealt.select("cluster", "c", "root", "print", "block", other.alias("other"))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "print", "root")
+    texts = docs.select(F.col("doc_id").cast("long").alias("root"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    rows = dealt.join(texts, "root").select("cluster", "i", "j", "block", "c", "print", "text")
+    rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    verified = cut(rows.mapInArrow(_verify(shingle, similarity), "a long, b long"), "verified")
+    return links.union(verified)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
