@@ -8,12 +8,14 @@ and seed and sorted by it within partitions, which is a global shuffle with one
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Sources up to which their rates are broadcast: their number is checked first.
-MAX_SOURCES = 10_000
+#: Sources up to which their rates are broadcast: their number is checked first. Copies that one list names at most.
+MAX_SOURCES, RUN = 10_000, 4096
 
 
 def uniform(*parts: F.Column | str, seed: int) -> F.Column:
@@ -22,23 +24,33 @@ def uniform(*parts: F.Column | str, seed: int) -> F.Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def poisson_cdf(rate: F.Column) -> F.Column:
-    """P(at most k) for k = 0, 1, ... until nothing is left in a double, as an array. A rate of 0 gives [1.0]."""
-    most = F.ceil(rate + 10 * F.sqrt(rate) + 20).cast("int")
-    state = F.aggregate(
-        F.sequence(F.lit(1), F.when(rate > 0, most).otherwise(1)),
-        F.struct((-rate).alias("log_p"), F.array(F.exp(-rate)).alias("cdf")),
-        lambda s, k: F.struct(
-            (s["log_p"] + F.log(rate / k)).alias("log_p"),
-            F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + F.exp(s["log_p"] + F.log(rate / k)))).alias("cdf"),
-        ),
-        lambda s: s["cdf"],
-    )
-    return F.when(rate > 0, state).otherwise(F.array(F.lit(1.0)))
+def poisson_count(rate: F.Column, u: F.Column) -> F.Column:
+    """The number of k whose P(at most k) lies below u, for a Poisson distribution of mean rate; 0 for a rate of 0.
+
+    Beyond ten standard deviations and twenty to either side nothing is left in a double, so that only k between
+    are gone through, as a fold that holds three numbers. Where that begins above 0, its first term is Stirling's.
+    """
+    spread = 10 * F.sqrt(rate) + 20
+    low = F.when(rate - spread < 30, F.lit(0).cast("long")).otherwise(F.floor(rate - spread))
+    at = F.greatest(low, F.lit(1)).cast("double")
+    stirling = at * F.log(rate / at) + at - rate - F.log(2 * math.pi * at) / 2 - 1 / (12 * at) + 1 / (360 * at * at * at)
+    first = F.when(low == 0, -rate).otherwise(stirling)
+
+    def state(log_p: F.Column, cdf: F.Column, n: F.Column) -> F.Column:
+        return F.struct(log_p.alias("log_p"), cdf.alias("cdf"), n.alias("n"))
+
+    def step(s: F.Column, k: F.Column) -> F.Column:
+        log_p = s["log_p"] + F.log(rate / k)
+        cdf = s["cdf"] + F.exp(log_p)
+        return state(log_p, cdf, s["n"] + (cdf < u).cast("long"))
+
+    begin = state(first, F.exp(first), low + (F.exp(first) < u).cast("long"))
+    count = F.aggregate(F.sequence(low + 1, F.ceil(rate + spread)), begin, step, lambda s: s["n"])
+    return F.when(rate > 0, count).otherwise(F.lit(0).cast("long"))
 
 
 def repetition_rates(docs: DataFrame, weights: dict[str, float] | None, total: float | None) -> DataFrame:
-    """source, rate and cdf: rate is weight share x total / documents of the source.
+    """source and rate: rate is weight share x total / documents of the source.
 
     Without weights all sources present count alike; a source that weights doesn't name gets rate 0. A null
     source is a source of its own. total defaults to the number of documents.
@@ -53,8 +65,7 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None, total: f
     if weights is not None:
         sums = sums.withColumn("all", F.lit(float(sum(weights.values()))))
     total_docs = F.col("docs") if total is None else F.lit(float(total))
-    rated = n.join(F.broadcast(sums)).select("source", "n", (F.col("weight") / F.col("all") * total_docs / F.col("n")).alias("rate"))  # sums is one row
-    return rated.withColumn("cdf", poisson_cdf(F.col("rate")))
+    return n.join(F.broadcast(sums)).select("source", (F.col("weight") / F.col("all") * total_docs / F.col("n")).alias("rate"))  # sums is one row
 
 
 def _known_rates(rates: DataFrame) -> DataFrame:
@@ -74,11 +85,21 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     """
     columns = [c for c in docs.columns if c not in ("n_copies", "copy")]
     docs = docs.select(*columns)
-    rates = _known_rates(repetition_rates(docs, weights, total).select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf")))
-    drawn = docs.join(rates, docs["source"].eqNullSafe(rates["_source"])).withColumn("_u", uniform(key, seed=seed))
-    drawn = drawn.withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c < F.col("_u"))).cast("long"))
-    copies = drawn.where("n_copies > 0").select(*columns, "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy"))
-    spark = docs.sparkSession
-    order = F.xxhash64(F.lit(seed), F.col(key), F.col("copy"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return copies.withColumn("_order", order).repartition(parts, "_order").sortWithinPartitions("_order", key, "copy").drop("_order")
+    source, rate, order = (_free(docs, x) for x in ("source", "rate", "order"))
+    rates = _known_rates(repetition_rates(docs, weights, total).toDF(source, rate))
+    drawn = docs.join(rates, docs["source"].eqNullSafe(rates[source])).withColumn("n_copies", poisson_count(F.col(rate), uniform(key, seed=seed)))
+    # in runs of RUN copies, so that no row holds a list as long as its rate
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_copies - 1) div {RUN}")))
+    copies = drawn.where("n_copies > 0").select(*columns, "n_copies", runs.alias(order))
+    of_run = F.sequence(F.col(order) * RUN + 1, F.least((F.col(order) + 1) * RUN, F.col("n_copies")))
+    copies = copies.select(*columns, "n_copies", F.explode(of_run).alias("copy"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = copies.withColumn(order, F.xxhash64(F.lit(seed), F.col(key), F.col("copy")))
+    return copies.repartition(parts, order).sortWithinPartitions(order, key, "copy").drop(order)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name in docs.columns or name in ("n_copies", "copy"):
+        name += "_"
+    return name
