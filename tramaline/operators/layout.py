@@ -136,3 +136,32 @@ def trailing_folios(last: DataFrame, page: list[str], tolerance: float = 2.5) ->
     near = Window.partitionBy(*page).orderBy(F.round(F.col("x1") * 100).cast("long")).rangeBetween(round(-100 * tolerance), round(100 * tolerance))
     numbers = last.where(F.col("token").rlike(r"^[0-9]+$"))
     return numbers.withColumn("_near", F.count("*").over(near)).where("_near >= 2").drop("_near")
+
+
+def ocr_lines(words: DataFrame, line: list[str], order: str, least: float = 70.0) -> DataFrame:
+    """line's columns, text, x0, x1 and conf of lines of words (token, x, x1, conf) read with so much confidence.
+
+    Words are joined by a space, and without one between signs of Chinese, Japanese or Korean.
+    """
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(order, "token"))), lambda x: x["token"])
+    text = F.regexp_replace(F.array_join(parts, " "), f"(?<={CJK}) (?={CJK})", "")
+    read = words.groupBy(*line).agg(text.alias("text"), F.min("x").alias("x0"), F.max("x1").alias("x1"), F.avg("conf").alias("conf"))
+    return read.where(F.col("conf") >= least)
+
+
+#: Signs of Chinese, Japanese and Korean.
+CJK = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}]"
+
+
+def page_readability(words: DataFrame, page: list[str], least_words: int = 1, confidence: float = 65.0, sure: float = 40.0, share: float = 0.9, grey: str | None = None, blank_grey: float = 12.0) -> DataFrame:
+    """page's columns, n words, conf, status (ok, blank, unreadable) and reason of pages of words with conf.
+
+    Without words (fewer than least_words) a page is blank; if grey names its deviation of greys, only where that is
+    below blank_grey, else it can't be read. Nor can one of low mean confidence, or of too few words read surely.
+    """
+    read = words.groupBy(*page).agg(F.count("*").alias("n"), F.avg("conf").alias("conf"), F.count_if(F.col("conf") >= sure).alias("_sure"), *([F.max(grey).alias("_grey")] if grey else []))
+    none, low, few = F.col("n") < least_words, F.col("conf") < confidence, F.col("_sure") < share * F.col("n")
+    blank = none & (F.col("_grey") < blank_grey) if grey else none
+    status = F.when(blank, "blank").when(none | low | few, "unreadable").otherwise("ok")
+    reason = F.when(none, "no word").when(low, "confidence").when(few, "doubtful words")
+    return read.select(*page, "n", "conf", status.alias("status"), reason.alias("reason"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramaline.operators.folds import anchor_clusters, greedy_batches
-from tramaline.operators.layout import column_gutters, reading_order, stacked_blocks, trailing_folios
+from tramaline.operators.layout import column_gutters, ocr_lines, page_readability, reading_order, stacked_blocks, trailing_folios
 from tramaline.plans.base import SEGMENTS, Plans, segments
 from tramaline.sources.html import html_segments
 from tramaline.session import table
@@ -105,10 +105,9 @@ def complete_second_read(spark, d):
 
 
 @plan("ocr_lines", f"select doc_id, line, string_agg(token, ' ' order by pos) as text, min(x) as x0, max(x + w) as x1, avg(conf) as conf from {WORDS} group by 1, 2 having avg(conf) >= 50")
-def ocr_lines(spark, d):
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ")
-    g = words(spark, d).groupBy("doc_id", "line").agg(text.alias("text"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.avg("conf").alias("conf"))
-    return g.where("conf >= 50")
+def lines_read(spark, d):
+    w = words(spark, d).withColumn("x1", F.col("x") + F.col("w"))
+    return ocr_lines(w, ["doc_id", "line"], "pos", least=50).select("doc_id", "line", "text", "x0", "x1", "conf")
 
 
 @plan("list_markers", f"select doc_id, seq, coalesce(lag(rank) over w = rank - 1, false) or coalesce(lead(rank) over w = rank + 1, false) as proven from (select doc_id, seq, seq % 2 as edge, seq // 2 + case when seq % 7 = 3 then 5 else 0 end as rank from {SEGMENTS}) window w as (partition by doc_id, edge order by seq)")
@@ -147,20 +146,21 @@ def style_segments(spark, d):
 
 _READ = f"(select doc_id, page, avg(conf) as conf, count(*) as n, count(*) filter (where conf >= 40) as sure from {WORDS} group by 1, 2)"
 _STATUS = "case when n < 3 then 'blank' when conf < 48 then 'unreadable' when sure < 0.6 * n then 'unreadable' else 'ok' end"
+_REASON = "case when n < 3 then 'no word' when conf < 48 then 'confidence' when sure < 0.6 * n then 'doubtful words' end"
 
 
 def page_reads(spark, d):
-    return words(spark, d).groupBy("doc_id", "page").agg(F.avg("conf").alias("conf"), F.count("*").alias("n"), F.count_if(F.col("conf") >= 40).alias("sure"))
+    return page_readability(words(spark, d), ["doc_id", "page"], least_words=3, confidence=48, sure=40, share=0.6)
 
 
-@plan("page_readability", f"select doc_id, page, {_STATUS} as status from {_READ}")
-def page_readability(spark, d):
-    return page_reads(spark, d).selectExpr("doc_id", "page", f"{_STATUS} as status")
+@plan("page_readability", f"select doc_id, page, {_STATUS} as status, {_REASON} as reason from {_READ}")
+def readability(spark, d):
+    return page_reads(spark, d).select("doc_id", "page", "status", "reason")
 
 
 @plan("page_status", f"select doc_id, count(*) filter (where status = 'blank') as blank, count(*) filter (where status = 'unreadable') as unreadable, count(*) filter (where status = 'ok') as billable from (select doc_id, {_STATUS} as status from {_READ}) group by 1")
 def page_status(spark, d):
-    s = page_reads(spark, d).withColumn("status", F.expr(_STATUS))
+    s = page_reads(spark, d)
     return s.groupBy("doc_id").agg(*(F.count_if(F.col("status") == k).alias(v) for k, v in (("blank", "blank"), ("unreadable", "unreadable"), ("ok", "billable"))))
 
 
@@ -174,7 +174,7 @@ def pages_outside_selection(spark, d):
 @plan("read_but_untranslated", f"select doc_id, page from {_READ} where {_STATUS} = 'ok' and (doc_id, page) not in (select doc_id, seq // 25 from {SEGMENTS} where seq % 50 < 25)")
 def read_but_untranslated(spark, d):
     done = segments(spark, d).where("seq % 50 < 25").selectExpr("doc_id", "seq div 25 as page").distinct()
-    return page_reads(spark, d).where(f"{_STATUS} = 'ok'").join(done, ["doc_id", "page"], "left_anti").select("doc_id", "page")
+    return page_reads(spark, d).where("status = 'ok'").join(done, ["doc_id", "page"], "left_anti").select("doc_id", "page")
 
 
 _IMAGES = "(select l_partkey as image, l_orderkey as page, l_suppkey % 20 as doc, l_quantity * 8 as width, l_linenumber * 30 as height from lineitem)"

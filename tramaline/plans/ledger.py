@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tramaline.functions import identity as I
 from tramaline.functions import money as M
 from tramaline.operators import ledger as L
+from tramaline.operators import limits as Limits
 from tramaline.plans.base import NOW_ORDERS, Plans
 from tramaline.session import table
 
@@ -116,9 +117,8 @@ def token_cost(spark, d):
 
 @plan("spend_24h", f"select user_id, sum(greatest(prev - pages, 0)) filter (where created_at > {NOW} - interval 30 days and created_at <= {NOW})::bigint as spent from (select *, lag(pages) over (partition by user_id order by created_at, document_id, line, part, pages) as prev from {USAGE}) group by 1 having count(*) filter (where prev is not null and created_at > {NOW} - interval 30 days and created_at <= {NOW}) > 0")
 def spend_24h(spark, d):
-    w = W.partitionBy("user_id").orderBy("created_at", "document_id", "line", "part", "pages")
-    t = usage(spark, d).withColumn("prev", F.lag("pages").over(w)).where(f"prev is not null and created_at > {NOW} - interval 30 days and created_at <= {NOW}")
-    return t.groupBy("user_id").agg(F.sum(F.greatest(F.col("prev") - F.col("pages"), F.lit(0))).alias("spent"))
+    order = ["created_at", "document_id", "line", "part", "pages"]
+    return Limits.spend(usage(spark, d), "user_id", "pages", order, "created_at", NOW, hours=30 * 24)
 
 
 # ---- quota ----
@@ -377,8 +377,8 @@ def credit_once(spark, d):
 
 @plan("pending_guard", f"select payment_id, count(*) over (partition by user_id order by created_at range between interval 3 days preceding and current row) > 1 as blocked from {PAYMENTS} where status = 'PENDING' and not card and plan is not null")
 def pending_guard(spark, d):
-    w = W.partitionBy("user_id").orderBy(F.unix_timestamp("created_at")).rangeBetween(-3 * 86400, 0)
-    return payments(spark, d).where("status = 'PENDING' and not card and plan is not null").withColumn("created_at", F.col("created_at").cast("timestamp")).select("payment_id", (F.count("*").over(w) > 1).alias("blocked"))
+    p = payments(spark, d).where("status = 'PENDING' and not card and plan is not null")
+    return Limits.pending_guard(p, seconds=3 * 86400).select("payment_id", "blocked")
 
 
 @plan("expire_plans", f"select user_id, plan as lost, {_EXPIRES} as expired_at from {USERS} where plan_started_at is not null and {_EXPIRES} <= {NOW}")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tramaline.functions import identity as I
+from tramaline.operators import limits as L
 from tramaline.operators.graph import connected_components
 from tramaline.plans.base import NOW_EVENTS, Plans
 from tramaline.operators.tables import insert_if_absent
@@ -101,26 +102,32 @@ def preview_used(spark, d):
 
 @plan("submission_rate", f"select event_id, count(*) over (partition by browser order by ts range between interval 6 hours preceding and current row) - 1 >= 5 or count(*) over (partition by ip order by ts range between interval 6 hours preceding and current row) - 1 >= 20 as refused from {SIGNALS}")
 def submission_rate(spark, d):
-    before = lambda k: F.count("*").over(W.partitionBy(k).orderBy(seconds()).rangeBetween(-6 * 3600 * 10**6, 0)) - 1
-    return signals(spark, d).select("event_id", ((before("browser") >= 5) | (before("ip") >= 20)).alias("refused"))
+    # a sparse table: 6 hours, where the service has 600 seconds
+    return L.submission_rate(signals(spark, d), {"browser": 5, "ip": 20}, seconds=6 * 3600).select("event_id", "refused")
 
 
-_RELATED = f"select a.event_id, count(distinct b.email) filter (where b.ip = a.ip) as same_ip, count(distinct b.email) filter (where b.browser = a.browser) as same_browser from (select * from {SIGNALS} where event_type = 'signup') a join (select * from {SIGNALS} where event_type = 'signup') b on (b.ip = a.ip or b.browser = a.browser) and b.email <> a.email group by 1"
+
+
+#: Sign-ups: two accounts share a mailbox.
+_SIGNUPS = f"(select *, 'm' || (user_id // 2) as mailbox from {SIGNALS} where event_type = 'signup')"
+_NEAR = "abs(cast(b.ts as date) - cast(a.ts as date)) <= 3"
+_SUDDEN = " or ".join(f"len(list_distinct(list(b.email) filter (where b.{k} = a.{k} and b.ts <= a.ts and b.ts >= a.ts - interval 6 hours))) >= 2" for k in ("ip", "browser"))
+_RELATED = f"""select a.event_id, a.mailbox, count(distinct b.email) filter (where b.email <> a.email and b.mailbox = a.mailbox) as same_mailbox, count(distinct b.email) filter (where b.email <> a.email and b.ip = a.ip and {_NEAR}) as same_ip,
+count(distinct b.email) filter (where b.email <> a.email and b.browser = a.browser and {_NEAR}) as same_browser, {_SUDDEN} as rapid_sequence,
+coalesce(array_to_string(list_sort(list_distinct(list(b.email) filter (where b.email <> a.email and (b.mailbox = a.mailbox or {_NEAR}))))[1:10], ','), '') as related
+from {_SIGNUPS} a join {_SIGNUPS} b on b.ip = a.ip or b.browser = a.browser or b.mailbox = a.mailbox group by a.event_id, a.mailbox, a.ts"""
 
 
 @plan("account_relations", _RELATED)
 def account_relations(spark, d):
-    # distinct e-mails per key first, then the record's own is taken away: no pairs of records are made
-    s = signals(spark, d).where("event_type = 'signup'")
-    per = lambda k: s.groupBy(k).agg(F.countDistinct("email").alias(f"n_{k}"))
-    out = s.join(per("ip"), "ip").join(per("browser"), "browser")
-    return out.select("event_id", (F.col("n_ip") - 1).alias("same_ip"), (F.col("n_browser") - 1).alias("same_browser")).where("same_ip > 0 or same_browser > 0")
+    s = signals(spark, d).where("event_type = 'signup'").withColumn("mailbox", F.expr("concat('m', user_id div 2)"))
+    out = L.account_relations(s, days=3, rapid=2, seconds=6 * 3600)
+    return out.select("event_id", "mailbox", "same_mailbox", "same_ip", "same_browser", "rapid_sequence", F.array_join("related", ",").alias("related"))
 
 
 @plan("purge_signals", f"select event_id, case when ts >= {NOW} - interval 10 days then ip end as ip, case when ts >= {NOW} - interval 10 days then browser end as browser from {SIGNALS}")
 def purge_signals(spark, d):
-    fresh = F.expr(f"ts >= {NOW} - interval 10 days")
-    return signals(spark, d).select("event_id", F.when(fresh, F.col("ip")).alias("ip"), F.when(fresh, F.col("browser")).alias("browser"))
+    return L.purge_signals(signals(spark, d), ("ip", "browser"), NOW, days=10).select("event_id", "ip", "browser")
 
 
 @plan("anonymise_deleted", f"select event_id, case when user_id % 7 = 0 then sha256(email) else email end as email, case when user_id % 7 = 0 and event_type = 'view' then 'declined' else event_type end as status from {SIGNALS}")
@@ -131,8 +138,10 @@ def anonymise_deleted(spark, d):
 
 @plan("purge_grants", f"select event_type, count(*) as kept from events where ts >= {NOW} - case event_type when 'view' then interval 2 days when 'click' then interval 35 days else interval 5 days end group by 1")
 def purge_grants(spark, d):
-    keep = F.expr(f"ts >= {NOW} - case event_type when 'view' then interval '2' day when 'click' then interval '35' day else interval '5' day end")
-    return signals(spark, d).where(keep).groupBy("event_type").agg(F.count("*").alias("kept"))
+    kept = L.purge_grants(signals(spark, d), NOW, kind="event_type", days={"view": 2, "click": 35}, rest=5)
+    return kept.groupBy("event_type").agg(F.count("*").alias("kept"))
+
+
 
 
 _CHARS = "cast(floor(value * 10) as bigint)"
@@ -152,14 +161,13 @@ def page_limits(spark, d):
 
 @plan("technical_bounds", "select event_id, row_number() over (partition by user_id, date_trunc('day', ts), event_type order by ts, event_id) <= case event_type when 'click' then 1 when 'view' then 2 else 3 end as allowed from events")
 def technical_bounds(spark, d):
-    k = F.row_number().over(W.partitionBy("user_id", F.date_trunc("day", "ts"), "event_type").orderBy("ts", "event_id"))
-    return table(spark, d, "events").select("event_id", (k <= F.expr("case event_type when 'click' then 1 when 'view' then 2 else 3 end")).alias("allowed"))
+    calls = table(spark, d, "events").withColumn("page", F.date_trunc("day", "ts"))
+    return L.technical_bounds(calls, ["user_id", "page"], "event_type", ["ts", "event_id"], {"click": 1, "view": 2}, rest=3).select("event_id", "allowed")
 
 
 @plan("already_seen", "select event_id, coalesce(ts - lag(ts) over (partition by user_id, props order by ts, event_id) <= interval 10 days, false) as seen from events")
 def already_seen(spark, d):
-    before = F.lag(seconds()).over(W.partitionBy("user_id", F.sha2("props", 256)).orderBy("ts", "event_id"))
-    return table(spark, d, "events").select("event_id", F.coalesce(seconds() - before <= 10 * 86400 * 10**6, F.lit(False)).alias("seen"))
+    return L.already_seen(table(spark, d, "events"), ["user_id"], "props", "ts", ["event_id"], days=10).select("event_id", "seen")
 
 
 @plan("prefix_that_fits", f"select user_id, count(*) as texts from (select user_id, sum({_CHARS}) over (partition by user_id order by ts, event_id) as total from events) where total <= 1500 group by 1")
@@ -168,13 +176,18 @@ def prefix_that_fits(spark, d):
     return table(spark, d, "events").withColumn("total", total).where("total <= 1500").groupBy("user_id").agg(F.count("*").alias("texts"))
 
 
-@plan("invitation_rules", "select event_id from (select event_id, user_id, event_id % 97 as target, row_number() over (partition by user_id, event_id % 97 order by ts, event_id) as pair, count(*) over (partition by user_id order by ts range between interval 24 hours preceding and current row) as day from events where event_type = 'click') where pair <= 3 and day <= 20 and target not in (select user_id from events where event_type = 'signup' and user_id % 4 = 0)")
+_ASKED = "(select event_id, ts, user_id as sender, event_id % 97 as target, user_id % 97 as own from events where event_type = 'click')"
+_RANGE = "range between interval {} preceding and current row) - 1 >= {}"
+
+
+@plan("invitation_rules", f"""select event_id, case when target = own then 'own' when target in (select user_id from events where event_type = 'signup' and user_id % 4 = 0) then 'member'
+  when ts - lag(ts) over (partition by sender, target order by ts, event_id) < interval 10 minutes then 'resend' when count(*) over (partition by sender, target order by ts {_RANGE.format('7 days', 1)} then 'pair'
+  when count(*) over (partition by target order by ts {_RANGE.format('7 days', 5)} then 'address' when count(*) over (partition by sender order by ts {_RANGE.format('24 hours', 2)} then 'day' end as refused from {_ASKED}""")
 def invitation_rules(spark, d):
     e = table(spark, d, "events")
-    t = e.where("event_type = 'click'").withColumn("target", F.expr("event_id % 97"))
-    t = t.withColumn("pair", F.row_number().over(W.partitionBy("user_id", "target").orderBy("ts", "event_id"))).withColumn("day", F.count("*").over(W.partitionBy("user_id").orderBy(seconds()).rangeBetween(-86400 * 10**6, 0)))
-    members = e.where("event_type = 'signup' and user_id % 4 = 0").select(F.col("user_id").alias("target")).distinct()
-    return t.where("pair <= 3 and day <= 20").join(members, "target", "left_anti").select("event_id")
+    asked = e.where("event_type = 'click'").selectExpr("event_id", "ts", "user_id as sender", "event_id % 97 as target", "user_id % 97 as own")
+    members = e.where("event_type = 'signup' and user_id % 4 = 0").select(F.col("user_id").alias("target"))
+    return L.invitation_rules(asked, members, pair=1, per_day=2).select("event_id", "refused")
 
 
 # ---- beta programmes: suppliers as campaigns, customers as enrolments ----
@@ -326,8 +339,7 @@ def alert_level(spark, d):
 
 @plan("top_errors", f"select {_FP} as fingerprint, count(*) as n from {_LOGS} where status = 'new' and level <> 'warning' and ts > {NOW} - interval 7 days and ts <= {NOW} group by 1 order by n desc, fingerprint limit 3")
 def top_errors(spark, d):
-    t = logs(spark, d).where(f"status = 'new' and level <> 'warning' and ts > {NOW} - interval 7 days and ts <= {NOW}")
-    return t.groupBy("fingerprint").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "fingerprint").limit(3)
+    return L.top_errors(logs(spark, d), f"{NOW} - interval 7 days", NOW)
 
 
 @plan("daily_recap", f"select day::varchar as day, accounts, warnings from (select cast(ts as date) as day, count(*) filter (where event_type = 'signup') as accounts, count(*) filter (where event_type = 'error' and user_id % 3 = 2) as warnings from events group by 1) where accounts + warnings > 0 and day < date '2024-01-20' and day not in (select cast(ts as date) from events where event_id % 9973 = 1)")
@@ -340,8 +352,7 @@ def daily_recap(spark, d):
 
 @plan("client_dedup", f"select event_id from (select event_id, ts - lag(ts) over (partition by user_id, location order by ts, event_id) as gap from {_LOGS}) where gap is null or gap > interval 10 hours")
 def client_dedup(spark, d):
-    gap = seconds() - F.lag(seconds()).over(W.partitionBy("user_id", "location").orderBy("ts", "event_id"))
-    return logs(spark, d).withColumn("gap", gap).where(f"gap is null or gap > {10 * 3600 * 10**6}").select("event_id")
+    return L.client_dedup(logs(spark, d), ["user_id", "location"], "ts", ["event_id"], seconds=36_000).select("event_id")
 
 
 @plan("ticket_list", f"select location as category, status, count(*) as n, max(ts) as newest from {_LOGS} where strpos(lower(message), 'fault') > 0 group by 1, 2")
@@ -434,7 +445,8 @@ def interrupted_jobs(spark, d):
 
 @plan("purge_invitations", f"select count(*) as kept, min(ts) as oldest from events where event_type = 'click' and ts >= {NOW} - interval 15 days")
 def purge_invitations(spark, d):
-    return signals(spark, d).where(f"event_type = 'click' and ts >= {NOW} - interval 15 days").agg(F.count("*").alias("kept"), F.min("ts").alias("oldest"))
+    kept = L.younger(signals(spark, d).where("event_type = 'click'"), NOW, days=15)
+    return kept.agg(F.count("*").alias("kept"), F.min("ts").alias("oldest"))
 
 
 @plan("catalogue_flat", "select p_partkey, language, coalesce(case when language = 'en' and p_partkey % 3 <> 0 then p_name || ' (en)' end, p_name) as title from part, (values ('fr'), ('en')) l(language) where p_size <> 1")
