@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tramaline.operators.folds import anchor_clusters, greedy_batches
 from tramaline.operators.layout import column_gutters, ocr_lines, page_readability, reading_order, stacked_blocks, trailing_folios
+from tramaline.operators.paragraphs import paragraphs
 from tramaline.plans.base import SEGMENTS, Plans, segments
 from tramaline.sources.html import html_segments
 from tramaline.session import table
@@ -67,6 +68,14 @@ def order(spark, d):
     return reading_order(lines, ["doc_id", "page"])
 
 
+@plan("paragraphs")
+def paragraphs_of_pages(spark, d):
+    # two columns of lines; every seventh line stands apart, every eleventh is bold
+    lines = segments(spark, d).selectExpr("doc_id", "seq div 40 as page", "seq", "cast(seq % 2 * 320 + if(seq % 5 = 4, 20, 0) as double) as x0", "cast(seq % 40 div 2 * 14 + seq % 40 div 14 * 12 as double) as top", "text", "seq % 11 = 10 as bold")
+    lines = lines.selectExpr("*", "x0 + least(length(text), 60) * 5.0D as x1", "top + 12.0D as bottom", "top + 10.0D as base", "10.0D as size", "cast(null as bigint) as cell")
+    return paragraphs(lines, ["doc_id", "page"])
+
+
 @plan("bands", f"select doc_id, line, pos, sum(new) over {_LINE} as band from (select doc_id, line, pos, case when x >= coalesce(max(x + w) over (partition by doc_id, line order by pos rows between unbounded preceding and 1 preceding), x) then 1 else 0 end as new from {WORDS})")
 def bands(spark, d):
     reach = F.max(F.col("x") + F.col("w")).over(by_line().rowsBetween(W.unboundedPreceding, -1))
