@@ -98,19 +98,35 @@ def digit_runs(x: Text) -> Column:
     return F.regexp_extract_all(_c(x), F.lit(r"(\d+)"))
 
 
+#: Fixed values of what is billed and compared, by code point: signs of Chinese, Japanese and Korean; scripts without
+#: spaces (Thai, Lao, Burmese, Khmer); an inclusive ending in parentheses, as in "étudiant(e)s".
+CJK_SIGNS = r"\x{3400}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}"
+UNSPACED = r"\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}"
+ENDING = r"[a-zà-ÿ]\([a-zà-ÿ]{1,3}\)"
+#: Signs of such a script that make a word, and those of a long run.
+SIGNS_PER_WORD, LONG_RUN = 5, 50
+
+
 def open_parens(x: Text) -> Column:
     """Opening parentheses, full-width ones included, without short inclusive endings glued to a word."""
-    t = F.translate(strip_tags(x), "（", "(")
-    return F.regexp_count(t, F.lit(r"\(")) - F.regexp_count(t, F.lit(r"[a-zà-ÿ]\([a-zà-ÿ]{1,3}\)"))
+    rest = F.regexp_replace(strip_tags(x), f"(?<={ENDING[: ENDING.index(']') + 1]}){ENDING[ENDING.index(']') + 1 :]}", "")
+    return F.regexp_count(rest, F.lit(r"[(\x{ff08}]"))
 
 
 def word_count(x: Text) -> Column:
-    """Words to bill: each CJK sign one; Thai, Lao, Burmese, Khmer one per 5 signs; long runs one per 50; numbers none."""
-    t = F.regexp_replace(F.regexp_replace(_c(x), ORPHAN, ""), r"([㐀-鿿぀-ヿ가-힯])", " $1 ")
-    unspaced = r"([฀-໿က-႟ក-៿]+)"
-    dense = F.aggregate(F.regexp_extract_all(t, F.lit(unspaced)), F.lit(0), lambda n, r: n + F.floor((F.length(r) + 4) / 5).cast("int"))
-    parts = F.filter(F.regexp_extract_all(F.regexp_replace(t, unspaced, " "), F.lit(r"((?U)[^\W_]+(?:['’\-][^\W_]+)*)")), lambda p: p.rlike(r"\p{L}"))
-    return (dense + F.aggregate(parts, F.lit(0), lambda n, p: n + F.floor((F.length(p) + 49) / 50).cast("int"))).cast("long")
+    """Words to bill: each CJK sign one; Thai, Lao, Burmese, Khmer one per 5 signs; long runs one per 50; numbers none.
+
+    One pass takes the text apart into signs, runs of scripts without spaces, and words; each part is billed by kind.
+    """
+    letter = rf"[\w&&[^_{CJK_SIGNS}{UNSPACED}]]"
+    part = rf"((?U)[{CJK_SIGNS}]|[{UNSPACED}]+|{letter}+(?:['’\-]{letter}+)*)"
+    words = lambda p, n: F.ceil(F.length(p) / F.lit(n)).cast("int")
+
+    def bill(p: Column) -> Column:
+        return F.when(p.rlike(f"^[{UNSPACED}]"), words(p, SIGNS_PER_WORD)).when(p.rlike(r"\p{L}"), words(p, LONG_RUN)).otherwise(0)
+
+    parts = F.regexp_extract_all(F.regexp_replace(_c(x), ORPHAN, ""), F.lit(part))
+    return F.aggregate(parts, F.lit(0), lambda n, p: n + bill(p)).cast("long")
 
 
 def page_range(x: Text) -> Column:
