@@ -56,7 +56,17 @@ def export_json(spark, d):
     return e.select("event_id", F.col("ts").cast("timestamp_ntz").cast("string").alias("ts"))
 
 
-@plan("greedy_batches")
+def walk(rows: str, keys: str, columns: str, first: str, then: str, out: str) -> str:
+    """SQL that goes through the rows of each key in order r: state columns after the first row, and after each next."""
+    state = f"with recursive s as {rows}, f({keys}, r, {columns}) as (select {keys}, r, {first} from s where r = 1 union all select {', '.join('s.' + k.strip() for k in keys.split(','))}, s.r, {then} from f join s on "
+    return state + " and ".join(f"s.{k.strip()} = f.{k.strip()}" for k in keys.split(",")) + f" and s.r = f.r + 1) select {keys}, {out} from f"
+
+
+_NEW = "f.n = 300 or f.size + s.n > 18000"
+_SIZED = f"(select doc_id, seq, least(length(text), 18000) as n, row_number() over (partition by doc_id order by seq) as r from {SEGMENTS})"
+
+
+@plan("greedy_batches", walk(_SIZED, "doc_id", "seq, batch, n, size", "seq, 0::bigint, 1, n", f"s.seq, f.batch + ({_NEW})::int, case when {_NEW} then 1 else f.n + 1 end, case when {_NEW} then s.n else f.size + s.n end", "seq, batch"))
 def batches(spark, d):
     return greedy_batches(segments(spark, d), "doc_id", 300, 18_000)
 
@@ -139,7 +149,10 @@ def folios(spark, d):
     return trailing_folios(last, ["doc_id", "page"]).select("doc_id", "page", "line", "token")
 
 
-@plan("anchor_cluster")
+_ANCHORS = f"(select doc_id, page, line, x, row_number() over (partition by doc_id, page order by x, line) as r from {WORDS} where pos = 0)"
+
+
+@plan("anchor_cluster", walk(_ANCHORS, "doc_id, page", "seq, cluster, first", "line, 0::bigint, x", "s.line, f.cluster + (s.x - f.first > 3)::int, case when s.x - f.first > 3 then s.x else f.first end", "seq, cluster"))
 def anchors(spark, d):
     lines = words(spark, d).where("pos = 0").select("doc_id", "page", F.col("line").alias("seq"), "x")
     return anchor_clusters(lines, ["doc_id", "page"], "x", 3.0)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tramaline.functions import text as T
 from tramaline.operators.folds import apply_plans, redistribute_runs, spread_sample, title_safe_batches, typed_batches
+from tramaline.operators.contexts import page_context
 from tramaline.plans.base import NOW_EVENTS, SEGMENTS, Plans, pairs, segments
+from tramaline.plans.layout import walk
 from tramaline.plans.ledger import payments
 from tramaline.session import table
 
@@ -22,27 +24,39 @@ def safe_batches(spark, d):
     return title_safe_batches(rows.select("doc_id", "seq", "title"), ["doc_id"], 5)
 
 
-@plan("typed_batches")
+_NEXT = "f.n = 10 or (f.n >= 5 and s.kind <> f.kind)"
+_KINDS = f"(select doc_id, seq, seq // 3 % 2 as kind, row_number() over (partition by doc_id order by seq) as r from {SEGMENTS})"
+
+
+@plan("typed_batches", walk(_KINDS, "doc_id", "seq, batch, n, kind", "seq, 0::bigint, 1, kind", f"s.seq, f.batch + ({_NEXT})::int, case when {_NEXT} then 1 else f.n + 1 end, s.kind", "seq, batch"))
 def kinds_apart(spark, d):
     # a batch closes once it holds 5 lines and the kind of line changes; at 10 lines in any case
     rows = segments(spark, d).selectExpr("doc_id", "seq", "seq div 3 % 2 as kind")
     return typed_batches(rows, ["doc_id"], 5, 10)
 
 
-@plan("spread_sample")
+_TEXTS = f"(select doc_id, seq, trim(text) as text, length(trim(text)) as n, sum(length(trim(text))) over (partition by doc_id) as total, row_number() over (partition by doc_id order by seq) as r from {SEGMENTS})"
+_STEP = "greatest(length(substr(s.text, 1, 400)) * s.total / 600.0::double, 1.0)"
+
+
+@plan("spread_sample", walk(_TEXTS, "doc_id", "seq, excerpt, past, due, taken", "seq, case when total <= 600 then text else substr(text, 1, 400) end, n, " + _STEP.replace("s.", "") + ", true",
+      f"s.seq, case when s.total <= 600 then s.text else substr(s.text, 1, 400) end, f.past + s.n, case when f.past >= f.due then f.due + {_STEP} else f.due end, s.total <= 600 or f.past >= f.due", "seq, excerpt") + " where taken")
 def sample(spark, d):
     return spread_sample(segments(spark, d).select("doc_id", "seq", "text"), "doc_id", 600)
 
 
-_PAGE = f"(select doc_id, seq // 10 as page, string_agg(case when seq % 10 = 0 then '# ' else '' end || text, chr(10) order by seq) as context from {SEGMENTS} group by 1, 2)"
+#: Pages of 40 lines, batches of 10; every tenth line is a title. Where each batch stands in its page's text.
+_MARKED = f"(select doc_id, seq // 40 as page, seq // 10 as batch, seq, case when seq % 10 = 0 then '# ' else '' end || text as line from {SEGMENTS})"
+_PLACED = f"(select *, sum(length(line) + 1) over (partition by doc_id, page order by seq) as past from {_MARKED})"
+_SPANS = f"(select doc_id, page, batch, min(past - length(line) - 1) as lo, max(past - 1) as hi from {_PLACED} group by 1, 2, 3)"
+_WHOLE = f"(select doc_id, page, string_agg(line, chr(10) order by seq) as text from {_MARKED} group by 1, 2)"
 
 
-@plan("page_context", f"select doc_id, page, substr(context, 1, 2500) as context from {_PAGE}")
-def page_context(spark, d):
+@plan("page_context", f"select doc_id, page, batch, substr(text, 1 + greatest(0, least(length(text) - 2500, (lo + hi) // 2 - 1250))::bigint, 2500) as context from {_SPANS} join {_WHOLE} using (doc_id, page)")
+def contexts(spark, d):
     line = F.concat(F.when(F.col("seq") % 10 == 0, "# ").otherwise(""), F.col("text"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"])
-    g = segments(spark, d).groupBy("doc_id", F.expr("seq div 10").alias("page")).agg(F.array_join(lines, "\n").alias("context"))
-    return g.select("doc_id", "page", F.substring("context", 1, 2500).alias("context"))
+    lines = segments(spark, d).select("doc_id", F.expr("seq div 40").alias("page"), F.expr("seq div 10").alias("batch"), "seq", line.alias("line"))
+    return page_context(lines, ["doc_id", "page"])
 
 
 @plan("document_brief_material", f"select doc_id, string_agg(text, '|' order by seq) as titles from (select doc_id, seq, text, row_number() over (partition by doc_id order by seq) as r from {SEGMENTS} where length(text) <= 80) where r <= 60 group by 1")
