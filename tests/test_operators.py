@@ -17,7 +17,7 @@ from tramaline.operators.layout import column_gutters, page_order, stacked_block
 from tramaline.operators.pairs import word_recall
 from tramaline.operators.tables import insert_if_absent
 from tramaline.sources.html import html_segments
-from tramaline.streaming.jobs import cooldown_alerts, drained
+from tramaline.streaming.jobs import bounded_alerts, cooldown_alerts, drained
 
 
 def values(spark, column, items, kind="string"):
@@ -103,6 +103,11 @@ def test_cooldown(spark, tmp_path):
     stream = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in")).withWatermark("ts", "1 hour")
     got = sorted((r.k, (r.ts - day).seconds // 60) for r in drained(cooldown_alerts(stream, "k", 3600), "append").collect())
     assert got == [("a", 0), ("a", 61), ("a", 150), ("b", 0)]
+    rows = [(f"k{i % 4}", day + dt.timedelta(minutes=7 * i)) for i in range(20)]
+    spark.createDataFrame(rows, "k string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "alerts"))
+    stream = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "alerts"))
+    got = sorted((r.ts - day).seconds // 60 for r in drained(bounded_alerts(stream, "k", 3600, 2), "append").collect())
+    assert got == [0, 7, 63, 70, 126, 133]
 
 
 def test_blocks_and_gutters(spark):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tramaline.plans.base import Plans
+from tramaline.plans.layout import walk
 from tramaline.session import table
-from tramaline.streaming.jobs import cooldown_alerts, crossing_alerts, drained, event_stream
+from tramaline.streaming.jobs import bounded_alerts, cooldown_alerts, crossing_alerts, drained, event_stream, streamed_again
 
 plan = Plans()
 QUERIES, SQL = plan.queries, plan.sql
@@ -18,10 +19,16 @@ def page_progress(spark, d):
     return drained(s.agg(F.max_by("event_type", "ts").alias("status")), "complete")
 
 
-@plan("critical_alerts")
+_FAULTS = "(select 'page' || user_id % 7 as fingerprint, ts, row_number() over (partition by user_id % 7 order by ts, event_id) as r from events where event_type = 'error')"
+_GAP = "s.ts - f.last >= interval 1 hour"
+_ALERTS = walk(_FAULTS, "fingerprint", "ts, last, alerts", "ts, ts, true", f"s.ts, case when {_GAP} then s.ts else f.last end, {_GAP}", "ts") + " where alerts"
+
+
+@plan("critical_alerts", f"select fingerprint, cast(ts as timestamp) as ts from (select *, row_number() over (partition by date_trunc('hour', ts) order by ts, fingerprint) as n from ({_ALERTS})) where n <= 5")
 def critical_alerts(spark, d):
     errors = event_stream(spark, d).where("event_type = 'error'").withColumn("fingerprint", F.expr("concat('page', user_id % 7)"))
-    return drained(cooldown_alerts(errors.select("fingerprint", "ts"), "fingerprint", 3600), "append")
+    alerts = drained(cooldown_alerts(errors.select("fingerprint", "ts"), "fingerprint", 3600), "append")
+    return drained(bounded_alerts(streamed_again(alerts), "fingerprint", 3600, 5), "append")
 
 
 @plan("error_digest", "select cast(date_trunc('hour', ts) as timestamp) as hour, count(*) as errors from events where event_type = 'error' group by 1")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tramaline.session import shared_folder
@@ -83,3 +84,32 @@ def crossing_alerts(stream: DataFrame, key: str, threshold: float) -> DataFrame:
 
     kind = stream.schema[key].dataType.simpleString()
     return stream.select(key, "ts", "n", "value").groupBy(key).applyInPandasWithState(watch, f"{key} {kind}, ts timestamp", "low boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def streamed_again(table: DataFrame) -> DataFrame:
+    """A drained table as a stream of its files, for a job that goes on from it."""
+    folder = table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else None
+    if folder is None:
+        raise ValueError("the table has no files")
+    return table.sparkSession.readStream.schema(table.schema).parquet(folder)
+
+
+def bounded_alerts(stream: DataFrame, key: str, seconds: int, most: int) -> DataFrame:
+    """Of alerts (key, ts) the first `most` in each span of so many seconds, counted from the epoch.
+
+    Rows of a batch go in order of ts, then key. State is one number per span, dropped a span after its end.
+    """
+    kind = stream.schema[key].dataType.simpleString()
+
+    def bound(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n = state.get[0] if state.exists else 0
+        out = pd.concat(list(frames)).sort_values(["ts", key])[[key, "ts"]].head(max(0, most - n))
+        state.update((n + len(out),))
+        state.setTimeoutTimestamp(max((int(k[0]) + 2) * seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield out
+
+    spans = stream.withWatermark("ts", f"{seconds} seconds").withColumn("span", F.floor(F.unix_timestamp("ts") / seconds))
+    return spans.groupBy("span").applyInPandasWithState(bound, f"{key} {kind}, ts timestamp", "n long", "append", GroupStateTimeout.EventTimeTimeout)
