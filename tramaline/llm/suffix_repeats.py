@@ -28,7 +28,7 @@ from tramaline.session import cut
 
 LENGTH, GRAM = 100, 32
 #: Different runs of one minimizer that go to one task at most.
-HOT = 20_000
+HOT = 4_000
 #: Bytes of strings in one suffix array.
 BATCH = 1 << 20
 
