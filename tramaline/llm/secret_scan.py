@@ -61,6 +61,21 @@ EXTRA = (
     Rule("google", rb"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", rb"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("jwt", rb"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("age", rb"AGE-SECRET-KEY-1[A-Z0-9]{50,}"),
+    Rule("azure", rb"AccountKey=[A-Za-z0-9+/]{60,}={0,2}"),
+    Rule("databricks", rb"dapi[a-f0-9]{32}"),
+    Rule("digitalocean", rb"do[opr]_v1_[a-f0-9]{64}"),
+    Rule("docker", rb"dckr_pat_[A-Za-z0-9_-]{20,}"),
+    Rule("gitlab", rb"glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("huggingface", rb"hf_[A-Za-z0-9]{30,}"),
+    Rule("mailgun", rb"key-[0-9a-f]{32}"),
+    Rule("npm", rb"npm_[A-Za-z0-9]{36}"),
+    Rule("pypi", rb"pypi-AgEI[A-Za-z0-9_-]{50,}"),
+    Rule("sendgrid", rb"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
+    Rule("shopify", rb"shp(?:at|ca|pa|ss)_[A-Fa-f0-9]{32}"),
+    Rule("slack_hook", rb"hooks\.slack\.com/services/[A-Za-z0-9/_-]{20,}"),
+    Rule("square", rb"sq0(?:atp|csp)-[A-Za-z0-9_-]{22,}"),
+    Rule("telegram", rb"[0-9]{8,10}:AA[A-Za-z0-9_-]{33}"),
     Rule("url_login", rb"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]++:[^\s/:@]++@"),
 )
 RULES = BASE + EXTRA
