@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tramaline.functions import text as T
 from tramaline.operators.folds import apply_plans, redistribute_runs, spread_sample, title_safe_batches, typed_batches
 from tramaline.operators.contexts import page_context
-from tramaline.plans.base import NOW_EVENTS, SEGMENTS, Plans, pairs, segments
+from tramaline.plans.base import NOW_EVENTS, PAIRS, SEGMENTS, Plans, pairs, segments
 from tramaline.plans.layout import walk
-from tramaline.plans.ledger import payments
+from tramaline.plans.ledger import PAYMENTS, payments
 from tramaline.session import table
 
 plan = Plans()
@@ -18,7 +18,12 @@ QUERIES, SQL = plan.queries, plan.sql
 NOW = f"timestamp '{NOW_EVENTS}'"
 
 
-@plan("title_safe_batches")
+_FLAGS = f"(select doc_id, seq, length(text) <= 80 and seq % 4 = 3 as title, row_number() over (partition by doc_id order by seq) as r from {SEGMENTS})"
+_FILLED = walk(_FLAGS, "doc_id", "seq, title, batch, held, titles", "seq, title, 0::bigint, 1, title::int", "s.seq, s.title, f.batch + (f.held = 5)::int, case when f.held = 5 then f.titles else f.held end + 1, case when s.title then f.titles + 1 else 0 end", "seq, title, batch")
+
+
+# titles go where the next other row goes; there are never five of them in a row
+@plan("title_safe_batches", f"select doc_id, seq, coalesce(min(case when not title then batch end) over (partition by doc_id order by seq rows between current row and unbounded following), max(batch) over (partition by doc_id)) as batch from ({_FILLED})")
 def safe_batches(spark, d):
     rows = segments(spark, d).withColumn("title", (F.length("text") <= 80) & (F.col("seq") % 4 == 3))
     return title_safe_batches(rows.select("doc_id", "seq", "title"), ["doc_id"], 5)
@@ -67,7 +72,12 @@ def brief(spark, d):
     return t.groupBy("doc_id").agg(F.array_join(titles, "|").alias("titles"))
 
 
-@plan("redistribute_runs")
+# runs 0 and 1, which a space parts; where the translation lacks run 1 it is one word, so that the longest run holds it
+_RUN = r"regexp_extract({}, '\[\[{}\]\]([^\[]*)\[\[/{}\]\]', 1)"
+_RUN_TEXTS = rf"(select conv_id, seq, strpos(target, '[[1]]') > 0 as whole, {_RUN.format('source', 0, 0)} as s0, {_RUN.format('source', 1, 1)} as s1, {_RUN.format('target', 0, 0)} as t0, {_RUN.format('target', 1, 1)} as t1, trim(regexp_replace(target, '\[\[/?\d+\]\]', '', 'g')) as bare from {PAIRS})"
+
+
+@plan("redistribute_runs", f"select conv_id, seq, 0::bigint as run, case when whole then t0 when length(trim(s0)) >= length(trim(s1)) then bare else '' end as text from {_RUN_TEXTS} union all select conv_id, seq, 1, case when whole then t1 when length(trim(s0)) >= length(trim(s1)) then '' else bare end from {_RUN_TEXTS}")
 def runs(spark, d):
     p = pairs(spark, d)
     source = T.tag_contents("source")
@@ -84,7 +94,16 @@ def image_cache_hits(spark, d):
     return li.select("l_orderkey", "l_linenumber", "l_partkey", stored.isNotNull().alias("hit"))
 
 
-@plan("apply_plan")
+_PAID = f"(select user_id, payment_id, plan, months, case plan when 'starter' then 790 else 1990 end as price, case plan when 'starter' then 1 else 2 end as rank, created_at, row_number() over (partition by user_id order by created_at, payment_id) as r from {PAYMENTS} where status = 'SUCCESSFUL' and plan is not null)"
+_RUNS, _LOWER, _SAME = "f.ends > s.created_at", "f.ends > s.created_at and f.rank > s.rank", "f.ends > s.created_at and f.plan = s.plan"
+_START = f"case when {_SAME} then f.ends when {_RUNS} then s.created_at + to_seconds(floor(epoch(f.ends - s.created_at))::bigint * f.price // s.price) else s.created_at end"
+_ENDS = f"{_START} + to_months(s.months::int)"
+_KEPT = lambda x, new: f"case when {_LOWER} then f.{x} else {new} end"
+
+
+@plan("apply_plan", walk(_PAID, "user_id", "payment_id, kind, expires_at, plan, rank, price, ends", "payment_id, 'subscription', created_at + to_months(months::int), plan, rank, price, created_at + to_months(months::int)",
+      f"s.payment_id, case when {_LOWER} then 'refund_due' when {_SAME} then 'renewal' else 'subscription' end, case when not ({_LOWER}) then {_ENDS} end, {_KEPT('plan', 's.plan')}, {_KEPT('rank', 's.rank')}, {_KEPT('price', 's.price')}, {_KEPT('ends', _ENDS)}",
+      "payment_id, kind, expires_at"))
 def plans_applied(spark, d):
     p = payments(spark, d).where("status = 'SUCCESSFUL' and plan is not null")
     p = p.select("user_id", "payment_id", "plan", "months", F.expr("case plan when 'starter' then 790 else 1990 end").alias("price"), F.col("created_at").cast("timestamp").alias("created_at"))
