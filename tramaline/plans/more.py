@@ -72,12 +72,14 @@ def brief(spark, d):
     return t.groupBy("doc_id").agg(F.array_join(titles, "|").alias("titles"))
 
 
-# runs 0 and 1, which a space parts; where the translation lacks run 1 it is one word, so that the longest run holds it
+# runs 0 and 1, which a space parts; where the translation lacks run 1, its words are shared if there are two or more
 _RUN = r"regexp_extract({}, '\[\[{}\]\]([^\[]*)\[\[/{}\]\]', 1)"
 _RUN_TEXTS = rf"(select conv_id, seq, strpos(target, '[[1]]') > 0 as whole, {_RUN.format('source', 0, 0)} as s0, {_RUN.format('source', 1, 1)} as s1, {_RUN.format('target', 0, 0)} as t0, {_RUN.format('target', 1, 1)} as t1, trim(regexp_replace(target, '\[\[/?\d+\]\]', '', 'g')) as bare from {PAIRS})"
+_SHARES = rf"(select *, len(w) >= 2 as enough, greatest(1, least(round_even(len(w) * (length(s0) + 1) / greatest(length(s0) + 1 + length(s1), 1), 0)::int, len(w) - 1)) as n, length(trim(s0)) >= length(trim(s1)) as first from (select *, list_filter(regexp_split_to_array(bare, '\s+'), lambda x: x <> '') as w from {_RUN_TEXTS}))"
 
 
-@plan("redistribute_runs", f"select conv_id, seq, 0::bigint as run, case when whole then t0 when length(trim(s0)) >= length(trim(s1)) then bare else '' end as text from {_RUN_TEXTS} union all select conv_id, seq, 1, case when whole then t1 when length(trim(s0)) >= length(trim(s1)) then '' else bare end from {_RUN_TEXTS}")
+@plan("redistribute_runs", f"""select conv_id, seq, 0::bigint as run, case when whole then t0 when enough then array_to_string(w[1:n], ' ') || ' ' when first then bare else '' end as text from {_SHARES}
+union all select conv_id, seq, 1, case when whole then t1 when enough then array_to_string(w[n + 1:], ' ') when first then '' else bare end from {_SHARES}""")
 def runs(spark, d):
     p = pairs(spark, d)
     source = T.tag_contents("source")
