@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tramaline.operators.folds import anchor_clusters, greedy_batches, typed_bat
 from tramaline.operators.layout import column_gutters, page_order, stacked_blocks, trailing_folios
 from tramaline.operators.pairs import word_recall
 from tramaline.operators.tables import insert_if_absent
+from tramaline.sources.extracts import load_segments
 from tramaline.sources.html import html_segments
 from tramaline.streaming.jobs import bounded_alerts, cooldown_alerts, drained
 
@@ -158,3 +160,23 @@ def test_refunds(spark):
     assert tuple(again) == (11, 6, 0)
     lines = usage.withColumn("format", F.when(F.col("document_id") == 2, "pdf").otherwise("docx"))
     assert [(r.document_id, r.line) for r in L.partial_delivery(lines, F.col("status") != "F", 1).where("delivered").collect()] == [(2, 1)]
+
+
+def test_extracts(spark):
+    t = lambda *xs: [{"text": x} for x in xs]
+    shapes = {
+        1: {"pages": [{"text_blocks": t("a", " ", "b")}, {}, {"text_blocks": t("c")}], "objets": t("o")},
+        2: {"slides": [{"text_elements": t("a"), "excel_elements": t("x"), "diagram_elements": [{"text_elements": t("d")}, {}], "chart_elements": [{"text_elements": t("c", "\u00a0")}], "master_elements": [{"text_elements": t("m")}], "layout_elements": [{"text_elements": t("l")}]}, {"text_elements": t("b")}]},
+        3: {"workbook": {"elements": t("s1", "", "s2")}},
+        4: {"document": {"charts": t("z"), "headers": t("h"), "elements": [{"text": "p", "context": {"type": "heading"}}]}, "objets": t("o1", None, "o2")},
+        5: {"other": 1},
+    }
+    rows = [(k, json.dumps(v)) for k, v in shapes.items()] + [(6, "{broken"), (7, None)]
+    got = {}
+    for r in load_segments(spark.createDataFrame(rows, "k int, body string"), ["k"], "body").orderBy("k", "seq").collect():
+        got.setdefault(r.k, []).append((r.section, r.unit, r.text))
+    assert [x[1:] for x in got[1]] == [(0, "a"), (0, "b"), (2, "c"), (0, "o")]
+    assert [x[1:] for x in got[2]] == [(0, "a"), (0, "d"), (0, "c"), (0, "l"), (0, "m"), (0, "x"), (1, "b")]
+    assert [x[2] for x in got[3]] == ["s1", "s2"]
+    assert got[4] == [("elements", 0, "p"), ("headers", 0, "h"), ("charts", 0, "z"), ("objets", 0, "o1"), ("objets", 0, "o2")]
+    assert set(got) == {1, 2, 3, 4}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tramaline.functions import text as T
 from tramaline.operators.pairs import word_recall
+from tramaline.sources.extracts import load_segments
 from tramaline.plans.base import PAIRS, SEGMENTS, TAGGED, Plans, pairs, segments, tagged
 from tramaline.session import table
 
@@ -19,9 +20,24 @@ _NUDE = "strip_accents(lower(" + _SQUEEZE + "))"
 _KEY = "seq"
 
 
-@plan("load_segments", f"select doc_id, seq, text, lang, source from {SEGMENTS}")
-def load_segments(spark, d):
-    return segments(spark, d).select("doc_id", "seq", "text", "lang", "source")
+_LINES = "(select doc_id, i, parts[i] as text from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents), unnest(range(1, len(parts) + 1)) r(i))"
+
+
+@plan("load_segments", f"select doc_id, row_number() over (partition by doc_id order by i) - 1 as seq, case when doc_id % 4 < 2 then (i - 1) // 10 else 0 end as unit, text from {_LINES} where regexp_matches(text, '[^\\s]')")
+def segments_of_extracts(spark, d):
+    # a document as the extract of a PDF, slides, a workbook or a text file; pages and slides have ten lines
+    block = lambda xs: F.transform(xs, lambda t: F.struct(t.alias("text")))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    docs = table(spark, d, "documents").withColumn("lines", lines)
+    tens = F.transform(F.sequence(F.lit(0), F.expr("(size(lines) - 1) div 10")), lambda i: F.slice("lines", i * 10 + 1, F.lit(10)))
+    page = F.transform(tens, lambda t: F.struct(block(t).alias("text_blocks")))
+    slide = F.transform(tens, lambda t: F.struct(block(F.slice(t, 1, 5)).alias("text_elements"), F.array(F.struct(block(F.slice(t, 6, 5)).alias("text_elements"))).alias("diagram_elements")))
+    half = F.expr("cast(ceil(size(lines) / 2) as int)")
+    parts = F.struct(block(F.slice("lines", F.lit(1), half)).alias("elements"), block(F.slice("lines", half + 1, F.size("lines"))).alias("footers"))
+    kind = F.col("doc_id") % 4
+    body = F.struct(F.when(kind == 0, page).alias("pages"), F.when(kind == 1, slide).alias("slides"), F.when(kind == 2, F.struct(block("lines").alias("elements"))).alias("workbook"), F.when(kind == 3, parts).alias("document"))
+    extracts = docs.select("doc_id", F.to_json(body).alias("body"))
+    return load_segments(extracts, ["doc_id"], "body").select("doc_id", "seq", "unit", "text")
 
 
 @plan("strip_tags", f"select doc_id, seq, {_BARE.format('tagged')} as nude from {TAGGED}")
