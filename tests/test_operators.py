@@ -17,7 +17,7 @@ from tramaline.operators.folds import anchor_clusters, greedy_batches, typed_bat
 from tramaline.operators.layout import column_gutters, page_order, stacked_blocks, trailing_folios
 from tramaline.operators.pairs import word_recall
 from tramaline.operators.tables import insert_if_absent
-from tramaline.sources.extracts import load_segments
+from tramaline.sources.extracts import load_segments, text_leaves
 from tramaline.sources.html import html_segments
 from tramaline.streaming.jobs import bounded_alerts, cooldown_alerts, drained
 
@@ -180,3 +180,9 @@ def test_extracts(spark):
     assert [x[2] for x in got[3]] == ["s1", "s2"]
     assert got[4] == [("elements", 0, "p"), ("headers", 0, "h"), ("charts", 0, "z"), ("objets", 0, "o1"), ("objets", 0, "o2")]
     assert set(got) == {1, 2, 3, 4}
+
+
+def test_text_leaves(spark):
+    deep = "[" * 400 + '{"text": "far"}' + "]" * 400
+    bodies = ['{"a": [{"text": "x", "b": {"text": 5, "c": [{"text": "y"}]}}], "text": "top", "z": {"text": "last"}}', deep, "{", None, "3"]
+    assert values(spark, text_leaves("x"), bodies) == [["top", "x", "y", "last"], ["far"], None, None, []]

@@ -9,6 +9,7 @@ from tramaline.operators.folds import anchor_clusters, greedy_batches
 from tramaline.operators.layout import column_gutters, ocr_lines, page_readability, reading_order, stacked_blocks, trailing_folios
 from tramaline.operators.paragraphs import paragraphs
 from tramaline.plans.base import SEGMENTS, Plans, segments
+from tramaline.sources.extracts import export_json, text_leaves
 from tramaline.sources.html import html_segments
 from tramaline.session import table
 
@@ -42,18 +43,17 @@ def html_blocks(spark, d):
     return html_segments(table(spark, d, "pages"))
 
 
-@plan("text_leaves", "select event_id, 'fault ' || event_id as text from events union all select event_id, event_type from events where event_id % 2 = 0")
-def text_leaves(spark, d):
-    # a nested document per event; leaves named text at any of its three levels
-    body = F.expr("to_json(named_struct('text', concat('fault ', event_id), 'k', if(event_id % 2 = 0, array(named_struct('text', event_type)), array())))")
-    node = table(spark, d, "events").select("event_id", F.from_json(body, "text string, k array<struct<text: string>>").alias("n"))
-    return node.select("event_id", F.explode(F.concat(F.array("n.text"), F.coalesce(F.transform("n.k", lambda x: x["text"]), F.array().cast("array<string>")))).alias("text"))
+@plan("text_leaves", "select event_id, 'fault ' || event_id as text from events union all select event_id, event_type from events where event_id % 2 = 0 union all select event_id, 'deep ' || user_id from events where event_id % 2 = 0")
+def leaves(spark, d):
+    # a nested document per event; leaves named text at three of its six levels
+    body = F.expr("to_json(named_struct('text', concat('fault ', event_id), 'k', if(event_id % 2 = 0, array(named_struct('text', event_type, 'm', named_struct('n', array(named_struct('text', concat('deep ', user_id)))))), array())))")
+    return table(spark, d, "events").select("event_id", F.explode(text_leaves(body)).alias("text"))
 
 
 @plan("export_json", "select event_id, cast(ts as varchar) as ts from events where event_type = 'error' order by events.ts desc, event_id limit 5000")
-def export_json(spark, d):
-    e = table(spark, d, "events").where("event_type = 'error'").orderBy(F.desc("ts"), "event_id").limit(5000)  # the export's own bound
-    return e.select("event_id", F.col("ts").cast("timestamp_ntz").cast("string").alias("ts"))
+def exported(spark, d):
+    e = table(spark, d, "events").where("event_type = 'error'").select("event_id", F.col("ts").cast("timestamp_ntz").cast("string").alias("ts"))
+    return spark.read.schema("event_id bigint, ts string").json(export_json(e, "ts", ["event_id"]))
 
 
 def walk(rows: str, keys: str, columns: str, first: str, then: str, out: str) -> str:

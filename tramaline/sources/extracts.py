@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from tramaline.session import shared_folder
 
 _BLOCK = "struct<text: string, context: struct<type: string>>"
 _BLOCKS = f"array<{_BLOCK}>"
@@ -50,3 +58,35 @@ def load_segments(extracts: DataFrame, keys: list[str], body: str) -> DataFrame:
     written = F.filter(every, lambda b: F.coalesce(F.rlike(b["text"], F.lit(r"(?U)\S")), F.lit(False)))
     out = extracts.select(*keys, F.posexplode(written).alias("seq", "b"))
     return out.select(*keys, F.col("seq").cast("long").alias("seq"), "b.section", "b.unit", "b.kind", "b.text")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def text_leaves(bodies: pd.Series) -> pd.Series:
+    """Every string named text, at any depth of a JSON document, each before those inside its neighbours.
+
+    Null for null and for what isn't JSON.
+    """
+
+    def leaves(root: object) -> Iterator[str]:
+        todo = [root]
+        while todo:  # a stack, as documents may be deeper than calls
+            node = todo.pop()
+            if isinstance(node, dict) and isinstance(node.get("text"), str):
+                yield node["text"]
+            if isinstance(node, (dict, list)):
+                todo += reversed(list(node.values() if isinstance(node, dict) else node))
+
+    def of(body: str | None) -> list[str] | None:
+        try:
+            return None if body is None else list(leaves(json.loads(body)))
+        except (ValueError, RecursionError):
+            return None
+
+    return bodies.map(of, na_action=None)
+
+
+def export_json(rows: DataFrame, newest: str, order: list[str], most: int = 5000, path: str | None = None) -> str:
+    """Write the `most` newest rows as JSON lines, newest first; gives the folder, by default a new one in the shared."""
+    path = path or f"{shared_folder(rows.sparkSession)}/export-{uuid.uuid4().hex}"
+    rows.orderBy(F.desc(newest), *order).limit(most).write.json(path)
+    return path
