@@ -93,9 +93,22 @@ def test_batches_and_clusters(spark):
 
 
 def test_html(spark):
-    page = '<p>Hello <b>big</b> world</p><script>x("no")</script><img alt="A cat"><p>12</p>'
-    got = html_segments(spark.createDataFrame([(1, page), (2, None)], "page_id bigint, html string")).orderBy("seq").collect()
-    assert [(r.kind, r.text) for r in got] == [("text", "Hello [[0]]big[[/0]] world"), ("alt", "A cat")]
+    pages = {
+        1: '<p>Hello <b>big</b> world</p><script>x("no")</script><img alt="A cat"><p>12</p>',
+        2: None,
+        3: '<p>One<br>two <code>x = 1</code> <i>three <a href="#">four</a></i> five</p><pre>not this</pre>',
+        4: '<div class="a notranslate"><p title="no">brand</p></div><p>Say <span translate="no">Acme <b>Corp</b></span> now</p>',
+        5: "<p>has [[1]] a tag</p><p>open <em>run<p>next<input placeholder='Your name'/></p><svg><text>drawn</text></svg>",
+    }
+    got = {}
+    for r in html_segments(spark.createDataFrame(list(pages.items()), "page_id bigint, html string")).orderBy("page_id", "seq").collect():
+        got.setdefault(r.page_id, []).append((r.kind, r.text))
+    assert got == {
+        1: [("text", "Hello [[1]]big[[/1]] world"), ("alt", "A cat")],
+        3: [("text", "One[[1]][[/1]]two [[2]][[/2]] [[3]]three [[4]]four[[/4]][[/3]] five")],
+        4: [("text", "Say [[1]][[/1]] now")],
+        5: [("text", "open [[1]]run[[/1]]"), ("placeholder", "Your name"), ("text", "next[[1]][[/1]]")],
+    }
 
 
 def test_cooldown(spark, tmp_path):
