@@ -1,8 +1,9 @@
 """License scans: fuzzy search for short notices.
 
-A notice may be met with a few edits. Split into one piece more than the edits allowed, at least one piece
-stands unchanged in any such match (pigeonhole). One pass of an Aho-Corasick automaton finds the pieces;
-around each the regex library looks for the whole notice within its bound of errors.
+A notice may be met with a few edits. Split into two pieces more than the edits allowed, at least two pieces
+stand unchanged in any such match (pigeonhole), at places that agree up to the edits. One pass of an Aho-Corasick
+automaton finds the pieces; around two that agree the regex library looks for the whole notice within its bound of
+errors. A word that many notices share is so no candidate by itself.
 """
 
 from __future__ import annotations
@@ -77,14 +78,14 @@ MARK[list(b"!#%*-/;>|")] = True
 @lru_cache(maxsize=4)
 def _seeds(notices: tuple[str, ...], chars_per_edit: int):
     """The automaton of all pieces; of each notice its pattern, length and edits."""
-    pieces: dict[bytes, list[tuple[int, int]]] = {}
+    pieces: dict[bytes, list[tuple[int, int, int]]] = {}
     found = []
     for k, notice in enumerate(x.encode() for x in notices):
         edits = len(notice) // chars_per_edit
         found.append((regex.compile(rb"(?b)(?:" + regex.escape(notice) + b"){e<=" + str(edits).encode() + b"}"), len(notice), edits))
-        cuts = [len(notice) * i // (edits + 1) for i in range(edits + 2)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            pieces.setdefault(notice[a:b], []).append((k, a))
+        cuts = [len(notice) * i // (edits + 2) for i in range(edits + 3)]
+        for j, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            pieces.setdefault(notice[a:b], []).append((k, j, a))
     machine = ahocorasick.Automaton()
     for piece, owners in pieces.items():
         machine.add_word(piece.decode("latin-1"), (len(piece), owners))
@@ -129,20 +130,37 @@ def _matches(pattern: regex.Pattern[bytes], least: int, data: bytes) -> list[reg
     return found
 
 
+def agreeing(places: list[tuple[int, int]], edits: int) -> list[int]:
+    """Of sorted (begin of the notice, piece), the begins that another piece gives, too, up to so many edits."""
+    out: list[int] = []
+    for i, (begin, piece) in enumerate(places):
+        for near, other in _following(places, i):
+            if near - begin > edits:
+                break
+            if other != piece:
+                out += [begin, near]
+    return sorted(set(out))
+
+
+def _following(places: list[tuple[int, int]], i: int) -> Iterator[tuple[int, int]]:
+    return (places[k] for k in range(i + 1, len(places)))
+
+
 def fuzzy_spans(block: Block, notices: tuple[str, ...], chars_per_edit: int) -> list[tuple[int, int, int, int, int]]:
     """(document, start, end, notice, edits) of the block's matches, in bytes of the document, sorted."""
     machine, patterns = _seeds(notices, chars_per_edit)
     data, stood, offsets = flowing(block)
     raw = data.tobytes()
-    regions: dict[int, list[tuple[int, int]]] = {}
+    hits: dict[int, list[tuple[int, int]]] = {}
     for last, (size, owners) in machine.iter(raw.decode("latin-1")):
-        for k, a in owners:
-            _, n, e = patterns[k]
-            begin = last + 1 - size - a
-            regions.setdefault(k, []).append((begin - e, begin + n + e))
+        for k, j, a in owners:
+            hits.setdefault(k, []).append((last + 1 - size - a, j))
     out = []
-    for k, spans in regions.items():
-        spans.sort()
+    for k, places in hits.items():
+        _, n, e = patterns[k]
+        spans = [(begin - e, begin + n + e) for begin in agreeing(sorted(places), e)]
+        if not spans:
+            continue
         doc = np.searchsorted(offsets, [a + (b - a) // 2 for a, b in spans], "right") - 1
         merged: list[list[int]] = []
         for (a, b), d in zip(spans, np.clip(doc, 0, block.hi - block.lo - 1).tolist(), strict=True):
