@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Null and empty texts are copies of each other. Of rows that repeat a doc_id one stays; rows without one all stay.
     """
-    return simhash.keep_one(docs)
+    return simhash.keep_dissimilar(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ Over a cluster the sorted distinct fingerprints are range partitions, one index
 own shared patterns form the top of the index (one row per partition of a million fingerprints); each fingerprint visits the partitions that the top doesn't prune. Partitions link what
 they hold into forests, and connected_components joins these.
 
-For near copies by the similarity of their shingles, as in keep_one, a text gets a wide fingerprint whose tables
+For near copies by the similarity of their shingles, as in keep_dissimilar, a text gets a wide fingerprint whose tables
 are indexed alike; pairs found are told by the whole fingerprint, or else verified on their shingles.
 """
 
@@ -254,6 +254,22 @@ def hex_fingerprint(fp: str = "fp") -> F.Column:
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """docs without near duplicates: of each component the row with the least doc_id stays, with all its columns.
+
+    Of rows that repeat one doc_id, one stays. Rows without a doc_id can't be named as copies and stay.
+    """
+    near = cut(near_duplicates(docs.select("doc_id", "text"), shingle, radius), "components")
+    kept = near.where("doc_id = component_id").select("doc_id").distinct()
+    out = docs.join(kept, "doc_id", "left_semi")
+    n = near.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if n[0] != n[1]:
+        out = out.dropDuplicates(["doc_id"])
+    if n[0] != near.count():
+        out = out.unionByName(docs.where("doc_id is null"))
+    return out.select(*docs.columns)
+
+
 def shingles(text: bytes, k: int = SHINGLE) -> set[bytes]:
     """Runs of k words, lower-cased; of fewer words, the one run of all; of none, nothing."""
     words = text.lower().split()
@@ -463,7 +479,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, sim
     return links.union(verified)
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def keep_dissimilar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs without near copies: of each component the row with the least doc_id stays, with all its columns.
 
     Texts link when the Jaccard similarity of their sets of shingles is at least `similarity` (0.8 or more, for
