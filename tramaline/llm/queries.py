@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramaline.llm import decontaminate, license_scan, mixing, pitman_yor, preferences, quality, secret_scan, simhash, suffix_repeats, weighted_sampling
+from tramaline.llm import decontaminate, filter_audit, license_scan, mixing, pitman_yor, preferences, quality, secret_scan, simhash, suffix_repeats, weighted_sampling
 from tramaline.session import table
 
 
@@ -52,6 +52,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_licenses": op2_licenses,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: Words of a text: A-Z lower-cased, runs of digits, letters and non-ASCII characters.
@@ -141,4 +146,33 @@ select d.doc_id, cast(len(x) // 2 as bigint) as n_bytes, cast(coalesce(n, 0) as
 from d left join cuts using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_repeats": _OP1, "op3_preferences": _OP3, "op4_decontaminate": _OP4, "op10_mixing": _OP10}
+#: Each document's failures as a set of letters, counted by part; then all orders, a filter counting what isn't gone before.
+_OP13 = r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+first as (select text, min(doc_id) as first from d group by text),
+w as (select doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from d),
+marks as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+f as (select part, case when len(w) < 200 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+        || case when 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text) then 'C' else '' end
+        || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end || case when doc_id > first then 'E' else '' end as fails,
+        coalesce(good, 0) as good, coalesce(toxic, 0) as toxic
+      from w join first using (text) left join marks using (doc_id)),
+n as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by 1, 2),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+           where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select filter_order, s as step, substr(filter_order, s, 1) as x, substr(filter_order, 1, s - 1) as gone from orders, range(1, 6) t(s)),
+r as (select part, filter_order, step, x,
+        sum(case when translate(fails, gone || x, '') = fails then n else 0 end) as kept,
+        sum(case when contains(fails, x) and translate(fails, gone, '') = fails then n else 0 end) as removed,
+        sum(case when contains(fails, x) and translate(fails, gone, '') <> fails then n else 0 end) as redundant,
+        sum(case when fails = x then n else 0 end) as unique_fails,
+        sum(case when contains(fails, x) and translate(fails, gone, '') = fails then good else 0 end) as good_lost,
+        sum(case when contains(fails, x) and translate(fails, gone, '') = fails then toxic else 0 end) as toxic_lost
+      from steps, n group by all)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+       good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, x))::bigint as shapley
+from r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_repeats": _OP1, "op3_preferences": _OP3, "op4_decontaminate": _OP4, "op10_mixing": _OP10, "op13_filter_audit": _OP13}
