@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tramaline.llm import decontaminate, filter_audit, license_scan, mixing, pitman_yor, preferences, quality, secret_scan, simhash, suffix_repeats, weighted_sampling
+from tramaline.llm import decontaminate, filter_audit, license_scan, mixing, pitman_yor, preferences, quality, secret_scan, sharding, simhash, suffix_repeats, weighted_sampling
 from tramaline.session import table
 
 
@@ -52,6 +53,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(table(spark, sf_dir, "documents"))
+    digest = [F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law")]
+    return out.select("doc_id", "size", *digest, "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_sharding": op11_sharding,
     "op13_filter_audit": op13_filter_audit,
 }
 
