@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramaline.session import cut
+
 #: Documents in one range of ids at most: what a task holds as posting lists at a time.
 RANGE = 1 << 18
 FILTERS = "ABCDE"
@@ -172,7 +174,10 @@ def document_flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     fails = text_failures(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("same"), F.xxhash64("text").alias("tie"), *(c.alias(k) for k, c in fails.items()))
+    rows = cut(rows, "failures")  # texts are read once
+    # a table of its own: joined to its own aggregate, a text copied very often would be one task's
     first = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("same", "first")
+    first = cut(first, "copies")
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
     rows = rows.join(first, "same", "left").withColumn("E", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("same", "first")
     return rows.join(marks.where("doc_id is not null"), "doc_id", "left")
