@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramaline.llm import decontaminate, filter_audit, license_scan, mixing, pitman_yor, preferences, quality, secret_scan, sharding, simhash, suffix_repeats, weighted_sampling
+from tramaline.llm import decontaminate, filter_audit, license_scan, mixing, pitman_yor, preferences, quality, secret_scan, sharding, simhash, suffix_repeats, token_alignment, weighted_sampling
 from tramaline.session import table
 
 
@@ -59,6 +59,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", *digest, "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents")).drop("groups")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
     "op11_sharding": op11_sharding,
+    "op12_token_alignment": op12_token_alignment,
     "op13_filter_audit": op13_filter_audit,
 }
 
