@@ -8,6 +8,7 @@ from tramaline.plans.base import Plans
 from tramaline.plans.layout import walk
 from tramaline.session import table
 from tramaline.streaming.jobs import bounded_alerts, cooldown_alerts, crossing_alerts, drained, event_stream, streamed_again
+from tramaline.streaming.states import busy_minutes, error_digests, page_bounds, settled_payments, sliding_counts
 
 plan = Plans()
 QUERIES, SQL = plan.queries, plan.sql
@@ -31,22 +32,52 @@ def critical_alerts(spark, d):
     return drained(bounded_alerts(streamed_again(alerts), "fingerprint", 3600, 5), "append")
 
 
-@plan("error_digest", "select cast(date_trunc('hour', ts) as timestamp) as hour, count(*) as errors from events where event_type = 'error' group by 1")
+#: What the stream's watermark is once all rows are read.
+_SURE = "(select max(ts) - interval 1 day from events)"
+_SOURCE, _PRINT = "user_id % 3", "'page' || user_id % 7"
+_DUE = "f.sent + interval 1 hour"
+_LATER = f"s.ts >= {_DUE} + interval 1 hour"
+_SLOTS = walk(
+    f"(select {_SOURCE} as source, {_PRINT} as fingerprint, ts, row_number() over (partition by {_SOURCE} order by ts, event_id) as r from events where event_type = 'error')", "source", "fingerprint, sent, held, slot", "fingerprint, ts, 0, ts",
+    f"s.fingerprint, case when s.ts < {_DUE} then f.sent when f.held > 0 and not ({_LATER}) then {_DUE} else s.ts end, case when s.ts < {_DUE} then f.held + 1 when f.held > 0 and not ({_LATER}) then 1 else 0 end, case when s.ts < {_DUE} then {_DUE} when f.held > 0 and not ({_LATER}) then {_DUE} + interval 1 hour else s.ts end",
+    "fingerprint, slot",
+)
+
+
+@plan("error_digest", f"""select source, cast(slot as timestamp) as ts, sum(n)::bigint as errors, string_agg(fingerprint || ':' || n, ',' order by n desc, fingerprint) filter (where place <= 3) as most
+from (select *, row_number() over (partition by source, slot order by n desc, fingerprint) as place from (select source, slot, fingerprint, count(*) as n from ({_SLOTS}) group by all))
+join (select {_SOURCE} as source, max(ts) as last from events where event_type = 'error' group by 1) using (source) where slot <= greatest(last, {_SURE}) group by source, slot""")
 def error_digest(spark, d):
-    s = event_stream(spark, d).where("event_type = 'error'").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("errors"))
-    return drained(s.select(F.col("window.start").alias("hour"), "errors"), "complete")
+    errors = event_stream(spark, d).where("event_type = 'error'").withColumn("source", F.expr("user_id % 3")).withColumn("fingerprint", F.expr("concat('page', user_id % 7)"))
+    return drained(error_digests(errors, "source", "fingerprint"), "append")
+
 
+_WITHIN = "(partition by {} order by ts range between interval 600 seconds preceding and current row)"
 
-@plan("rate_windows", "select user_id, cast(w as timestamp) as start, count(*) as n from (select user_id, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) as w from events) group by 1, 2")
+
+@plan("rate_windows", f"select kind, event_id, n from (select event_id, count(*) over {_WITHIN.format('user_id')} as device, count(*) over {_WITHIN.format('user_id % 5')} as network from events) unpivot (n for kind in (device, network))")
 def rate_windows(spark, d):
-    s = event_stream(spark, d).groupBy("user_id", F.window("ts", "2 hours", "1 hour")).agg(F.count("*").alias("n"))
-    return drained(s.select("user_id", F.col("window.start").alias("start"), "n"), "complete")
+    events = event_stream(spark, d).withColumn("network", F.expr("user_id % 5"))
+    counts = [drained(sliding_counts(events, key, "event_id"), "append").select(F.lit(kind).alias("kind"), "event_id", F.col("within").alias("n")) for kind, key in (("device", "user_id"), ("network", "network"))]
+    return counts[0].unionByName(counts[1])
 
 
-@plan("request_rate", "select user_id, cast(date_trunc('day', ts) as timestamp) as start, count(*) as n from events group by 1, 2 having count(*) > 2")
+@plan("request_rate", f"select caller, cast(start as timestamp) as start, n, n - 1 as refused from (select user_id % 5 as caller, date_trunc('minute', ts) as start, count(*) as n from events group by 1, 2) where n > 1 and start + interval 1 minute <= {_SURE}")
 def request_rate(spark, d):
-    s = event_stream(spark, d).groupBy("user_id", F.window("ts", "1 day")).agg(F.count("*").alias("n")).where("n > 2")
-    return drained(s.select("user_id", F.col("window.start").alias("start"), "n"), "complete")
+    return drained(busy_minutes(event_stream(spark, d).withColumn("caller", F.expr("user_id % 5")), "caller", 1), "append")
+
+
+_CALLS = "(select user_id % 10 as account, user_id % 40 as page, event_id, ts, case event_type when 'click' then 'batch' when 'view' then 'analysis' when 'error' then 'capture' else '' end as kind, row_number() over (partition by user_id % 40 order by ts, event_id) as r from events)"
+_FRESH = "s.ts - f.seen > interval 6 hours"
+_FULL = f"not ({_FRESH}) and case s.kind when 'batch' then f.b >= 2 when 'analysis' then f.a >= 2 when 'capture' then f.c >= 1 else false end"
+_USED = ", ".join(f"case when {_FRESH} then 0 else f.{c} end + (s.kind = '{k}' and not ({_FULL}))::int" for c, k in (("b", "batch"), ("a", "analysis"), ("c", "capture")))
+
+
+@plan("technical_bounds_stream", "select account, event_id, refused from (" + walk(_CALLS, "account, page", "event_id, seen, b, a, c, refused", "event_id, ts, (kind = 'batch')::int, (kind = 'analysis')::int, (kind = 'capture')::int, cast(null as varchar)", f"s.event_id, case when {_FULL} then f.seen else s.ts end, {_USED}, case when {_FULL} then s.kind end", "event_id, refused") + ")")
+def technical_bounds_stream(spark, d):
+    kinds = F.expr("case event_type when 'click' then 'batch' when 'view' then 'analysis' when 'error' then 'capture' end")
+    calls = event_stream(spark, d).withColumn("account", F.expr("user_id % 10")).withColumn("page", F.expr("user_id % 40")).withColumn("kind", kinds)
+    return drained(page_bounds(calls, "account", "page", "kind", "event_id", bounds={"batch": 2, "analysis": 2, "capture": 1}), "append")
 
 
 @plan("seen_ttl", "select distinct user_id, props from events")
@@ -63,11 +94,18 @@ def payment_events(spark, d):
     return drained(once.join(table(spark, d, "customer"), F.expr("c_custkey = user_id")).select("effect", F.col("c_mktsegment").alias("plan")), "append")
 
 
-@plan("late_payment_status", "select user_id as payment, case max(case event_type when 'purchase' then 2 when 'error' then 1 else 0 end) when 2 then 'SUCCESSFUL' when 1 then 'FAILED' else 'PENDING' end as status, max((event_type = 'purchase')::int)::bigint as credited from events group by 1")
+_STATUS = "case event_type when 'purchase' then 'SUCCESSFUL' when 'error' then 'FAILED' else 'PENDING' end"
+_PAYMENT = "event_id // 4 % 1000"
+_LIVES = f"(select *, sum(fresh) over (partition by payment order by ts, event_id) as life from (select {_PAYMENT} as payment, ts, event_id, {_STATUS} as status, (coalesce(ts - lag(ts) over (partition by {_PAYMENT} order by ts, event_id) > interval 2 days, true))::int as fresh from events))"
+
+
+@plan("late_payment_status", f"""select payment, cast(coalesce(terminal, last) as timestamp) as ts, coalesce(status, 'PENDING') as status, coalesce(status = 'SUCCESSFUL', false) as credited
+from (select payment, life, min(ts) filter (where status <> 'PENDING') as terminal, max(ts) as last, arg_min(status, ts) filter (where status <> 'PENDING') as status, max(life) over (partition by payment) as lives from {_LIVES} group by payment, life)
+where terminal is not null or life < lives or last + interval 2 days <= {_SURE}""")
 def late_payment_status(spark, d):
-    rank = F.expr("case event_type when 'purchase' then 2 when 'error' then 1 else 0 end")
-    s = event_stream(spark, d).groupBy(F.col("user_id").alias("payment")).agg(F.max(rank).alias("r"))
-    return drained(s.selectExpr("payment", "case r when 2 then 'SUCCESSFUL' when 1 then 'FAILED' else 'PENDING' end as status", "cast(if(r = 2, 1, 0) as bigint) as credited"), "complete")
+    status = F.expr("case event_type when 'purchase' then 'SUCCESSFUL' when 'error' then 'FAILED' else 'PENDING' end")
+    notices = event_stream(spark, d).withColumn("payment", F.expr("event_id div 4 % 1000")).withColumn("status", status)
+    return drained(settled_payments(notices, "payment", "status", "event_id"), "append")
 
 
 @plan("balance_alerts", "select user_id, count(*) as alerts from (select user_id, value, lag(value) over (partition by user_id order by ts, event_id) as prev from events) where value < 5 and coalesce(prev >= 5, true) group by 1")
