@@ -120,7 +120,7 @@ def test_odd_rows(spark, tools, chunk):
 
 def test_words_are_forgotten(spark, tools, monkeypatch):
     docs = [(k, " ".join(f"w{k * 7 + j}" for j in range(12))) for k in range(30)]
-    w = ta.Words(tools, len(tools.b_bytes))
+    w = ta.Words(tools)
     monkeypatch.setattr(ta, "WORDS", 20)
     for _, text in docs:
         w.learn(set(tools.parts(text)))

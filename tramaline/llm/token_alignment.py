@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Longer texts (in characters) are cut into ranges of about this size. Fragments composed by one task in a round.
 CHUNK, FAN = 1 << 16, 8
 #: Bytes of link counts in a block of documents; characters tokenized at a time; words and characters of a word kept.
-BLOCK, SLICE, WORDS, WORD = 8 << 20, 1 << 20, 100_000, 64
+BLOCK, SLICE, WORDS, WORD = 8 << 20, 1 << 20, 400_000, 64
 #: Both tokenizers part before a space between two other characters, the first also at these places.
 _BOTH = r"(?<=\S)(?= \S)"
 _FIRST = re.compile(rf"{_BOTH}|(?<=\S[\t\n\r])(?=\S)|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
@@ -124,12 +125,28 @@ class Tokenizers:
         """The words of space+text, without the spaces that they begin with, or all of it as one."""
         return _SPACE.split(text) if self.by_word else [text]
 
-    def tokens(self, texts: list[str], begin: int = 0) -> Iterator[tuple[list[Token], list[Token], bool]]:
-        """For each space+text: both tokenizers' tokens, and whether their bytes are those of the text."""
-        first = self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)
-        for text, x, y in zip(texts, first, self.b.encode(texts, num_threads=1), strict=True):
-            whole = (" " + text).encode()
-            yield self.ends(x.ids, self.a_bytes, begin), self.ends(y, self.b_bytes, begin), self.gives(x.ids, self.a_bytes, whole) and self.gives(y, self.b_bytes, whole)
+    def tokens(self, text: str, begin: int = 0) -> tuple[list[Token], list[Token], bool]:
+        """Both tokenizers' tokens of space+text, and whether their bytes are those of the text."""
+        first, second, whole = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), (" " + text).encode()
+        return self.ends(first, self.a_bytes, begin), self.ends(second, self.b_bytes, begin), self.gives(first, self.a_bytes, whole) and self.gives(second, self.b_bytes, whole)
+
+    def many(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For either tokenizer the tokens of many space+texts: text, id and end of each, and whether a text's bytes are given."""
+        wholes = [(" " + x).encode() for x in texts]
+        sizes, out = np.array([len(x) for x in wholes], np.int64), []
+        first = (e.ids for e in self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False))
+        for ids, of in ((list(first), self.a_bytes), (self.b.encode(texts, num_threads=1), self.b_bytes)):
+            n = np.array([len(x) for x in ids], np.int64)
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, n.sum())
+            ends = np.cumsum(np.array([len(x) for x in of])[flat])
+            last = np.concatenate([[0], ends])[np.cumsum(n)]
+            begins = np.concatenate([[0], last[:-1]])
+            # as far as sizes agree, one comparison is that of each text with its own bytes
+            right = last - begins == sizes
+            if not right.all() or b"".join([of[i] for i in flat.tolist()]) != b"".join(wholes):
+                right = np.array([self.gives(x, of, w) for x, w in zip(ids, wholes, strict=True)], bool)
+            out.append((np.repeat(np.arange(len(texts)), n), flat, ends - np.repeat(begins, n), right))
+        return out
 
     @staticmethod
     def ends(ids: list[int], of: list[bytes], begin: int) -> list[Token]:
@@ -144,28 +161,55 @@ class Tokenizers:
         return b"".join([of[i] for i in ids]) == whole
 
 
-@dataclass
 class Words:
-    """What is known of words: numbers of tokens and groups, their text, and links; kept until there are too many."""
+    """What is known of words: numbers of tokens and groups, the groups as text, and links; kept until there are too many.
+
+    A word begins and ends with a cut, so that it is a fragment of closed groups only, and composing is joining.
+    """
 
-    tools: Tokenizers
-    width: int
-    index: dict[str, int] = field(default_factory=dict)
-    rows: list[tuple[int, int, int, bool]] = field(default_factory=list)
-    texts: list[str] = field(default_factory=list)
-    links: list[list[int]] = field(default_factory=list)
+    def __init__(self, tools: Tokenizers):
+        self.tools, self.n_b = tools, len(tools.b_bytes)
+        most = max(len(tools.a_bytes), self.n_b)
+        self.shown = [np.array([c + str(i) for i in range(most)], object) for c in ";,|"]
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.chunks: list[tuple[np.ndarray, np.ndarray]] = []
+        self.tables: tuple[np.ndarray, np.ndarray] | None = None
+
+    def known(self) -> tuple[np.ndarray, np.ndarray]:
+        """By word: tokens of either tokenizer, groups (0: its bytes are others) and where its links begin; and all links."""
+        if self.tables is None:
+            rows, links = (np.concatenate(x) for x in zip(*self.chunks, strict=True))
+            self.chunks, self.tables = [(rows, links)], (np.column_stack([rows, np.cumsum(rows[:, 2]) - rows[:, 2]]), links)
+        return self.tables
 
     def learn(self, words: set[str]) -> None:
-        new = sorted(words - self.index.keys())
+        new = [w for w in words if w not in self.index]
         if len(self.index) + len(new) > WORDS:
-            self.index, self.rows, self.texts, self.links = {}, [], [], []
-            new = sorted(words)
-        for word, (a, b, ok) in zip(new, self.tools.tokens(new), strict=True):
-            f = fragment(a, b)
-            self.index[word] = len(self.rows)
-            self.rows.append((len(a), len(b), len(f.closed) + 1, ok and not any(f.tail)))
-            self.texts.append(";".join([_group(*f.head), *f.closed]))
-            self.links.append([x * self.width + y for x, y in f.links])
+            self.forget()
+            new = list(words)
+        if not new:
+            return
+        (word_a, id_a, end_a, right_a), (word_b, id_b, end_b, right_b) = self.tools.many(new)
+        key_a, key_b = (np.where(right[word], word << 20 | end, -1 - side) for side, word, end, right in ((0, word_a, end_a, right_a & right_b), (1, word_b, end_b, right_a & right_b)))
+        keep_a, keep_b = key_a >= 0, key_b >= 0
+        word_a, id_a, key_a, word_b, id_b, key_b = word_a[keep_a], id_a[keep_a], key_a[keep_a], word_b[keep_b], id_b[keep_b], key_b[keep_b]
+        cuts = np.intersect1d(key_a, key_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(cuts, key_a), np.searchsorted(cuts, key_b)
+        # tokens in the order in which groups name them: those of a, then those of b
+        text = np.empty(len(key_a) + len(key_b), object)
+        for group, ids, at, mark in ((group_a, id_a, np.arange(len(id_a)) + np.searchsorted(group_b, group_a), 0), (group_b, id_b, np.arange(len(id_b)) + np.searchsorted(group_a, group_b, "right"), 2)):
+            begins = np.diff(group, prepend=-1) > 0
+            text[at[begins]], text[at[~begins]] = self.shown[mark][ids[begins]], self.shown[1][ids[~begins]]
+        counts = np.column_stack([np.bincount(x, minlength=len(new)) for x in (word_a, word_b, cuts >> 20)])
+        edges, flat = [0, *np.cumsum(counts[:, 0] + counts[:, 1]).tolist()], text.tolist()
+        self.texts += ["".join(flat[lo:hi])[1:] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+        self.chunks.append((counts, id_a[np.searchsorted(key_a, cuts)] * self.n_b + id_b[np.searchsorted(key_b, cuts)]))
+        self.tables = None
 
 
 def packed(links: np.ndarray, count: np.ndarray, wide: bool) -> tuple[bytes, bytes]:
@@ -229,7 +273,7 @@ class Aligner:
     def short_and_ranges(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents' own results, in blocks; of longer documents the ranges, in the same table."""
         tools = self.tools()
-        words, task = Words(tools, self.n_b), TaskContext.get().partitionId() << 32
+        words, task = Words(tools), TaskContext.get().partitionId() << 32
         block, held, uid = 0, 0, 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -261,55 +305,48 @@ class Aligner:
         parts = [words.tools.parts(t) if t else [] for t in texts]
         words.learn({w for p in parts for w in p if len(w) <= WORD})
         rows: list[tuple | None] = [None] * len(ids)
-        known = []
+        whole = []
         for k, p in enumerate(parts):
             at = [words.index.get(w, -1) for w in p]
             if not p:
                 rows[k] = (ids[k], 0, 0, 0, *_NONE)
-            elif min(at) >= 0 and all(words.rows[i][3] for i in at):
-                known.append((k, at))
+            elif min(at) >= 0 and (words.known()[0][at, 2] > 0).all():
+                whole.append((k, at))
             else:  # words that are too long to keep, or whose bytes aren't those of the text
-                rows[k] = self.one(ids[k], texts[k], p, at, words)
-        for k, at, links, count, sums in self.counted(known, words):
+                rows[k] = self.one(ids[k], texts[k], p, words.tools)
+        for k, at, links, count, sums in self.counted(whole, words):
             text = ";".join([words.texts[i] for i in at])
             rows[k] = (ids[k], *sums, sha256(text.encode()).hexdigest(), text if self.keep else None, *packed(links, count, self.wide))
         return rows
 
-    def counted(self, known: list[tuple[int, list[int]]], words: Words) -> Iterator[tuple]:
-        """Links of documents whose words are all known, counted for all documents at once."""
-        if not known:
+    def counted(self, docs: list[tuple[int, list[int]]], words: Words) -> Iterator[tuple]:
+        """Tokens, groups and links of documents whose words are all known, counted for all documents at once."""
+        if not docs:
             return
-        at = np.fromiter((i for _, x in known for i in x), np.int64)
-        doc = np.repeat(np.arange(len(known)), [len(x) for _, x in known])
-        own, slot = np.unique(at, return_inverse=True)
-        sizes = np.array([len(words.links[i]) for i in own])
-        flat, starts = np.concatenate([words.links[i] for i in own]).astype(np.int64), np.cumsum(sizes) - sizes
-        n = sizes[slot]
-        place = np.repeat(starts[slot] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        table, flat = words.known()
+        sizes = [len(x) for _, x in docs]
+        at = table[np.fromiter(chain.from_iterable(x for _, x in docs), np.int64, sum(sizes))]
+        sums = np.add.reduceat(at[:, :3], np.cumsum([0, *sizes[:-1]]), axis=0).tolist()
+        n = at[:, 2]
+        place = np.repeat(at[:, 3] - np.cumsum(n) + n, n) + np.arange(n.sum())
         span = int(flat.max()) + 1
-        keys, count = np.unique(np.repeat(doc, n) * span + flat[place], return_counts=True)
-        edges = np.searchsorted(keys, np.arange(len(known) + 1) * span)
-        table = np.array([words.rows[i][:3] for i in own])[slot]
-        sums = np.add.reduceat(table, np.searchsorted(doc, np.arange(len(known))), axis=0).tolist()
-        for d, (k, x) in enumerate(known):
+        keys, count = np.unique(np.repeat(np.repeat(np.arange(len(docs)), sizes), n) * span + flat[place], return_counts=True)
+        edges = np.searchsorted(keys, np.arange(len(docs) + 1) * span).tolist()
+        for d, (k, x) in enumerate(docs):
             lo, hi = edges[d], edges[d + 1]
             yield k, x, keys[lo:hi] - d * span, count[lo:hi], sums[d]
 
-    def one(self, doc_id: int | None, text: str, parts: list[str], at: list[int], words: Words) -> tuple:
-        """A document by itself: from its words, or from its whole text where a word's bytes differ."""
-        total, begin = Fragment(), 0
-        if all(i < 0 or words.rows[i][3] for i in at):
-            pieces, n = [], [0, 0]
-            for word in parts:
-                a, b, ok = next(words.tools.tokens([word], begin))
-                if not ok:
-                    break
-                begin, n[0], n[1] = begin + 1 + len(word.encode()), n[0] + len(a), n[1] + len(b)
-                pieces.append(fragment(a, b))
-            else:
-                return self.finished(doc_id, True, *n, _tree(pieces))
-        a, b, ok = next(words.tools.tokens([text]))
-        return self.finished(doc_id, ok, len(a), len(b), fragment(a, b) if ok else total)
+    def one(self, doc_id: int | None, text: str, parts: list[str], tools: Tokenizers) -> tuple:
+        """A document by itself: from its words, or from its whole text where a word's bytes are others."""
+        pieces, begin, n = [], 0, [0, 0]
+        for word in parts:
+            a, b, ok = tools.tokens(word, begin)
+            if not ok:
+                a, b, ok = tools.tokens(text)
+                return self.finished(doc_id, ok, len(a), len(b), fragment(a, b) if ok else Fragment())
+            begin, n = begin + 1 + len(word.encode()), [n[0] + len(a), n[1] + len(b)]
+            pieces.append(fragment(a, b))
+        return self.finished(doc_id, True, *n, _tree(pieces))
 
     def finished(self, doc_id: int | None, ok: bool, n_a: int, n_b: int, f: Fragment) -> tuple:
         """The result of a document's whole fragment."""
