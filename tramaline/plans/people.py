@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tramaline.functions import identity as I
 from tramaline.operators import limits as L
-from tramaline.operators.graph import connected_components
 from tramaline.plans.base import NOW_EVENTS, Plans
 from tramaline.operators.tables import insert_if_absent
 from tramaline.session import table
@@ -64,17 +63,6 @@ def network_key(spark, d):
     return table(spark, d, "events").select("event_id", I.network_key(peer).alias("network"))
 
 
-@plan("link_machines")
-def link_machines(spark, d):
-    # strong ids (cookie, copy) seen together in one request are one machine; its least id names it
-    seen = table(spark, d, "events").where("event_type = 'signup'").selectExpr("user_id * 2 as cookie", "(event_id % 1999) * 2 + 1 as copy").distinct()
-    return connected_components(seen, "cookie", "copy")
-
-
-SQL["link_machines"] = """with recursive e as (select distinct user_id * 2 as a, (event_id % 1999) * 2 + 1 as b from events where event_type = 'signup'),
-both_ways as (select a, b from e union select b, a from e), reach(node, seen) as (select a, a from both_ways union select r.node, w.b from reach r join both_ways w on w.a = r.seen)
-select node, min(seen) as component from reach group by node"""
-
 _RISK = f"""select s.user_id, case when disposable then 'disposable' when others > 0 then 'mailbox' when verified then null when accounts >= 2 then 'device' when pages > 30 then 'ip' when fresh then 'new_account' end as risk from (
 select user_id, user_id % 17 = 0 as disposable, user_id % 3 = 0 as verified, user_id % 5 = 0 as fresh, coalesce(o.others, 0) as others, coalesce(a.accounts, 0) as accounts, coalesce(p.pages, 0) as pages from (select distinct user_id, user_id % 60 as machine, user_id // 2 as mailbox, user_id % 5 as net from events where event_type = 'signup') u
 left join (select mailbox, case when count(distinct user_id) > 1 then 1 else 0 end as others from (select user_id, user_id // 2 as mailbox from events where event_type = 'signup' and user_id % 11 = 0 and ts >= date_trunc('month', {NOW})) group by 1) o using (mailbox)
@@ -145,20 +133,6 @@ def purge_grants(spark, d):
 
 
 _CHARS = "cast(floor(value * 10) as bigint)"
-_BOUND = f"select event_id, least(chars, greatest(2000 - prior, 0)) as granted from (select event_id, {_CHARS} as chars, coalesce(sum({_CHARS}) over (partition by user_id, event_type order by ts, event_id rows between unbounded preceding and 1 preceding), 0)::bigint as prior from events)"
-
-
-def granted(spark, d):
-    t = table(spark, d, "events").withColumn("chars", F.expr(_CHARS))
-    prior = F.coalesce(F.sum("chars").over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    return t.withColumn("granted", F.least(F.col("chars"), F.greatest(2000 - prior, F.lit(0).cast("long"))))
-
-
-@plan("page_limits", _BOUND)
-def page_limits(spark, d):
-    return granted(spark, d).select("event_id", "granted")
-
-
 @plan("technical_bounds", "select event_id, row_number() over (partition by user_id, date_trunc('day', ts), event_type order by ts, event_id) <= case event_type when 'click' then 1 when 'view' then 2 else 3 end as allowed from events")
 def technical_bounds(spark, d):
     calls = table(spark, d, "events").withColumn("page", F.date_trunc("day", "ts"))
@@ -388,16 +362,6 @@ def scan_follow_up(spark, d):
     return c.where("turn % 3 = 1").join(decided, ["conv_id", "turn"], "left_anti").groupBy("conv_id").agg(F.count("*").alias("pending"))
 
 
-_ROOT = r"regexp_extract(url, '^https?://([^/?#]+)', 1)"
-
-
-@plan("orphan_roots", f"select {_ROOT} as root, count(*) as pages from pages where {_ROOT} not in (select {_ROOT} from pages where page_id % 3 = 0) group by 1")
-def orphan_roots(spark, d):
-    p = table(spark, d, "pages").withColumn("root", F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
-    used = p.where("page_id % 3 = 0").select("root").distinct()
-    return p.join(used, "root", "left_anti").groupBy("root").agg(F.count("*").alias("pages"))
-
-
 _CLASS = f"case when doc_id % 5 = 0 then 'render' when doc_id % 5 = 1 and created_at < {NOW} - interval 7 days then 'old translation' when lang = 'fr' then 'job' else 'kept' end"
 
 
@@ -492,12 +456,6 @@ def release_selection(spark, d):
     return t.where("r <= 8").select("p_type", "p_partkey", (F.col("n") - 8).alias("others"))
 
 
-@plan("upsert_seen", "select user_id, props as key, max(cast(ts as date))::varchar as day from events group by 1, 2")
-def upsert_seen(spark, d):
-    old, new = (table(spark, d, "events").where(f"event_id % 2 = {k}") for k in (0, 1))
-    return old.unionByName(new).groupBy("user_id", F.col("props").alias("key")).agg(F.max(F.to_date("ts")).cast("string").alias("day"))
-
-
 @plan("insert_if_absent", "select user_id, coalesce(min(event_id) filter (where event_type = 'view'), min(event_id)) as event_id from events group by 1")
 def insert_new(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "event_type")

@@ -260,24 +260,6 @@ def tags_multiset_ok(spark, d):
     return pairs(spark, d).select("conv_id", "seq", (tags("source") == tags("target")).alias("ok"))
 
 
-@plan("tag_tree_ok", "select conv_id, seq, conv_id % 4 <> 0 as ok from " + PAIRS)
-def tag_tree_ok(spark, d):
-    bad = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("[[7]]"), F.col("source"), F.lit("[[8]][[/7]][[/8]]"))).otherwise(F.col("source"))
-    tags = F.regexp_extract_all(bad, F.lit(r"\[\[(/?\d+)\]\]"))
-    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<string>").alias("seen"), F.lit(True).alias("ok"))
-
-    def step(s, t):
-        name = F.regexp_replace(t, "/", "")
-        closes, top = t.startswith("/"), F.when(F.size(s["open"]) > 0, F.element_at(s["open"], -1))
-        return F.struct(
-            F.when(closes, F.slice(s["open"], F.lit(1), F.greatest(F.size(s["open"]) - 1, F.lit(0)))).otherwise(F.concat(s["open"], F.array(name))).alias("open"),
-            F.when(closes, s["seen"]).otherwise(F.concat(s["seen"], F.array(name))).alias("seen"),
-            (s["ok"] & F.when(closes, F.coalesce(top == name, F.lit(False))).otherwise(~F.array_contains(s["seen"], name))).alias("ok"),
-        )
-
-    return pairs(spark, d).select("conv_id", "seq", F.aggregate(tags, start, step, lambda s: s["ok"] & (F.size(s["open"]) == 0)).alias("ok"))
-
-
 _WORDS = r"list_distinct(regexp_extract_all({}, '\p{{L}}{{3,}}'))"
 _SEEN = f"(select conv_id, seq, w, list_contains({_WORDS.format('nt')}, w) as kept from (select *, unnest({_WORDS.format('ns')}) as w from {_FORMS}))"
 _TERMS = f"(select conv_id, w as word, count(*) filter (where kept) as kept, count(*) filter (where not kept) as translated from {_SEEN} group by 1, 2 having count(*) filter (where kept) > 0 and count(*) filter (where not kept) > 0)"
