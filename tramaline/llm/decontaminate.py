@@ -210,14 +210,22 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, gram: int, prefix: s
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, TYPES, strict=True))], ["_key", *(prefix + n for n in NAMES)])
 
     # a text's key also stands for rows that repeat it, so that a passage copied often is searched once
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256))
-    texts = keyed.groupBy("_key").agg(F.first(F.col("text").cast("binary")).alias("text"))
+    key = _free(docs.columns, "key")
+    text_key = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)
+    texts = docs.groupBy(text_key.alias("_key")).agg(F.first(F.col("text").cast("binary")).alias("text"))
     found = items.mapInArrow(item_prints, "hash long, item string, around binary, size int")
     hits = texts.mapInArrow(doc_prints, "key string, at int, hash long, size int").join(found, ["hash", "size"])
     per_text = hits.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("at", "size", "item", "around")).alias("hits"))
     out = texts.join(per_text, "_key", "left").select("_key", "text", "hits")
     out = out.mapInArrow(verify, _schema(T.StructType([T.StructField("_key", T.StringType())]), prefix))
-    return keyed.join(out, "_key").drop("_key")
+    return docs.withColumn(key, text_key).join(out.withColumnRenamed("_key", key), key).drop(key)
+
+
+def _free(columns: list[str], name: str) -> str:
+    """A column name, or beginning of names, that no column has."""
+    while any(c.lower().startswith(name) for c in columns):
+        name += "_"
+    return name
 
 
 def _flagged(docs: DataFrame, benchmark: DataFrame, window: int, gram: int, most: int, prefix: str) -> DataFrame:
@@ -244,4 +252,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """The rows of docs without a hit, with docs' columns; rows with null text or key stay."""
-    return _flagged(docs, benchmark, window, gram, max_broadcast_bytes, "_found_").where("not _found_contaminated").select(*docs.columns)
+    found = _free(docs.columns, "found")
+    return _flagged(docs, benchmark, window, gram, max_broadcast_bytes, found).where(~F.col(found + "contaminated")).select(*docs.columns)

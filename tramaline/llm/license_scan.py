@@ -8,6 +8,7 @@ errors. A word that many notices share is so no candidate by itself.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -119,15 +120,27 @@ def flowing(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out[keep], np.flatnonzero(keep), up_to(keep)[block.offsets]
 
 
-def _matches(pattern: regex.Pattern[bytes], least: int, data: bytes) -> list[regex.Match[bytes]]:
-    """The best match of data, and likewise those before and after it; a match has at least so many bytes."""
-    found, rest = [], [(0, len(data))]
-    while rest:
-        lo, hi = rest.pop()
-        if hi - lo >= least and (m := pattern.search(data, lo, hi)):
-            found.append(m)
-            rest += [(lo, m.start()), (m.end(), hi)]
-    return found
+def _matches(pattern: regex.Pattern[bytes], least: int, data: bytes, windows: list[tuple[int, int]]) -> list[regex.Match[bytes]]:
+    """Matches of at least so many bytes, none overlapping: the best of each window, of those that overlap the better one.
+
+    A window whose match gave way is searched again beside what took its place, so that it never grows, and all
+    windows together take time in proportion to their number.
+    """
+    taken: list[tuple[int, int]] = []
+    out = []
+    while windows:
+        found = [(sum(m.fuzzy_counts), m.start(), m, w) for w in sorted(set(windows)) if w[1] - w[0] >= least and (m := pattern.search(data, *w))]
+        windows = []
+        for _, start, m, (lo, hi) in sorted(found, key=lambda x: x[:2]):
+            i = bisect_left(taken, (start, m.end()))
+            beside = [t for t in taken[max(0, i - 1) : i + 2] if t[0] < m.end() and t[1] > start]
+            if not beside:
+                taken.insert(i, (start, m.end()))
+                out.append(m)
+            elif (start, m.end()) not in beside:
+                edges = [lo, *(x for t in beside for x in t), hi]
+                windows += [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
+    return out
 
 
 def agreeing(places: list[tuple[int, int]], edits: int) -> list[int]:
@@ -158,27 +171,26 @@ def fuzzy_spans(block: Block, notices: tuple[str, ...], chars_per_edit: int) ->
     out = []
     for k, places in hits.items():
         _, n, e = patterns[k]
-        spans = [(begin - e, begin + n + e) for begin in agreeing(sorted(places), e)]
+        spans: list[tuple[int, int]] = []
+        first = None
+        for begin in agreeing(sorted(places), e):
+            if first is not None and begin - first <= e:  # another place of the same notice, shifted by its edits
+                spans[-1] = (first - e, begin + n + e)
+            else:
+                first = begin
+                spans.append((begin - e, begin + n + e))
         if not spans:
             continue
         doc = np.searchsorted(offsets, [a + (b - a) // 2 for a, b in spans], "right") - 1
-        merged: list[list[int]] = []
-        for (a, b), d in zip(spans, np.clip(doc, 0, block.hi - block.lo - 1).tolist(), strict=True):
-            for d in range(max(0, d - 1), min(block.hi - block.lo, d + 2)):  # noqa: PLW2901  a region may touch neighbours
+        windows: dict[int, list[tuple[int, int]]] = {}
+        for (a, b), near in zip(spans, np.clip(doc, 0, block.hi - block.lo - 1).tolist(), strict=True):
+            for d in range(max(0, near - 1), min(block.hi - block.lo, near + 2)):  # a window may touch neighbours
                 lo, hi = max(a, int(offsets[d])), min(b, int(offsets[d + 1]))
                 if hi > lo:
-                    merged.append([d, lo, hi])
-        merged.sort()
-        joined: list[list[int]] = []
-        for d, lo, hi in merged:
-            if joined and joined[-1][0] == d and lo <= joined[-1][2]:
-                joined[-1][2] = max(joined[-1][2], hi)
-            else:
-                joined.append([d, lo, hi])
-        for d, lo, hi in joined:
+                    windows.setdefault(d, []).append((lo, hi))
+        for d, own in windows.items():
             home, (pattern, n, e) = int(block.offsets[d]), patterns[k]
-            found = _matches(pattern, n - e, raw[lo:hi])
-            out += [(d, int(stood[lo + m.start()]) - home, int(stood[lo + m.end() - 1]) + 1 - home, k, sum(m.fuzzy_counts)) for m in found]
+            out += [(d, int(stood[m.start()]) - home, int(stood[m.end() - 1]) + 1 - home, k, sum(m.fuzzy_counts)) for m in _matches(pattern, n - e, raw, own)]
     return sorted(out)
 
 
