@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tramaline.operators.folds import anchor_clusters, greedy_batches
 from tramaline.operators.layout import column_gutters, ocr_lines, page_readability, reading_order, stacked_blocks, trailing_folios
-from tramaline.operators.paragraphs import paragraphs
+from tramaline.operators.paragraphs import list_markers, paragraphs
 from tramaline.plans.base import SEGMENTS, Plans, segments
 from tramaline.sources.extracts import export_json, text_leaves
 from tramaline.sources.html import html_segments
@@ -80,10 +80,11 @@ def order(spark, d):
 
 @plan("paragraphs")
 def paragraphs_of_pages(spark, d):
-    # two columns of lines; every seventh line stands apart, every eleventh is bold
-    lines = segments(spark, d).selectExpr("doc_id", "seq div 40 as page", "seq", "cast(seq % 2 * 320 + if(seq % 5 = 4, 20, 0) as double) as x0", "cast(seq % 40 div 2 * 14 + seq % 40 div 14 * 12 as double) as top", "text", "seq % 11 = 10 as bold")
-    lines = lines.selectExpr("*", "x0 + least(length(text), 60) * 5.0D as x1", "top + 12.0D as bottom", "top + 10.0D as base", "10.0D as size", "cast(null as bigint) as cell")
-    return paragraphs(lines, ["doc_id", "page"])
+    # two columns of lines; every seventh line stands apart, every eleventh is bold, some are items of a list
+    mark = "case when seq % 40 > 29 then concat(seq % 40 - 29, '. ') when seq % 13 = 5 then '• ' else '' end"
+    lines = segments(spark, d).selectExpr("doc_id", "seq div 40 as page", "seq", "cast(seq % 2 * 320 + if(seq % 5 = 4, 20, 0) as double) as x0", "cast(seq % 40 div 2 * 14 + seq % 40 div 14 * 12 as double) as top", f"concat({mark}, substring(text, 1, 60)) as text", "seq % 11 = 10 as bold")
+    lines = lines.selectExpr("*", "x0 + length(text) * 4.8D as x1", "top + 12.0D as bottom", "top + 10.0D as base", "10.0D as size", "4.8D as glyph", "cast(null as bigint) as cell", "640.0D as width")
+    return paragraphs(lines, ["doc_id", "page"], width="width")
 
 
 @plan("bands", f"select doc_id, line, pos, sum(new) over {_LINE} as band from (select doc_id, line, pos, case when x >= coalesce(max(x + w) over (partition by doc_id, line order by pos rows between unbounded preceding and 1 preceding), x) then 1 else 0 end as new from {WORDS})")
@@ -129,12 +130,17 @@ def lines_read(spark, d):
     return ocr_lines(w, ["doc_id", "line"], "pos", least=50).select("doc_id", "line", "text", "x0", "x1", "conf")
 
 
-@plan("list_markers", f"select doc_id, seq, coalesce(lag(rank) over w = rank - 1, false) or coalesce(lead(rank) over w = rank + 1, false) as proven from (select doc_id, seq, seq % 2 as edge, seq // 2 + case when seq % 7 = 3 then 5 else 0 end as rank from {SEGMENTS}) window w as (partition by doc_id, edge order by seq)")
-def list_markers(spark, d):
-    t = segments(spark, d).selectExpr("doc_id", "seq", "seq % 2 as edge", "seq div 2 + if(seq % 7 = 3, 5, 0) as rank")
-    w = W.partitionBy("doc_id", "edge").orderBy("seq")
-    near = lambda other, step: F.coalesce(other == F.col("rank") + step, F.lit(False))
-    return t.select("doc_id", "seq", (near(F.lag("rank").over(w), -1) | near(F.lead("rank").over(w), 1)).alias("proven"))
+#: Lines with enumerators of several kinds, whose left edges waver.
+_MARKED = f"""(select doc_id, seq, seq % 3 * 40 + seq % 4 * 0.5::double as x0, case when seq % 7 = 3 then text when seq % 3 = 0 then (seq // 3 + case when seq % 11 = 6 then 4 else 0 end) || '. ' || text when seq % 3 = 1 then '(' || chr((97 + seq // 3 % 26)::int) || ') ' || text else chr((65 + seq // 3 % 26)::int) || '.  ' || text end as text from {SEGMENTS})"""
+_RANKED = rf"(select doc_id, seq, x0, regexp_matches(m, '^\d') as digit, case when regexp_matches(m, '^\d') then m::bigint else ascii(lower(m)) end as rank from (select *, regexp_extract(text, '^\s*\(?(\d{{1,3}}|[a-zA-Z])[.)]\s+', 1) as m from {_MARKED}) where m <> '')"
+_LISTS = walk(f"(select *, row_number() over (partition by doc_id order by x0, seq) as r from {_RANKED})", "doc_id", "seq, digit, rank, cluster, first", "seq, digit, rank, 0, x0", "s.seq, s.digit, s.rank, f.cluster + (s.x0 - f.first > 1.5)::int, case when s.x0 - f.first > 1.5 then s.x0 else f.first end", "seq, digit, rank, cluster")
+
+
+@plan("list_markers", f"select doc_id, seq, coalesce(lag(digit) over w = digit and lag(rank) over w = rank - 1, false) or coalesce(lead(digit) over w = digit and lead(rank) over w = rank + 1, false) as proven from ({_LISTS}) window w as (partition by doc_id, cluster order by seq)")
+def markers(spark, d):
+    marked = "case when seq % 7 = 3 then text when seq % 3 = 0 then concat(seq div 3 + if(seq % 11 = 6, 4, 0), '. ', text) when seq % 3 = 1 then concat('(', chr(97 + seq div 3 % 26), ') ', text) else concat(chr(65 + seq div 3 % 26), '.  ', text) end as text"
+    lines = segments(spark, d).selectExpr("doc_id", "seq", "cast(seq % 3 * 40 + seq % 4 * 0.5 as double) as x0", "cast(seq as double) as top", marked)
+    return list_markers(lines, ["doc_id"])
 
 
 #: The last word of every third line is its number, as in a table of contents.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tramaline.functions import text as T
 from tramaline.operators.pairs import word_recall
+from tramaline.operators.paragraphs import list_ordinal
 from tramaline.sources.extracts import load_segments
 from tramaline.plans.base import PAIRS, SEGMENTS, TAGGED, Plans, pairs, segments, tagged
 from tramaline.session import table
@@ -159,13 +160,15 @@ def page_token(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.page_range(s).alias("p")).where("p is not null").select("o_orderkey", T.page_token("p").alias("token"))
 
 
-@plan("list_ordinal", "select doc_id, seq, seq % 3 as kind, case when seq % 3 = 0 then seq when seq % 3 = 1 then 97 + seq % 26 else null end as rank from " + SEGMENTS)
-def list_ordinal(spark, d):
-    mark = F.expr("case when seq % 3 = 0 then concat(seq, '. ') when seq % 3 = 1 then concat(char(97 + seq % 26), ') ') else '' end")
-    s = segments(spark, d).withColumn("line", F.concat(mark, F.lit("item "), "text"))
-    number, letter = F.regexp_extract("line", r"^(\d+)[.)] ", 1), F.regexp_extract("line", r"^([a-z])[.)] ", 1)
-    rank = F.when(number != "", number.cast("long")).when(letter != "", F.ascii(letter).cast("long"))
-    return s.select("doc_id", "seq", F.when(number != "", 0).when(letter != "", 1).otherwise(2).cast("long").alias("kind"), rank.alias("rank"))
+_NUMBERED = "case seq % 6 when 0 then seq || '. ' when 1 then '(' || chr((97 + seq % 26)::int) || ') ' when 2 then chr((65 + seq % 26)::int) || '.  ' when 3 then '  ' || seq % 90 || ') ' when 4 then seq || '.5 ' else '' end || text"
+
+
+@plan("list_ordinal", rf"""select doc_id, seq, case when regexp_matches(m, '^\d') then 'd' when m <> '' then 'a' end as kind, case when regexp_matches(m, '^\d') then m::bigint when m <> '' then ascii(lower(m)) end as rank
+from (select doc_id, seq, regexp_extract({_NUMBERED}, '^\s*\(?(\d{{1,3}}|[a-zA-Z])[.)]\s+', 1) as m from {SEGMENTS})""")
+def ordinals(spark, d):
+    mark = "case seq % 6 when 0 then concat(seq, '. ') when 1 then concat('(', char(97 + seq % 26), ') ') when 2 then concat(char(65 + seq % 26), '.  ') when 3 then concat('  ', seq % 90, ') ') when 4 then concat(seq, '.5 ') else '' end"
+    kind, rank = list_ordinal(F.expr(f"concat({mark}, text)"))
+    return segments(spark, d).select("doc_id", "seq", kind.alias("kind"), rank.alias("rank"))
 
 
 #: Fixed names of languages, by code.
