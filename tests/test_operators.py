@@ -130,9 +130,35 @@ def test_blocks_and_gutters(spark):
     lines = spark.createDataFrame(rows, "page string, seq bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint, bullet boolean")
     got = {r.seq: r.block for r in stacked_blocks(lines, ["page"]).collect()}
     assert got[0] == got[1] and len({got[0], got[2], got[3], got[4]}) == 4
-    gaps = [("p", n, 50 + n, 70) for n in range(4)] + [("p", 1, 10, 14), ("p", 9, 50, 70)]
-    found = column_gutters(spark.createDataFrame(gaps, "page string, line bigint, x0 bigint, x1 bigint"), ["page"], 3, 5.0).collect()
-    assert [tuple(r) for r in found] == [("p", 53.0, 70.0, 4)]
+
+
+def gutters(spark, lines, barriers=None):
+    """lines: words (x0, x1) of each; or a pair of a top and words."""
+    rows = []
+    for n, words in enumerate(lines):
+        top, words = words if isinstance(words, tuple) else (12 * n, words)
+        rows += [("p", n, a, top, b, top + 10, 5) for a, b in words]
+    df = spark.createDataFrame(rows[::-1], "page string, line int, x0 int, top int, x1 int, bottom int, glyph int")
+    drawn = spark.createDataFrame(barriers, "page string, x0 int, y int, x1 int") if barriers else None
+    return sorted((r.x0, r.x1, r.lines) for r in column_gutters(df, ["page"], drawn).collect())
+
+
+def test_gutters(spark):
+    two = [(0, 50), (55 + 9, 100)]
+    assert gutters(spark, [two] * 5) == [(50.0, 64.0, 5)] and gutters(spark, [two] * 4) == []
+    # blanks between words move, the corridor narrows to what all share
+    assert gutters(spark, [[(0, 20 + n), (28 + n * 3, 45), (60 + n % 2, 100)] for n in range(6)]) == [(45.0, 60.0, 6)]
+    assert gutters(spark, [[(0, 50 - n), (64 + n, 120)] for n in range(6)]) == [(50.0, 64.0, 6)]
+    # a margin or a bullet has no text beside it
+    assert gutters(spark, [[(0, 4), (20, 120)]] * 8) == []
+    assert gutters(spark, [[(0, 4), (20, 60), (80, 120)]] * 8) == [(60.0, 80.0, 8)]
+    # text across, a gap between blocks, and a line drawn across end it; a short line or one far away says nothing
+    assert gutters(spark, [two] * 3 + [[(0, 100)]] + [two] * 3) == []
+    assert gutters(spark, [two] * 3 + [[(0, 30)]] + [two] * 3) == [(50.0, 64.0, 6)]
+    assert gutters(spark, [two] * 3 + [[(0, 20), (110, 150)]] + [two] * 3) == [(50.0, 64.0, 6)]
+    assert gutters(spark, [(12 * n + 40 * (n > 2), two) for n in range(6)]) == []
+    assert gutters(spark, [two] * 6, [("p", 0, 35, 200)]) == [] and gutters(spark, [two] * 6, [("p", 70, 35, 200), ("q", 0, 35, 200)]) == [(50.0, 64.0, 6)]
+    assert gutters(spark, [two] * 12, [("p", 40, 83, 60)]) == [(50.0, 64.0, 5), (50.0, 64.0, 7)]
 
 
 def test_rules_by_hand(spark):

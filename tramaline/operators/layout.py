@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramaline.operators.folds import fold_rows
+
 
 def _blanks(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Intervals of an axis that no box covers, those before the first box and after the last included."""
@@ -101,32 +107,93 @@ def stacked_blocks(lines: DataFrame, page: list[str], height: float = 0.35, edge
     return lines.groupBy(*page).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in page) + ", seq long, block long")
 
 
-def column_gutters(gaps: DataFrame, page: list[str], rows: int, width: float) -> DataFrame:
-    """page, x0, x1, lines: blank corridors that persist over at least `rows` lines in a row.
+class Gutters(NamedTuple):
+    """Lines that a corridor lasts, and in widths of a glyph its width, the text on either side, how far that
+    text may be from it; the distance of lines of one block, in heights of a line."""
+
+    lines: int = 5
+    width: float = 1.2
+    side: float = 4.0
+    reach: float = 4.0
+    apart: float = 1.5
+
+
+@dataclass
+class _Corridor:
+    x0: float
+    x1: float
+    lines: int
+    glyph: float
+
+    def middle(self) -> float:
+        return (self.x0 + self.x1) / 2
 
-    gaps has page's columns, line, x0 and x1 of each blank between two words of a line. A corridor starts at a blank
-    and narrows to what it shares with the next line's blanks; it ends where less than width is left.
+    def between(self, x0: float, x1: float, side: float) -> bool:
+        """Whether a line from x0 to x1 has so much on either side."""
+        return min(self.middle() - x0, x1 - self.middle()) >= side
+
+
+def column_gutters(words: DataFrame, page: list[str], barriers: DataFrame | None = None, bounds: Gutters = Gutters()) -> DataFrame:
+    """page, x0, x1, lines: blank corridors between columns, which stay where they are over many lines.
+
+    words has page's columns, line, x0, top, x1, bottom and glyph. A blank between two words of a line opens a corridor
+    if it is wide enough and has text enough on either side in its line: a bullet or a margin has none. From top to bottom
+    a corridor narrows to what it shares with each line's blank; a line whose text is far from it says nothing, nor does
+    one that ends before it. It ends where text crosses it, a line has too little beside it, a block ends, or a barrier lies
+    across (page's columns, x0, y, x1: a line drawn); it counts if enough lines bear it. Lines may come in any order.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in gaps.schema}
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        by_line: dict[int, list[tuple[float, float]]] = {}
-        for line, a, b in frame[["line", "x0", "x1"]].itertuples(index=False, name=None):
-            by_line.setdefault(line, []).append((float(a), float(b)))
-        found, live = [], []
-        for line in range(min(by_line), max(by_line) + 2):
-            blanks, grown, used = by_line.get(line, []), [], set()
-            for a, b, n in live:
-                shared = [(max(a, c), min(b, d), i) for i, (c, d) in enumerate(blanks) if min(b, d) - max(a, c) >= width]
-                grown += [(c, d, n + 1) for c, d, _ in shared]
-                used |= {i for _, _, i in shared}
-                if not shared and n >= rows:
-                    found.append((a, b, n))
-            live = grown + [(c, d, 1) for i, (c, d) in enumerate(blanks) if i not in used and d - c >= width]
-        head = {k: [frame[k].iloc[0]] * len(found) for k in page}
-        return pd.DataFrame({**head, "x0": [f[0] for f in found], "x1": [f[1] for f in found], "lines": [f[2] for f in found]})
-
-    return gaps.groupBy(*page).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in page) + ", x0 double, x1 double, lines long")
+    across = Window.partitionBy(*page, "line").orderBy("x0", "x1")
+    so_far = across.rowsBetween(Window.unboundedPreceding, 0)
+    w = words.select(*page, "line", *(F.col(c).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom", "glyph")))
+    # a blank begins where all words so far have ended, as words may overlap
+    w = w.select("*", F.max("x1").over(so_far).alias("end"), F.lead("x0").over(across).alias("next"))
+    blank = F.when(F.col("next") > F.col("end"), F.struct(F.col("end").alias("x0"), F.col("next").alias("x1")))
+    lines = w.groupBy(*page, "line").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.percentile("glyph", 0.5).alias("glyph"), F.array_sort(F.collect_list(blank)).alias("blanks"))
+    lines = lines.withColumn("drawn", F.lit(False))
+    if barriers is not None:
+        drawn = barriers.select(*page, F.lit(True).alias("drawn"), F.col("x0").cast("double").alias("x0"), F.col("y").cast("double").alias("top"), F.col("x1").cast("double").alias("x1"))
+        lines = lines.unionByName(drawn, allowMissingColumns=True)
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        live: list[_Corridor] = []
+        end, height = None, 0.0
+        for drawn, top, bottom, x0, x1, glyph, blanks in rows:
+            over: list[_Corridor] = []
+            if drawn:
+                over, live = [c for c in live if x0 < c.x1 and x1 > c.x0], [c for c in live if x0 >= c.x1 or x1 <= c.x0]
+            else:
+                if end is not None and top - end > bounds.apart * max(height, 1.0):
+                    over, live = live, []
+                borne = _carried(live, x0, x1, glyph, blanks, bounds)
+                over += [c for c, kept in borne if not kept]
+                live = [c for c, kept in borne if kept]
+                taken = [c.middle() for c in live]
+                fresh = (_Corridor(b["x0"], b["x1"], 1, glyph) for b in blanks if b["x1"] - b["x0"] >= bounds.width * glyph)
+                live += [c for c in fresh if c.between(x0, x1, bounds.side * glyph) and not any(c.x0 <= m <= c.x1 for m in taken)]
+                end, height = bottom, bottom - top
+            yield from ((c.x0, c.x1, c.lines) for c in over if c.lines >= bounds.lines)
+        yield from ((c.x0, c.x1, c.lines) for c in live if c.lines >= bounds.lines)
+
+    return fold_rows(lines, page, ["top", "drawn", "x0"], ["drawn", "top", "bottom", "x0", "x1", "glyph", "blanks"], "x0 double, x1 double, lines bigint", fold)
+
+
+def _carried(live: list[_Corridor], x0: float, x1: float, glyph: float, blanks: list[dict], bounds: Gutters) -> list[tuple[_Corridor, bool]]:
+    """Each corridor as a line leaves it, and whether it goes on."""
+    out = []
+    for c in live:
+        if not x0 < c.middle() < x1:
+            out.append((c, True))
+            continue
+        b = next((b for b in blanks if b["x0"] <= c.middle() <= b["x1"]), None)
+        if b is None or not c.between(x0, x1, bounds.side * glyph):
+            out.append((c, False))
+        elif c.x0 - b["x0"] > bounds.reach * glyph or b["x1"] - c.x1 > bounds.reach * glyph:
+            out.append((c, True))
+        else:
+            narrow = _Corridor(max(c.x0, b["x0"]), min(c.x1, b["x1"]), c.lines + 1, c.glyph)
+            wide = narrow.x1 - narrow.x0 >= bounds.width * c.glyph
+            out.append((narrow if wide else c, wide))
+    return out
 
 
 def trailing_folios(last: DataFrame, page: list[str], tolerance: float = 2.5) -> DataFrame:
