@@ -66,10 +66,14 @@ def error_rate(read: Text, expected: Text) -> Column:
     return F.levenshtein(_c(read), _c(expected)) / F.greatest(F.length(_c(read)), F.lit(1)).cast("double")
 
 
+def without_typography(x: Text) -> Column:
+    """Single spaces, and none where French typography puts one about punctuation."""
+    return F.regexp_replace(F.regexp_replace(squeezed(x), r" ([:;!?%»])", "$1"), "« ", "«")
+
+
 def memo_key(x: Text) -> Column:
-    """Key of a text in a document's memory: no tags, single spaces, no French spaces about punctuation."""
-    t = F.regexp_replace(squeezed(strip_tags(x)), r" ([:;!?%»])", "$1")
-    return F.regexp_replace(t, "« ", "«")
+    """Key of a text in a document's memory: without tags and typography."""
+    return without_typography(strip_tags(x))
 
 
 def letters(x: Text) -> Column:

@@ -242,14 +242,6 @@ def resume_discount(spark, d):
     return t.selectExpr("document_id", "least(p + document_id % 4, n) as discount")
 
 
-_DECIDE = "case when unlimited or remaining >= start_day then 'full' when remaining + credits >= start_day then 'partial' when plan = 'free' and email_verified then 'preview' else 'refused' end"
-
-
-@plan("admission_decision", f"select user_id, {_DECIDE} as decision, case when unlimited then 0 else greatest(start_day - remaining - credits, 0) end as missing from {_SUMMARY} join (select user_id, start_day, email_verified from {USERS}) using (user_id)")
-def admission_decision(spark, d):
-    return summary(spark, d).selectExpr("user_id", f"{_DECIDE} as decision", "case when unlimited then 0L else greatest(start_day - remaining - credits, 0L) end as missing")
-
-
 @plan("preview_pages", "select o_orderkey, string_agg(p::varchar, ',' order by p) as pages from (select o_orderkey, p, row_number() over (partition by o_orderkey order by p desc) as r from (select o_orderkey, unnest(range(1, o_custkey % 11 + 2)) as p from orders) where p <> o_orderkey % 5) where r <= 3 group by 1")
 def preview_pages(spark, d):
     pages = F.filter(F.sequence(F.lit(1).cast("long"), F.expr("o_custkey % 11 + 1")), lambda p: p != F.expr("o_orderkey % 5"))

@@ -64,14 +64,6 @@ def contexts(spark, d):
     return page_context(lines, ["doc_id", "page"])
 
 
-@plan("document_brief_material", f"select doc_id, string_agg(text, '|' order by seq) as titles from (select doc_id, seq, text, row_number() over (partition by doc_id order by seq) as r from {SEGMENTS} where length(text) <= 80) where r <= 60 group by 1")
-def brief(spark, d):
-    r = F.row_number().over(W.partitionBy("doc_id").orderBy("seq"))
-    t = segments(spark, d).where("length(text) <= 80").withColumn("r", r).where("r <= 60")
-    titles = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
-    return t.groupBy("doc_id").agg(F.array_join(titles, "|").alias("titles"))
-
-
 # runs 0 and 1, which a space parts; where the translation lacks run 1, its words are shared if there are two or more
 _RUN = r"regexp_extract({}, '\[\[{}\]\]([^\[]*)\[\[/{}\]\]', 1)"
 _RUN_TEXTS = rf"(select conv_id, seq, strpos(target, '[[1]]') > 0 as whole, {_RUN.format('source', 0, 0)} as s0, {_RUN.format('source', 1, 1)} as s1, {_RUN.format('target', 0, 0)} as t0, {_RUN.format('target', 1, 1)} as t1, trim(regexp_replace(target, '\[\[/?\d+\]\]', '', 'g')) as bare from {PAIRS})"

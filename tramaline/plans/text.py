@@ -345,40 +345,12 @@ def same_text_similarity(spark, d):
 # ---- memory and consistency ----
 
 
-@plan("dedup_texts", f"select text, min(doc_id) as doc_id, count(*) as uses from {SEGMENTS} where {_LETTERS.format('text')} > 0 group by text")
-def dedup_texts(spark, d):
-    return segments(spark, d).where(T.letters("text") > 0).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("uses"))
-
-
 @plan("to_send", f"select distinct text from {SEGMENTS} s where source <> 'src0' and text not in (select text from {SEGMENTS} where source = 'src0')")
 def to_send(spark, d):
     s = segments(spark, d)
     return s.where("source <> 'src0'").select("text").distinct().join(s.where("source = 'src0'").select("text").distinct(), "text", "left_anti")
 
 
-#: Versions of repeated lines: the same source text translated differently in different places.
-_VERSIONS = f"(select doc_id, seq, lang, text, text || ' v' || doc_id % 3 as translation from {SEGMENTS})"
-
-
-def _versions(spark, d):
-    return segments(spark, d).select("doc_id", "seq", "lang", "text", F.expr("concat(text, ' v', doc_id % 3)").alias("translation"))
-
-
-@plan("harmonise", f"""select lang, text, translation from (select *, row_number() over (partition by lang, text order by votes desc, same desc, first) as r from (
-select lang, text, translation, count(*) as votes, max((text = translation)::int) as same, min(doc_id * 1000000 + seq) as first from {_VERSIONS} group by 1, 2, 3)) where r = 1""")
-def harmonise(spark, d):
-    v = _versions(spark, d).groupBy("lang", "text", "translation").agg(F.count("*").alias("votes"), F.max((F.col("text") == F.col("translation")).cast("int")).alias("same"), F.min(F.expr("doc_id * 1000000 + seq")).alias("first"))
-    w = W.partitionBy("lang", "text").orderBy(F.desc("votes"), F.desc("same"), "first")
-    return v.withColumn("r", F.row_number().over(w)).where("r = 1").select("lang", "text", "translation")
-
-
-@plan("document_memory", f"select doc_id, seq, case when length(text) <= 120 then first_value(translation) over (partition by doc_id, text order by seq) else translation end as translation from (select doc_id, seq, text, text || ' ' || seq as translation from {SEGMENTS})")
-def document_memory(spark, d):
-    s = segments(spark, d).withColumn("translation", F.expr("concat(text, ' ', seq)"))
-    first = F.first("translation").over(W.partitionBy("doc_id", "text").orderBy("seq"))
-    return s.select("doc_id", "seq", F.when(F.length("text") <= 120, first).otherwise(F.col("translation")).alias("translation"))
-
-
 @plan("memory_by_tagged_text", f"select tagged, min_by(doc_id, doc_id * 1000000 + seq) as doc_id from {TAGGED} where {_LETTERS.format('tagged')} > 0 group by tagged")
 def memory_by_tagged_text(spark, d):
     return tagged(spark, d).where(T.letters("tagged") > 0).groupBy("tagged").agg(F.min_by("doc_id", F.expr("doc_id * 1000000 + seq")).alias("doc_id"))
@@ -445,12 +417,6 @@ def fixed_batches(spark, d):
     return segments(spark, d).select("doc_id", "seq", F.floor(k / 50).alias("batch"))
 
 
-@plan("neighbour_context", f"select doc_id, seq, substr(lag(text) over w, 1, 300) as before, substr(lead(text) over w, 1, 300) as after from {SEGMENTS} window w as (partition by doc_id order by seq)")
-def neighbour_context(spark, d):
-    w = W.partitionBy("doc_id").orderBy("seq")
-    return segments(spark, d).select("doc_id", "seq", F.substring(F.lag("text").over(w), 1, 300).alias("before"), F.substring(F.lead("text").over(w), 1, 300).alias("after"))
-
-
 @plan("budget_stop", f"select doc_id, seq from (select doc_id, seq, coalesce(sum((seq % 5 <> 0)::int) over (partition by doc_id order by seq rows between unbounded preceding and 1 preceding), 0) as used from {SEGMENTS}) where used < 3")
 def budget_stop(spark, d):
     used = F.coalesce(F.sum((F.col("seq") % 5 != 0).cast("int")).over(W.partitionBy("doc_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
