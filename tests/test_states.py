@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tramaline.streaming.states import busy_minutes, error_digests, page_bounds, settled_payments, sliding_counts
+from tramaline.streaming.states import balance_watch, busy_minutes, error_digests, page_bounds, settled_payments, sliding_counts
 
 BEGIN = datetime(2024, 5, 1, 12)
 
@@ -129,3 +129,22 @@ def test_busy_minutes(spark, tmp_path):
     rows = [("a", at(k / 10)) for k in range(25)] + [("b", at(1))]
     got, last, _ = streamed(spark, tmp_path, lambda s: busy_minutes(s, "key", 4), "key string, ts timestamp", [rows, [("z", at(100))]])
     assert sorted(got) == [("a", at(0), 10, 6), ("a", at(1), 10, 6), ("a", at(2), 5, 1)] and last == 1
+
+
+@pytest.mark.parametrize("split", [1, 3, 20])
+def test_balances(spark, tmp_path, split):
+    """Low once per crossing; drops of a day, told once a day; what is paid in is no drop."""
+    readings = [(0, 9.0), (60, 8.0), (120, 1.5), (180, 1.0), (240, 9.0), (300, 1.0), (600, 0.9), (1700, 5.0), (1800, 1.9), (3300, 0.5)]
+    rows = [("k", at(m), i, v) for i, (m, v) in enumerate(readings)]
+    batches = [*(rows[k : k + split] for k in range(0, len(rows), split)), [("z", at(9000), 99, 9.0)]]
+    got, last, most = streamed(spark, tmp_path, lambda s: balance_watch(s, "key", "balance", "n", spend=7.0), "key string, ts timestamp, n int, balance double", batches)
+    lows = [g[1] for g in got if g[2] == "low"]
+    assert sorted(lows) == [at(120), at(300), at(1800)]
+    spends = sorted((g[1], g[3]) for g in got if g[2] == "spend")
+    want, told = [], None
+    for i, (m, _) in enumerate(readings):
+        spent = round(sum(max(0.0, readings[j - 1][1] - readings[j][1]) for j in range(1, i + 1) if readings[j][0] >= m - 1440), 4)
+        if spent > 7 and (told is None or m - told >= 1440):
+            told = m
+            want.append((at(m), spent))
+    assert spends == want and len(want) >= 2

@@ -32,27 +32,62 @@ def submission_rate(records: DataFrame, bounds: dict[str, int], time: str = "ts"
     return records.withColumn("refused", refused)
 
 
+def active_at(times: DataFrame, key: list[str], who: str, at: str, span: int) -> DataFrame:
+    """key, at and active: for each time of a key, how many of its `who` were there in the span up to it, each counted once.
+
+    The times of one `who` that follow each other within the span are one stay, which ends a span after its last; stays
+    that have begun less those that have ended are counted along the key's times, so that no row holds a set.
+    """
+    along = Window.partitionBy(*key, who).orderBy(at)
+    stays = times.select(*key, who, at).distinct().withColumn("_new", F.coalesce(F.col(at) - F.lag(at).over(along) > span, F.lit(True)).cast("int"))
+    stays = stays.withColumn("_stay", F.sum("_new").over(along)).groupBy(*key, who, "_stay").agg(F.min(at).alias("_from"), (F.max(at) + span).alias("_to"))
+    # at one time stays begin, then rows ask, then stays end
+    steps = stays.select(*key, F.explode(F.array(F.struct(F.col("_from").alias(at), F.lit(0).alias("_kind"), F.lit(1).alias("_step")), F.struct(F.col("_to").alias(at), F.lit(2).alias("_kind"), F.lit(-1).alias("_step")))).alias("_e")).select(*key, "_e.*")
+    asks = times.select(*key, at).distinct().select(*key, at, F.lit(1).alias("_kind"), F.lit(0).alias("_step"))
+    open_now = F.sum("_step").over(Window.partitionBy(*key).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    return steps.unionByName(asks).withColumn("active", open_now).where("_kind = 1").select(*key, at, "active")
+
+
+def _company(records: DataFrame, key: str, email: str, day: Column, days: int | None, most: int) -> DataFrame:
+    """_key, _day, n and least: of each key and day that records have, the e-mails within `days` of it, and the first of them."""
+    seen = records.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), (day if days is not None else F.lit(0)).alias("_day"), F.col(email).alias("_email")).distinct()
+    if days is not None:
+        near = F.explode(F.sequence(F.col("_day") - days, F.col("_day") + days)).alias("_day")
+        # only days on which the key has records are asked for
+        seen = seen.select("_key", "_email", near).distinct().join(seen.select("_key", "_day").distinct(), ["_key", "_day"])
+    first = Window.partitionBy("_key", "_day").orderBy("_email")
+    least = seen.where("_email is not null").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most + 1).groupBy("_key", "_day").agg(F.array_sort(F.collect_list("_email")).alias("least"))
+    return seen.groupBy("_key", "_day").agg(F.count("_email").alias("n")).join(least, ["_key", "_day"], "left")
+
+
 def account_relations(records: DataFrame, mailbox: str = "mailbox", email: str = "email", signals: tuple[str, ...] = ("ip", "browser"), time: str = "ts", days: int = 30, rapid: int = 3, seconds: int = 3600, most: int = 10) -> DataFrame:
     """records with same_mailbox and same_<signal> (other e-mails that share it), rapid_sequence, and related.
 
     A signal counts if it is at most `days` older or newer than the record's. rapid_sequence: a signal was used by
     `rapid` e-mails or more in so many seconds up to the record. related: up to `most` other e-mails, in order.
-    E-mails are counted per key and day first, so that no pairs of records are made.
+    Keys, days and e-mails are made distinct first and counted; of a key and day only the first e-mails are held, so
+    that a network that very many share makes no long rows and no pairs. A null signal is shared with nobody. Columns that are
+    named like the new ones are replaced.
     """
-    day = F.unix_date(F.to_date(F.col(time)))
-    out, related, sudden = records.withColumn("_day", day), [], F.lit(False)
-    for key in (mailbox, *signals):
-        over = Window.partitionBy(key).orderBy("_day")
-        near = over.rangeBetween(-days, days) if key != mailbox else Window.partitionBy(key)
-        others = F.array_remove(F.array_sort(F.collect_set(email).over(near)), F.col(email))
-        out = out.withColumn(f"_{key}", F.when(F.col(key).isNotNull(), others).otherwise(F.array().cast("array<string>")))
-        related.append(F.col(f"_{key}"))
+    names = [f"same_{'mailbox' if k == mailbox else k}" for k in (mailbox, *signals)]
+    columns = [c for c in records.columns if c not in (*names, "rapid_sequence", "related")]
+    whole = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_record")
+    day, at = F.unix_date(F.to_date(F.col(time))), micros(time)
+    out, shared, sudden = records.select(whole, F.col(email).alias("_own"), day.alias("_on"), at.alias("_at")), [], F.lit(False)
+    for i, key in enumerate((mailbox, *signals)):
+        company = _company(records, key, email, day, None if key == mailbox else days, most)
+        on = (F.col(f"_record.{key}") == company["_key"]) & (company["_day"] == (F.lit(0) if key == mailbox else F.col("_on")))
+        company = company.withColumnsRenamed({"n": f"_n{i}", "least": f"_least{i}"})
+        out = out.join(company, on, "left").drop("_key", "_day")
+        shared.append(F.greatest(F.coalesce(F.col(f"_n{i}"), F.lit(0)) - F.when(F.col("_own").isNull(), 0).otherwise(1), F.lit(0)).cast("long"))
         if key != mailbox:
-            recent = F.size(F.collect_set(email).over(Window.partitionBy(key).orderBy(micros(time)).rangeBetween(-seconds * SECOND, 0)))
-            sudden = sudden | (F.col(key).isNotNull() & (recent >= rapid))
-    flags = [F.size(f"_{k}").cast("long").alias(f"same_{'mailbox' if k == mailbox else k}") for k in (mailbox, *signals)]
-    all_related = F.slice(F.array_sort(F.array_distinct(F.concat(*related))), 1, most)
-    return out.withColumn("rapid_sequence", sudden).select(*records.columns, *flags, "rapid_sequence", all_related.alias("related"))
+            used = records.where(F.col(key).isNotNull() & F.col(email).isNotNull()).select(F.col(key).alias("_key"), F.col(email).alias("_email"), at.alias("_time"))
+            active = active_at(used, ["_key"], "_email", "_time", seconds * SECOND).withColumnRenamed("active", f"_active{i}")
+            out = out.join(active, (F.col(f"_record.{key}") == active["_key"]) & (F.col("_at") == active["_time"]), "left").drop("_key", "_time")
+            sudden = sudden | (F.coalesce(F.col(f"_active{i}"), F.lit(0)) >= rapid)
+    lists = [F.coalesce(F.col(f"_least{i}"), F.array().cast("array<string>")) for i in range(len(signals) + 1)]
+    others = F.filter(F.array_sort(F.array_distinct(F.concat(*lists))), lambda x: F.coalesce(x != F.col("_own"), F.lit(True)))
+    return out.select("_record.*", *(c.alias(n) for c, n in zip(shared, names, strict=True)), sudden.alias("rapid_sequence"), F.slice(others, 1, most).alias("related"))
 
 
 def purge_signals(records: DataFrame, signals: tuple[str, ...], now: str, time: str = "ts", days: int = 30) -> DataFrame:

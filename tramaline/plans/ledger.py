@@ -378,21 +378,6 @@ def expire_plans(spark, d):
     return users(spark, d).where(f"plan_started_at is not null and {_EXPIRES} <= {NOW}").selectExpr("user_id", "plan as lost", f"cast({_EXPIRES} as timestamp_ntz) as expired_at")
 
 
-_EVENTS = f"(select user_id, 'signup' as kind, created_at as happened from {USERS} union all select user_id, case when months % 3 = 0 then 'renewal' else 'subscription' end, created_at from {PAYMENTS} where status = 'SUCCESSFUL' and plan is not null)"
-
-
-@plan("plan_history", f"select user_id, count(*) filter (where kind = 'subscription') + 1 as subscriptions, count(*) filter (where kind = 'renewal') as renewals, max(happened) as last_at from {_EVENTS} group by 1")
-def plan_history(spark, d):
-    signup = users(spark, d).selectExpr("user_id", "'signup' as kind", "cast(created_at as timestamp_ntz) as happened")
-    paid = payments(spark, d).where("status = 'SUCCESSFUL' and plan is not null").selectExpr("user_id", "case when months % 3 = 0 then 'renewal' else 'subscription' end as kind", "cast(created_at as timestamp_ntz) as happened")
-    return signup.unionByName(paid).groupBy("user_id").agg((F.count_if(F.col("kind") == "subscription") + 1).alias("subscriptions"), F.count_if(F.col("kind") == "renewal").alias("renewals"), F.max("happened").alias("last_at"))
-
-
-@plan("method_availability", f"select payment_id, case when card then 'available' when currency = 'XAF' then 'available' else 'no provider' end as state from {_BUY}")
-def method_availability(spark, d):
-    return buys(spark, d).select("payment_id", F.when(F.col("card") | (M.currency(F.col("zone")) == "XAF"), "available").otherwise("no provider").alias("state"))
-
-
 @plan("operator_of_phone", """select c_custkey, case when length(p) <> 9 then null when substr(p, 1, 2) = '67' then 'mtn' when substr(p, 1, 2) = '69' then 'orange'
   when substr(p, 1, 2) in ('65', '68') then case when substr(p, 3, 1) between '0' and '4' then 'mtn' else 'orange' end end as operator
   from (select c_custkey, '6' || lpad((c_custkey * 7919 % 100000000)::varchar, case when c_custkey % 10 = 0 then 7 else 8 end, '0') as p from customer)""")

@@ -104,20 +104,6 @@ def plans_applied(spark, d):
     return apply_plans(p, {"starter": 1, "pro": 2})
 
 
-_OK = "event_id % 3 <> 0 and cast(floor(value * 100) as bigint) >= 100 and event_id % 7 <> 0"
-
-
-@plan("event_conformity", f"select event_id, {_OK} as valid from events where event_type = 'purchase'")
-def event_conformity(spark, d):
-    # the evidence as JSON text, read back with a schema; what breaks a rule is false, malformed text too
-    body = F.expr("""case when event_id % 3 = 0 then '{broken' else to_json(named_struct('version', 1, 'type', 'payment.confirmed', 'paymentId', concat('p', event_id),
-        'data', named_struct('paymentId', concat('p', event_id), 'currency', if(event_id % 7 = 0, 'EUR', 'XAF'), 'amountMinor', cast(floor(value * 100) as bigint)))) end""")
-    e = F.from_json("body", "version int, type string, paymentId string, data struct<paymentId: string, currency: string, amountMinor: bigint>")
-    t = table(spark, d, "events").where("event_type = 'purchase'").withColumn("body", body).withColumn("e", e)
-    valid = F.expr("e.version = 1 and e.type = 'payment.confirmed' and e.data.paymentId = e.paymentId and e.data.currency = 'XAF' and e.data.amountMinor >= 100")
-    return t.select("event_id", F.coalesce(valid, F.lit(False)).alias("valid"))
-
-
 @plan("mark_handled", "select user_id, count(*) as handled from events where event_type = 'error' and event_id % 5 <> 0 group by 1")
 def mark_handled(spark, d):
     t = table(spark, d, "events").where("event_type = 'error'").selectExpr("user_id", "if(event_id % 5 = 0, 'handled', 'new') as before").withColumn("after", F.lit("handled"))

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = ["text", "ledger", "people", "layout", "streams", "more", "stateful", "documents"]
+MODULES: list[str] = ["text", "ledger", "people", "layout", "streams", "more", "stateful", "documents", "evidence"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tramaline.plans.base import Plans
 from tramaline.plans.layout import walk
 from tramaline.session import table
-from tramaline.streaming.jobs import bounded_alerts, cooldown_alerts, crossing_alerts, drained, event_stream, streamed_again
-from tramaline.streaming.states import busy_minutes, error_digests, page_bounds, settled_payments, sliding_counts
+from tramaline.streaming.jobs import bounded_alerts, cooldown_alerts, drained, event_stream, streamed_again
+from tramaline.streaming.states import balance_watch, busy_minutes, error_digests, page_bounds, settled_payments, sliding_counts
 
 plan = Plans()
 QUERIES, SQL = plan.queries, plan.sql
@@ -108,7 +108,12 @@ def late_payment_status(spark, d):
     return drained(settled_payments(notices, "payment", "status", "event_id"), "append")
 
 
-@plan("balance_alerts", "select user_id, count(*) as alerts from (select user_id, value, lag(value) over (partition by user_id order by ts, event_id) as prev from events) where value < 5 and coalesce(prev >= 5, true) group by 1")
+_READ = "(select user_id, ts, event_id, value, lag(value) over w as prev, row_number() over w as r from events window w as (partition by user_id order by ts, event_id))"
+_SPENT = f"(select *, round(coalesce(sum(greatest(prev - value, 0)) over (partition by user_id order by ts range between interval 24 hours preceding and current row), 0), 4) as spent from {_READ})"
+_TOLD = "s.spent > 12 and (f.told is null or s.ts - f.told >= interval 24 hours)"
+_SPENDS = walk(_SPENT, "user_id", "ts, spent, told, alert", "ts, spent, case when spent > 12 then ts end, spent > 12", f"s.ts, s.spent, case when {_TOLD} then s.ts else f.told end, {_TOLD}", "ts, spent, alert")
+
+
+@plan("balance_alerts", f"select user_id, cast(ts as timestamp) as ts, 'low' as alert, value as amount from {_READ} where value < 5 and coalesce(prev >= 5, true) union all select user_id, cast(ts as timestamp), 'spend', spent from ({_SPENDS}) where alert")
 def balance_alerts(spark, d):
-    s = event_stream(spark, d).select("user_id", "ts", F.col("event_id").alias("n"), "value")
-    return drained(crossing_alerts(s, "user_id", 5.0), "append").groupBy("user_id").agg(F.count("*").alias("alerts"))
+    return drained(balance_watch(event_stream(spark, d), "user_id", "value", "event_id", low=5.0, spend=12.0), "append")

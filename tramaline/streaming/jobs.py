@@ -65,27 +65,6 @@ def cooldown_alerts(stream: DataFrame, key: str, seconds: int) -> DataFrame:
     return stream.select(key, "ts").groupBy(key).applyInPandasWithState(alert, f"{key} {kind}, ts timestamp", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def crossing_alerts(stream: DataFrame, key: str, threshold: float) -> DataFrame:
-    """One row (key, ts) whenever a key's value falls below the threshold; armed again by a value that doesn't.
-
-    stream has key, ts, n (order of rows with one ts) and value. Rows of a batch go in order; state is one flag per
-    key and is kept, as a balance has no end.
-    """
-
-    def watch(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        low = state.get[0] if state.exists else False
-        out = []
-        for t, value in pd.concat(list(frames)).sort_values(["ts", "n"])[["ts", "value"]].itertuples(index=False, name=None):
-            if value < threshold and not low:
-                out.append(t)
-            low = value < threshold
-        state.update((bool(low),))
-        yield pd.DataFrame({key: [k[0]] * len(out), "ts": out})
-
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.select(key, "ts", "n", "value").groupBy(key).applyInPandasWithState(watch, f"{key} {kind}, ts timestamp", "low boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def streamed_again(table: DataFrame) -> DataFrame:
     """A drained table as a stream of its files, for a job that goes on from it."""
     folder = table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else None

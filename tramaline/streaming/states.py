@@ -218,6 +218,54 @@ def error_digests(stream: DataFrame, source: str, fingerprint: str, time: str =
     return out.select(source, F.timestamp_micros("at").alias("ts"), "errors", "most")
 
 
+class _Balance(Timed):
+    def __init__(self, low: float, spend: float, span: int):
+        self.low, self.spend, self.span = low, spend, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.flags = handle.getValueState("flags", "low boolean, told long")
+        self.readings = handle.getValueState("readings", "times array<long>, balances array<double>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        low, told = self.flags.get() if self.flags.exists() else (False, None)
+        times, balances = map(list, self.readings.get()) if self.readings.exists() else ([], [])
+        first = 0  # the last reading before the span, from which its first drop is counted
+        for at, _, balance in sorted((r.at, r.n, r.balance) for r in rows):
+            times.append(at)
+            balances.append(balance)
+            while first + 1 < len(times) and times[first + 1] < at - self.span:
+                first += 1
+            if balance < self.low and not low:
+                yield self.row(key, at, "low", balance)
+            low = balance < self.low
+            drops = (max(0.0, b - c) for b, c, t in zip(balances[first:], balances[first + 1 :], times[first + 1 :], strict=False) if t >= at - self.span)
+            spent = round(sum(drops), 4)
+            if spent > self.spend and (told is None or at - told >= self.span):
+                told = at
+                yield self.row(key, at, "spend", spent)
+        self.flags.update((low, told))
+        self.readings.update((times[first:], balances[first:]))
+        self.wake(times[-1] + self.span + 1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        times, balances = self.readings.get()
+        self.readings.update((list(times)[-1:], list(balances)[-1:]))  # the next drop is counted from it
+        self.timer.clear()
+        yield from ()
+
+
+def balance_watch(stream: DataFrame, key: str, balance: str, order: str, low: float = 2.0, spend: float = 3.0, time: str = "ts", span: timedelta = timedelta(hours=24)) -> DataFrame:
+    """key, ts, alert, amount: a balance that falls below `low`, and drops that add up to more than `spend` in the span.
+
+    low is told once, and again after a reading that isn't low. spend is told once in a span; what is paid in counts
+    as no drop. State is the span's readings and the one before; a key without news keeps its last one. Null readings are left out.
+    """
+    rows = stream.where(F.col(balance).isNotNull()).select(key, time, F.unix_micros(time).alias("at"), F.col(order).alias("n"), F.col(balance).cast("double").alias("balance"))
+    out = keyed(rows, [key], _Balance(low, spend, _micros(span)), "at long, alert string, amount double")
+    return out.select(key, F.timestamp_micros("at").alias("ts"), "alert", "amount")
+
+
 class _Sliding(Timed):
     def __init__(self, span: int):
         self.span = span
