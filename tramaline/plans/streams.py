@@ -52,10 +52,11 @@ def error_digest(spark, d):
     return drained(error_digests(errors, "source", "fingerprint"), "append")
 
 
-_WITHIN = "(partition by {} order by ts range between interval 600 seconds preceding and current row)"
+#: Rows of one time count those before them by event_id, not those after.
+_WITHIN = "count(*) over (partition by {0} order by ts range between interval 600 seconds preceding and current row) - count(*) over (partition by {0}, ts) + row_number() over (partition by {0}, ts order by event_id)"
 
 
-@plan("rate_windows", f"select kind, event_id, n from (select event_id, count(*) over {_WITHIN.format('user_id')} as device, count(*) over {_WITHIN.format('user_id % 5')} as network from events) unpivot (n for kind in (device, network))")
+@plan("rate_windows", f"select kind, event_id, n from (select event_id, {_WITHIN.format('user_id')} as device, {_WITHIN.format('user_id % 5')} as network from events) unpivot (n for kind in (device, network))")
 def rate_windows(spark, d):
     events = event_stream(spark, d).withColumn("network", F.expr("user_id % 5"))
     counts = [drained(sliding_counts(events, key, "event_id"), "append").select(F.lit(kind).alias("kind"), "event_id", F.col("within").alias("n")) for kind, key in (("device", "user_id"), ("network", "network"))]
