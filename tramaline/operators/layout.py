@@ -2,31 +2,54 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramaline.operators.folds import fold_rows
 
 
-def _blanks(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Intervals of an axis that no box covers, those before the first box and after the last included."""
-    order = np.argsort(lo, kind="stable")
-    end = np.concatenate([[-np.inf], np.maximum.accumulate(hi[order])])
-    begin = np.append(lo[order], np.inf)
-    # boxes may touch; those without extent at the same place aren't parted
-    return np.unique(np.stack([end, begin], 1)[(begin >= end) & ((end == -np.inf) | (begin > lo.min(initial=np.inf)))], axis=0)
+_Interval = tuple[float, float]
 
 
-def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """What two lists of intervals have in common."""
-    low, high = np.maximum(a[:, None, 0], b[None, :, 0]).ravel(), np.minimum(a[:, None, 1], b[None, :, 1]).ravel()
-    return np.stack([low, high], 1)[high >= low]
+def _blanks(spans: list[_Interval]) -> list[_Interval]:
+    """Intervals of an axis that no span covers, those before the first span and after the last included."""
+    spans = sorted(spans, key=itemgetter(0))
+    low, end, out = spans[0][0] if spans else math.inf, -math.inf, []
+    for lo, hi in [*spans, (math.inf, math.inf)]:
+        # boxes may touch; those without extent at the same place aren't parted
+        if lo >= end and (end == -math.inf or lo > low) and (not out or out[-1] != (end, lo)):
+            out.append((end, lo))
+        end = max(end, hi)
+    return out
+
+
+def _meet(a: list[_Interval], b: list[_Interval]) -> list[_Interval]:
+    """What two lists of intervals, each in order, have in common."""
+    out, first = [], 0
+    for lo, hi in a:
+        while first < len(b) and b[first][1] < lo:
+            first += 1
+        for k in range(first, len(b)):
+            if b[k][0] > hi:
+                break
+            out.append((max(lo, b[k][0]), min(hi, b[k][1])))
+    return out
+
+
+def _parted(own: list[int], at: list[float], blanks: list[_Interval]) -> list[list[int]]:
+    """Rows by the blanks that lie between them."""
+    edges, out = [begin for _, begin in blanks[1:-1]], [[] for _ in blanks[1:]]
+    for i in own:
+        out[bisect_right(edges, at[i])].append(i)
+    return out
 
 
 def page_order(boxes: np.ndarray) -> np.ndarray:
@@ -36,47 +59,60 @@ def page_order(boxes: np.ndarray) -> np.ndarray:
     bands one below the other that have columns and a corridor in common are one piece. A piece that can't be cut
     is read by lines.
     """
+    return np.array(_order(np.asarray(boxes, float).reshape(-1, 4).tolist()), np.int64)
+
+
+def _order(boxes: list) -> list[int]:
+    """page_order of a page's boxes; pages have few, for which arrays would cost more than they save."""
+    left, top = [b[0] for b in boxes], [b[1] for b in boxes]
+    across, down = [(b[0], b[2]) for b in boxes], [(b[1], b[3]) for b in boxes]
     read: list[int] = []
-    todo = [np.arange(len(boxes))]
+    todo = [list(range(len(boxes)))]
     while todo:
         own = todo.pop()
-        x0, y0, x1, y1 = boxes[own].T
-        corridors = _blanks(x0, x1)
-        if len(corridors) > 2:
-            todo += [own[np.digitize(x0, corridors[1:-1, 1]) == k] for k in reversed(range(len(corridors) - 1))]
+        corridors = _blanks([across[i] for i in own])
+        columns = _parted(own, left, corridors) if len(corridors) > 2 else []
+        if sum(map(bool, columns)) > 1:
+            todo += reversed(columns)
             continue
-        rungs = _blanks(y0, y1)
-        if len(rungs) <= 2:
-            read += own[np.lexsort((x0, y0))].tolist()
+        rungs = _blanks([down[i] for i in own])
+        bands = _parted(own, top, rungs)
+        if len(rungs) <= 2 or sum(map(bool, bands)) < 2:
+            read += sorted(own, key=lambda i: (top[i], left[i]))
             continue
-        bands = [own[np.digitize(y0, rungs[1:-1, 1]) == k] for k in range(len(rungs) - 1)]
-        pieces: list[list[np.ndarray]] = []
+        pieces: list[list[int]] = []
         common = None  # corridors of the piece so far, if all of its bands have columns
         for band in bands:
-            mine = _blanks(boxes[band, 0], boxes[band, 2])
+            mine = _blanks([across[i] for i in band])
             mine = mine if len(mine) > 2 else None
             both = None if common is None or mine is None else _meet(common, mine)
             if both is not None and len(both) > 2:
-                pieces[-1].append(band)
+                pieces[-1] += band
                 common = both
             else:
-                pieces.append([band])
+                pieces.append(band)
                 common = mine
-        todo += [np.concatenate(p) for p in reversed(pieces)]
-    return np.array(read, np.int64)
+        if len(pieces) > 1:
+            todo += reversed(pieces)
+        else:  # boxes without width leave a corridor to the bands, but not to the piece
+            read += [i for band in bands for i in sorted(band, key=lambda i: (top[i], left[i]))]
+    return read
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with their edges as numbers; a missing one is no number, which comes last."""
+    return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(math.nan)) for c in ("x0", "y0", "x1", "y1")})
 
 
 def reading_order(boxes: DataFrame, page: list[str]) -> DataFrame:
     """page, seq and place (from 0): boxes has page's columns, seq, x0, y0, x1, y1. A page is a unit of work."""
-    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema}
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["x0", "y0", "x1", "y1", "seq"])  # the order in which rows come doesn't matter
-        order = page_order(rows[["x0", "y0", "x1", "y1"]].to_numpy(float))
-        return rows.iloc[order][[*page, "seq"]].assign(place=range(len(order)))
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        rows = list(rows)  # sorted, so that the order in which they came doesn't matter
+        yield from ((rows[i][4], place) for place, i in enumerate(_order(rows)))
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in page) + ", seq long, place long"
-    return boxes.groupBy(*page).applyInPandas(one, schema)
+    edges = ["x0", "y0", "x1", "y1"]
+    return fold_rows(_placed(boxes), page, [*edges, "seq"], [*edges, "seq"], "seq long, place long", fold)
 
 
 def stacked_blocks(lines: DataFrame, page: list[str], height: float = 0.35, edge: float = 0.6) -> DataFrame:
@@ -84,27 +120,28 @@ def stacked_blocks(lines: DataFrame, page: list[str], height: float = 0.35, edge
 
     lines has page's columns, seq, x0, y0, x1, y1 and bullet (opens a block). A line goes to the first block whose
     last line is about as high, shares its left edge, right edge or axis, overlaps it sideways, and ends close
-    above. A page is a unit of work.
+    above. Lines are streamed from top to bottom; blocks that ended too far above are let go.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+    reach = 0.8
 
-    def joins(a, b) -> bool:
-        ha, hb = a.y1 - a.y0, b.y1 - b.y0
+    def joins(a: tuple, b: tuple) -> bool:
+        ha, hb = a[3] - a[1], b[3] - b[1]
         slack = edge * max(ha, hb)
-        shared = abs(a.x0 - b.x0) <= slack or abs(a.x1 - b.x1) <= slack or abs(a.x0 + a.x1 - b.x0 - b.x1) <= 2 * slack
-        return shared and abs(ha - hb) <= height * max(ha, hb) and -0.3 * ha < b.y0 - a.y1 < 0.8 * ha and min(a.x1, b.x1) > max(a.x0, b.x0)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        last: list = []
-        found = []
-        for r in rows.sort_values(["y0", "x0", "seq"]).itertuples(index=False):
-            k = next((i for i, a in enumerate(last) if not r.bullet and joins(a, r)), len(last))
-            last[k : k + 1] = [r]
-            found.append((r.seq, k))
-        head = {k: [rows[k].iloc[0]] * len(found) for k in page}
-        return pd.DataFrame({**head, "seq": [s for s, _ in found], "block": [b for _, b in found]})
-
-    return lines.groupBy(*page).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in page) + ", seq long, block long")
+        shared = abs(a[0] - b[0]) <= slack or abs(a[2] - b[2]) <= slack or abs(a[0] + a[2] - b[0] - b[2]) <= 2 * slack
+        return shared and abs(ha - hb) <= height * max(ha, hb) and -0.3 * ha < b[1] - a[3] < reach * ha and min(a[2], b[2]) > max(a[0], b[0])
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        n, live = 0, {}  # the last line of each block that a line may still join, in the order of blocks
+        for *r, seq, bullet in rows:
+            # lines come by y0, so that what is out of reach stays so
+            for k in [k for k, a in live.items() if r[1] - a[3] >= reach * (a[3] - a[1])]:
+                del live[k]
+            k = next((k for k, a in live.items() if not bullet and joins(a, r)), n)
+            n += k == n
+            live[k] = r
+            yield seq, k
+
+    return fold_rows(_placed(lines), page, ["y0", "x0", "seq"], ["x0", "y0", "x1", "y1", "seq", "bullet"], "seq long, block long", fold)
 
 
 class Gutters(NamedTuple):
