@@ -247,10 +247,18 @@ def ocr_lines(words: DataFrame, line: list[str], order: str, least: float = 70.0
 
     Words are joined by a space, and without one between signs of Chinese, Japanese or Korean.
     """
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(order, "token"))), lambda x: x["token"])
-    text = F.regexp_replace(F.array_join(parts, " "), f"(?<={CJK}) (?={CJK})", "")
-    read = words.groupBy(*line).agg(text.alias("text"), F.min("x").alias("x0"), F.max("x1").alias("x1"), F.avg("conf").alias("conf"))
-    return read.where(F.col("conf") >= least)
+    parts = F.array_sort(F.collect_list(F.struct(order, "token", "x", "x1", "conf")))
+    return read_lines(words.groupBy(*line).agg(parts.alias("words")), line, least)
+
+
+def read_lines(lines: DataFrame, line: list[str], least: float = 70.0) -> DataFrame:
+    """ocr_lines of lines that have their words (token, x, x1, conf) as an array in order: nothing is shuffled."""
+    of = lambda c: F.col(f"words.{c}")
+    text = F.regexp_replace(F.array_join(of("token"), " "), f"(?<={CJK}) (?={CJK})", "")
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    conf = F.aggregate(of("conf"), start, lambda a, c: F.struct((a["sum"] + F.coalesce(c.cast("double"), F.lit(0.0))).alias("sum"), (a["n"] + c.isNotNull().cast("int")).alias("n")), lambda a: a["sum"] / F.nullif(a["n"], F.lit(0)))
+    read = lines.select(*line, conf.alias("conf"), "words").where(F.col("conf") >= least)
+    return read.select(*line, text.alias("text"), F.array_min(of("x")).alias("x0"), F.array_max(of("x1")).alias("x1"), "conf")
 
 
 #: Signs of Chinese, Japanese and Korean.
