@@ -7,9 +7,11 @@ later time. State is kept by RocksDB, and a timer drops what nothing can need an
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -110,7 +112,7 @@ class _PageBounds(Timed):
         # a key's pages are held for the length of a batch: `pages` at most
         pages = {k[0]: (list(v[0]), v[1]) for k, v in self.seen.iterator()} if self.seen.exists() else {}
         before, newest = dict(pages), 0
-        for at, n, page, kind, amount in sorted((r.at, r.n, r.page, r.kind, r.amount) for r in rows):
+        for at, n, page, kind, amount in _Calls(rows):
             newest = max(newest, at)
             used, seen = pages.get(page, ([0] * len(self.kinds), None))
             if seen is None or at - seen > self.idle:
@@ -142,6 +144,37 @@ class _PageBounds(Timed):
         yield from ()
 
 
+class _Calls:
+    """A batch's calls of one key in order of (at, n, page, kind, amount), held as numbers instead of a tuple each."""
+
+    def __init__(self, rows: Iterator[Row]):
+        self.at, self.amount, self.pages, self.kinds = (array("q") for _ in range(4))
+        self.ns: array | list = array("q")
+        self.names: dict[str, int] = {}
+        for r in rows:
+            if isinstance(self.ns, array) and type(r.n) is not int:
+                self.ns = self.ns.tolist()
+            self.at.append(r.at)
+            self.amount.append(r.amount)
+            self.pages.append(self.names.setdefault(r.page, len(self.names)))
+            self.kinds.append(self.names.setdefault(r.kind, len(self.names)))
+            self.ns.append(r.n)
+
+    def __iter__(self) -> Iterator[tuple]:
+        of = lambda x: np.frombuffer(x, np.int64)
+        names = list(self.names)
+        rank = np.argsort(np.array(sorted(range(len(names)), key=names.__getitem__), np.int64))
+        n = of(self.ns) if isinstance(self.ns, array) else self.ranked()
+        order = np.lexsort((of(self.amount), rank[of(self.kinds)], rank[of(self.pages)], n, of(self.at)))
+        for i in map(int, order):
+            yield self.at[i], self.ns[i], names[self.pages[i]], names[self.kinds[i]], self.amount[i]
+
+    def ranked(self) -> np.ndarray:
+        """Places of what isn't a whole number, null first."""
+        place = {x: i for i, x in enumerate(sorted(set(self.ns), key=lambda x: (x is not None, x)))}
+        return np.array([place[x] for x in self.ns], np.int64)
+
+
 #: What a page may ask for while it is open: batches of texts, analyses of images, captures of video.
 BOUNDS = {"batch": 100, "analysis": 120, "capture": 20}
 
