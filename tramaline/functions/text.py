@@ -42,16 +42,22 @@ def squeezed(x: Text) -> Column:
     return F.trim(F.regexp_replace(_c(x), r"(?U)\s+", " "))
 
 
-def nude_form(x: Text) -> Column:
-    """Form to compare by: no accents, lower case, single spaces."""
-    return squeezed(F.lower(_unaccented(_c(x))))
+def _beyond_ascii(x: Text) -> Column:
+    return F.rlike(_c(x), F.lit(r"[^\x00-\x7F]"))
+
+
+def nude_form(x: Text, accented: Column | None = None) -> Column:
+    """Form to compare by: no accents, lower case, single spaces. accented: which texts may have any, else those not of ASCII."""
+    # other texts don't travel to Python
+    accented = _beyond_ascii(x) if accented is None else accented
+    return squeezed(F.lower(F.coalesce(_unaccented(F.when(accented, _c(x))), _c(x))))
 
 
 def run_forms(bare: Text, runs: Text, keys: Column) -> Column:
     """Nude forms of a text without tags and of its runs (a map) by keys, all in one call; a missing run is empty."""
     border = "\ue000"
     all_of = F.concat(F.array(_c(bare)), F.transform(keys, lambda k: F.coalesce(F.element_at(_c(runs), k), F.lit(""))))
-    return F.transform(F.split(nude_form(F.array_join(all_of, border)), border), F.trim)
+    return F.transform(F.split(nude_form(F.array_join(all_of, border), F.exists(all_of, _beyond_ascii)), border), F.trim)
 
 
 def copied_run(source: Column, target: Column) -> Column:
