@@ -39,6 +39,40 @@ def test_seating_follows_the_posterior(c):
         assert (seats.tables == t).mean() == pytest.approx(x / total, abs=0.012)
 
 
+@pytest.mark.parametrize(("c", "p", "others"), [(300, 0.4, 5.0), (3000, 0.02, 900.0), (2100, 0.9, 1e7)])
+def test_a_sweep_seats_all_customers(c, p, others):
+    # all customers at one table: a single sweep gives the posterior, told by the recurrence of numbers of seatings
+    d, theta = 0.7, 1.0
+    n, most = (300, c) if others > c else (3000, min(c, 400))
+    t = np.arange(1, most + 1)
+    log_w = np.full(most, -np.inf)
+    log_w[0] = 0
+    new = np.log((theta + d * (others + np.arange(most))) * p)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for k in range(1, c):
+            stay = np.where(t <= k, log_w + np.log(np.maximum(k - d * t, 1e-9)), -np.inf)
+            log_w = np.logaddexp(stay, np.append(-np.inf, log_w[:-1] + new[1:]))
+    w = np.exp(log_w - log_w.max())
+    w /= w.sum()
+    full, key = lambda x: np.full(n, x), np.arange(n, dtype=U64)
+    seats = py.reseat(py.Seats.first(full(c)), full(c), full(p), full(others + 1), d, theta, key, 1)
+    assert seats.sizes.sum() == c * n and len(seats.sizes) == seats.tables.sum()
+    mean = (w * t).sum()
+    sd = math.sqrt((w * (t - mean) ** 2).sum())
+    assert seats.tables.mean() == pytest.approx(mean, abs=5 * sd / math.sqrt(n))
+    assert seats.tables.std() == pytest.approx(sd, rel=0.15)
+
+
+@pytest.mark.parametrize("d", [0.05, 0.5, 0.95])
+def test_numbers_of_seatings(d):
+    # by integral and series as by recurrence, but for a constant
+    c, t = 500, np.arange(1, 501)
+    off = py.log_seatings(np.full(500, c), t, d) - py._kept_seatings(d)[c, 1 : c + 1]
+    assert np.ptp(off) < 2e-5
+    one = py.log_seatings(np.array([10**9]), np.array([1]), d)[0]  # closed form of one table, without log c!
+    assert one == pytest.approx(-(1 + d) * math.log(10**9) - math.lgamma(1 - d), abs=1e-4)
+
+
 def test_customers_come_and_go():
     seats = py.Seats(np.array([1, 3, 2, 4]), np.array([5, 1, 4, 2, 3, 1, 1, 1, 1, 1]))
     for c in ([7, 9, 4, 4], [1, 2, 3, 2], [5, 1, 1, 1], [2, 4, 2, 3]):

@@ -4,12 +4,11 @@ Each preceding word is a context with a restaurant of its own. All of them share
 words without context, whose own parent is uniform over the known words and one unknown. A table of a context's
 restaurant is a customer of the parent, so a word that many contexts know is likely in a new one too.
 
-Seating is sampled by Gibbs. In a sweep, customers drawn at random leave their tables, one after the other, and sit
-down again by the Chinese-restaurant process given all others; of a word's customers in a restaurant RESEATED at
-most, so that a sweep's work follows the number of pairs. Tables and customers at each are carried from sweep to
-sweep; restaurants are sampled at the same time, given the others' tables in the sweep before. Each sample's counts
-and tables come from one sweep, so that its probabilities add up to 1. Predictive probabilities are averaged over
-samples.
+Seating is sampled by blocked Gibbs. In a sweep, all customers of a word in a restaurant leave and sit down again
+together, given all others: the number of their tables is drawn from its posterior, which is the number of seatings
+(a generalised Stirling number) times the new tables' weights. Who sits where enters no probability. Words and
+restaurants are sampled at the same time, given the others' tables in the sweep before. Each sample's counts and
+tables come from one sweep, so that its probabilities add up to 1. Predictive probabilities are averaged over samples.
 
 How it is dealt. Documents are read once, into chunks of numbered tokens. A chunk sends each of its distinct pairs (context, word)
 once, packed, to the task of the context; a context with very many pairs is dealt by pair, and its tables are added
@@ -23,6 +22,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ HEAVY_SHARE = 0.002
 CONCENTRATION = 1.0
 #: Sweeps before the first sample, samples.
 BURN_IN, SAMPLES = 1, 2
-#: Customers of a word in a restaurant that are seated again in a sweep, at most. Tokens in one chunk.
-RESEATED, CHUNK = 8, 1_000_000
+#: Customers up to which numbers of seatings are kept in a table; those of more come from an integral. Tokens in one chunk.
+KEPT, CHUNK = 2048, 1_000_000
 #: Bytes of text in one part of contexts and of words, and in a task that reads documents, at least.
 PART, READ = 8 << 20, 8 << 20
 END, START = U64(1), U64(2)
@@ -258,78 +258,178 @@ class Seats:
         return cls(np.ones(len(c), np.int64), c.astype(np.int64))
 
 
-def opening(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, theta: float, key: np.ndarray) -> Seats:
-    """A seating to start from: customers enter by the Chinese-restaurant process; the first table has the most.
+@lru_cache(2)
+def _kept_seatings(d: float) -> np.ndarray:
+    """Logarithm of the number of seatings of c customers (row) at t tables (column), weighted by the discount."""
+    out = np.full((KEPT + 1, KEPT + 1), -np.inf)
+    out[1, 1] = 0
+    for c in range(1, KEPT):
+        out[c + 1, 1:] = out[c, :-1]
+        stay = out[c, 1 : c + 1] + np.log(c - d * np.arange(1, c + 1))
+        out[c + 1, 1 : c + 1] = np.logaddexp(out[c + 1, 1 : c + 1], stay)
+    return out
+
+
+#: Places of the trapezoidal rule, and the steps' weights, where the path is u = width * sinh(v).
+_V = np.arange(0, 5, 0.2)
+_STEP = np.where(_V == 0, 0.1, 0.2) * np.cosh(_V)
+#: Customers that sit with others, at least, where the integral is taken.
+_SHARED = 48
+
+
+def _bisected(lo: np.ndarray, hi: np.ndarray, above, steps: int = 22) -> np.ndarray:
+    """Where `above` turns true between lo and hi."""
+    for _ in range(steps):
+        mid = (lo + hi) / 2
+        right = above(mid)
+        lo, hi = np.where(right, lo, mid), np.where(right, mid, hi)
+    return hi
+
 
-    p is the parent's probability of the word, others the tables of other words in its restaurant. Between two
-    openings the chance of none is a ratio of gamma functions, so a word takes as many steps as it has tables.
+def _powers(at: np.ndarray, d: float) -> tuple[np.ndarray, ...]:
+    """log y, y, 1 - y, y**d and 1 - y**d of at = log(y / (1 - y))."""
+    log_y = -np.logaddexp(0, -at)
+    return log_y, np.exp(log_y), np.exp(-np.logaddexp(0, at)), np.exp(d * log_y), -np.expm1(d * log_y)
+
+
+def log_seatings(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """Logarithm of the number of seatings of c customers at t tables, but for what only c decides; c is large.
+
+    It is the coefficient of x**c in (1 - (1 - x)**d)**t / (d**t t!): Cauchy's integral over y = 1 - x along the parabola
+    y0 (1 + iu)**2 about the cut, through the saddle point y0; not nearer to 0 than 1/c, where few tables cancel. Near
+    as many tables as customers the pole is of low order, and the series is raised to its power instead.
     """
-    t, n, step = np.ones(len(c), np.int64), np.ones(len(c), np.int64), 0
-    live = np.flatnonzero(c > 1)
-    while len(live):
-        a, low, new = n[live], d * t[live], (theta + d * (others[live] + t[live])) * p[live]
-        u = np.log(_random(key[live], 1 << 20, step))
-        start = log_gamma(a - low) - log_gamma(a - low + new)
-        some = log_gamma(c[live] - low) - log_gamma(c[live] - low + new) - start < u
-        live, a, u, low, new, start = live[some], a[some], u[some], low[some], new[some], start[some]
-        lo, hi = a, c[live]
-        while (wide := hi - lo > 1).any():
-            mid = (lo + hi) // 2
-            below = log_gamma(mid - low) - log_gamma(mid - low + new) - start < u
-            lo, hi = np.where(wide & ~below, mid, lo), np.where(wide & below, mid, hi)
-        t[live] += 1
-        n[live] = hi
-        live = live[hi < c[live]]
-        step += 1
+    c, t = c.astype(np.float64), t.astype(np.float64)
+    low = c - t < _SHARED
+    out = np.empty(len(t))
+    if low.any():
+        out[low] = _series_power(c[low], t[low], d)
+    out[~low] = _integral(c[~low], t[~low], d)
+    return out - t * np.log(d) - log_gamma(t + 1.0)
+
+
+def _series_power(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """Logarithm of the coefficient for t near c: of x**(c - t) in ((1 - (1 - x)**d) / x)**t, whose terms are all positive."""
+    g = np.cumprod(np.append(1.0, [(j - d) / (j + 1) for j in range(1, _SHARED)]))
+    b = np.zeros((_SHARED, len(t)))  # of x / t, so that none is too large
+    b[0] = 1
+    for n in range(1, _SHARED):
+        for j in range(1, n + 1):
+            b[n] += (j * (t + 1) - n) * t**-j * g[j] * b[n - j] / n
+    k = c - t
+    return t * np.log(d) + np.log(b[k.astype(np.int64), np.arange(len(t))]) + k * np.log(t)
+
+
+def _log_plus_one(re: np.ndarray, im: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logarithm of 1 plus complex numbers."""
+    return np.log1p(2 * re + re * re + im * im) / 2, np.arctan2(im, 1 + re)
+
+
+def _integral(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    def past(at: np.ndarray) -> np.ndarray:
+        _, _, _, yd, left = _powers(at, d)
+        return (c + 1) * np.exp(at) > t * d * yd / left
+
+    log_y, y, rest, yd, left = _powers(_bisected(-np.log(c), 2 * np.log(c) + 5, past), d)
+    slope = (c + 1) * y / rest - t * d * yd / left
+    bend = (c + 1) * (y / rest) ** 2 + t * d * yd / left * (1 - d - d * yd / left)
+    width = 1 / np.sqrt(4 * bend + 2 * slope)
+    # of z = 1 + iu: 1 - y0 z**2 and 1 - y0**d z**(2d), as shares of their values at y0
+    u = width[:, None] * np.sinh(_V)
+    log_size, angle = np.log1p(u * u) / 2, np.arctan(u)
+    pole = _log_plus_one((y / rest)[:, None] * u * u, (-2 * y / rest)[:, None] * u)
+    size, turn = (yd / left)[:, None] * np.exp(2 * d * log_size), 2 * d * angle
+    tables = _log_plus_one((yd / left)[:, None] - size * np.cos(turn), -size * np.sin(turn))
+    real = log_size - (c + 1)[:, None] * pole[0]
+    turn = angle - (c + 1)[:, None] * pole[1]
+    total = (np.exp(real + t[:, None] * tables[0]) * np.cos(turn + t[:, None] * tables[1])) @ _STEP
+    # where the path isn't through the saddle point, 1 is left out, whose integral is 0, so that nothing cancels
+    few = (slope > 1e-3 * (c + 1) * y / rest) & (t * np.log(left) > -2)
+    total[few] -= (np.exp(real[few]) * np.cos(turn[few])) @ _STEP * left[few] ** -t[few]
+    total *= width
+    return t * np.log(left) - (c + 1) * np.log(rest) + log_y + np.log(np.maximum(total, 1e-300) * 2 / np.pi)
+
+
+def _tables_of_many(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, theta: float, u: np.ndarray) -> np.ndarray:
+    """Tables of words of more than KEPT customers each.
+
+    The posterior has one peak, which the saddle point tells; it is summed about the peak as far as it is over e**-36 of
+    its top. u: a uniform number for each word.
+    """
+    base = theta / d + others
+
+    def stretch(at: np.ndarray) -> np.ndarray:
+        _, y, rest, yd, left = _powers(at, d)
+        return np.clip((c + 1) * y / rest * left / (d * yd), 1, c)
+
+    def past(at: np.ndarray) -> np.ndarray:
+        t, left = stretch(at), _powers(at, d)[4]
+        return np.log(left) + np.log(p * (base + t) / t) < 0
+
+    top = -4 * np.log(c) / (1 - d)
+    peak = np.rint(stretch(_bisected(top, 2 * np.log(c) + 5, past, 60))).astype(np.int64)
+    out, todo, reach = np.zeros(len(c), np.int64), np.arange(len(c)), 24 + 9 * np.sqrt(peak).astype(np.int64)
+    while len(todo):
+        missed = []
+        for at in range(0, len(todo), 64):
+            own = todo[at : at + 64]
+            lo, hi = np.maximum(1, peak[own] - reach[own]), np.minimum(c[own], peak[own] + reach[own])
+            n = hi - lo + 1
+            of = np.repeat(np.arange(len(own)), n)
+            t = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + lo[of]
+            i = own[of]
+            w = np.concatenate([log_seatings(c[i[k : k + 1024]], t[k : k + 1024], d) for k in range(0, len(t), 1024)])
+            w += t * np.log(p[i] * d) + log_gamma(base[i] + t)
+            first = np.cumsum(n) - n
+            w -= np.maximum.reduceat(w, first)[of]
+            short = ((w[first] > -36) & (lo > 1)) | ((w[first + n - 1] > -36) & (hi < c[own]))
+            missed.append(own[short])
+            for k in np.flatnonzero(~short).tolist():
+                up_to = np.cumsum(np.exp(w[first[k] : first[k] + n[k]]))
+                out[own[k]] = lo[k] + (up_to[:-1] <= u[own[k]] * up_to[-1]).sum()
+        todo = np.concatenate(missed)
+        reach[todo] *= 3
+    return out
+
+
+def opening(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, theta: float, key: np.ndarray, sweep: int = 0) -> Seats:
+    """A seating of each word's c customers given all others, its number of tables drawn; the first table has the most.
+
+    p is the parent's probability of the word, others the tables of other words in its restaurant.
+    """
+    t, u = np.minimum(c, 1).astype(np.int64), _random(key, 1 << 20, sweep)
+    known = _kept_seatings(d)
+    width = np.where(c <= 8, c, 1 << np.ceil(np.log2(np.maximum(c, 1))).astype(np.int64))
+    width[c > KEPT] = KEPT + 1
+    order = np.argsort(width, kind="stable")
+    order = order[c[order] > 1]  # one customer has one table
+    for w, lo, hi in _slices(width[order]):
+        if w > KEPT:
+            own = order[lo:hi]
+            t[own] = _tables_of_many(c[own], p[own], others[own], d, theta, u[own])
+            continue
+        for at in range(lo, hi, max(1, (1 << 18) // w)):
+            own = order[at : min(hi, at + max(1, (1 << 18) // w))]
+            # weights of tables beyond the first
+            new = np.log((theta + d * (others[own, None] + np.arange(1, w))) * p[own, None])
+            weight = known[c[own], 1 : w + 1]
+            weight[:, 1:] += np.cumsum(new, axis=1)
+            weight -= weight.max(axis=1, keepdims=True)
+            up_to = np.cumsum(np.exp(weight), axis=1)
+            t[own] = 1 + (up_to[:, :-1] <= u[own, None] * up_to[:, -1:]).sum(1)
     sizes = np.ones(int(t.sum()), np.int64)
-    sizes[np.cumsum(t) - t] = c - t + 1
+    there = c > 0
+    sizes[(np.cumsum(t) - t)[there]] = (c - t + 1)[there]
     return Seats(t, sizes)
 
 
 def reseat(seats: Seats, c: np.ndarray, p: np.ndarray, restaurant_tables: np.ndarray, d: float, theta: float, key: np.ndarray, sweep: int) -> Seats:
-    """One Gibbs sweep: of each word's c customers RESEATED, or all if they are fewer, leave and sit down again.
+    """One Gibbs sweep: all c customers of each word leave and sit down again together, given all other customers.
 
-    Each is drawn at random, leaves its table, and goes to a table of its word by what it holds less the discount,
-    or to a new one by the parent's probability, given all other customers. restaurant_tables: all tables of its
-    restaurant in the sweep before.
+    restaurant_tables: all tables of its restaurant in the sweep before.
     """
-    t = seats.tables
-    first = np.cumsum(t) - t
-    others = np.maximum(restaurant_tables - t, 0).astype(np.float64)
-    rounds = np.minimum(c, RESEATED)
-    width = np.minimum(c, t + RESEATED)
-    width = np.where(width <= 16, width, 1 << np.ceil(np.log2(np.maximum(width, 1))).astype(np.int64))
-    order = np.lexsort((-rounds, width))
-    order = order[c[order] > 1]  # one customer has one table
-    after, where, sizes = np.minimum(c, 1), [np.flatnonzero(c == 1)], [np.ones(int((c == 1).sum()), np.int64)]
-    for w, lo, hi in _slices(width[order]):
-        for at in range(lo, hi, max(1, (1 << 20) // w)):
-            own = order[at : min(hi, at + max(1, (1 << 20) // w))]
-            m = np.zeros((len(own), w), np.int64)
-            row = np.repeat(np.arange(len(own)), t[own])
-            col = np.arange(len(row)) - np.repeat(np.cumsum(t[own]) - t[own], t[own])
-            m[row, col] = seats.sizes[first[own][row] + col]
-            _reseat_rows(m, c[own], rounds[own], p[own], others[own], d, theta, key[own], sweep)
-            there = m > 0
-            after[own] = there.sum(1)
-            where.append(np.repeat(own, after[own]))
-            sizes.append(m[there])
-    where, sizes = np.concatenate(where), np.concatenate(sizes)
-    return Seats(after, sizes[np.argsort(where, kind="stable")])
-
-
-def _reseat_rows(m: np.ndarray, c: np.ndarray, rounds: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, theta: float, key: np.ndarray, sweep: int) -> None:
-    """m has the customers at each table of a word in a row, in place; rows are in falling order of rounds."""
-    for k in range(int(rounds.max(initial=0))):
-        n = int((rounds > k).sum())
-        tables, row = m[:n], np.arange(n)
-        leaves = (_random(key[:n], sweep, 2 * k) * c[:n]).astype(np.int64)
-        tables[row, (np.cumsum(tables, axis=1) <= leaves[:, None]).sum(1)] -= 1
-        held = tables > 0
-        weight = np.where(held, tables - d, 0.0)
-        weight[row, held.argmin(1)] = (theta + d * (others[:n] + held.sum(1))) * p[:n]  # an empty one is there, as one has left
-        up_to = np.cumsum(weight, axis=1)
-        tables[row, (up_to <= _random(key[:n], sweep, 2 * k + 1)[:, None] * up_to[:, -1:]).sum(1)] += 1
+    others = np.maximum(restaurant_tables - seats.tables, 0).astype(np.float64)
+    return opening(c, p, others, d, theta, key, sweep)
 
 
 # ---- the model's parts ----
@@ -445,12 +545,8 @@ class _Core:
 
 
 def _seats_of(blob: bytes) -> Seats:
-    tables, sizes = unpack(blob)
-    return Seats(tables.astype(np.int64), sizes.astype(np.int64))
-
-
-def _packed_seats(seats: Seats) -> bytes:
-    return pack(small(seats.tables), small(seats.sizes))
+    """Seats of pairs, of which only the numbers of tables are kept from sweep to sweep."""
+    return Seats(unpack(blob)[0].astype(np.int64), np.zeros(0, np.int64))
 
 
 def _context_sweep(rows: list[tuple], model: Model, number: int, parts: int) -> Iterator[tuple]:
@@ -469,11 +565,8 @@ def _context_sweep(rows: list[tuple], model: Model, number: int, parts: int) ->
         p[homes == q] = model.parent_probability(c0.astype(np.float64), t0.astype(np.float64), before)
     t, _ = core.tables(seats, before)
     key = mix(mix(np.arange(len(core.c), dtype=U64)) ^ U64(part + 1))
-    if number == 1:
-        seats = opening(core.c, p[core.word], t[core.ctx] - 1.0, model.d, model.theta, key)
-        t = core.tables(seats, before)[0]
     seats = reseat(seats, core.c, p[core.word], t[core.ctx], model.d, model.theta, key, number)
-    yield STATE, part, number, _packed_seats(seats)
+    yield STATE, part, number, pack(small(seats.tables))
     given = np.bincount(core.word, seats.tables, len(core.words)).astype(np.int64)
     order = np.argsort(homes, kind="stable")
     for q, lo, hi in _slices(homes[order]):
