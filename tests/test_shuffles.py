@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tramaline.operators.layout import ocr_lines
+from tramaline.operators.layout import column_gutters, line_gutters, ocr_lines
 from tramaline.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +42,17 @@ def test_documents_with_refunds_and_odd_parts(spark, tmp_path):
     got = lambda key: sorted(tuple(r) for r in registry.queries()[key](spark, str(tmp_path)).collect())
     assert got("pages_done") == [(1, 3)]
     assert got("resume_discount") == [(1, 3), (2, 1)]
+
+
+def test_gutters_shuffle_no_word(spark, tmp_path):
+    """Lines that have their words in a row send edges and blanks to the page's task, and give what words by themselves give."""
+    rows = [("p", n, 12.0 * n, 12.0 * n + 10, [(float(40 * i + (7 * n * i) % 11), float(40 * i + 28), 5.0 + (i % 3)) for i in range(200 if n == 3 else 9)][::-1]) for n in range(12)]
+    lines = spark.createDataFrame(rows, "page string, line int, top double, bottom double, words array<struct<x0: double, x1: double, glyph: double>>")
+    made = line_gutters(lines, ["page"])
+    plan = plan_of(made)
+    assert plan.count("Exchange hashpartitioning") == 1
+    words = lines.selectExpr("page", "line", "top", "bottom", "inline(words)")
+    got = sorted(map(tuple, made.collect()))
+    assert got and got == sorted(map(tuple, column_gutters(words, ["page"]).collect()))
+    none = lines.selectExpr("page", "line", "top", "bottom", "slice(words, 1, 0) as words")
+    assert line_gutters(none, ["page"]).collect() == []

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
 from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from tramaline.operators.folds import fold_rows
 
@@ -155,21 +156,6 @@ class Gutters(NamedTuple):
     apart: float = 1.5
 
 
-@dataclass
-class _Corridor:
-    x0: float
-    x1: float
-    lines: int
-    glyph: float
-
-    def middle(self) -> float:
-        return (self.x0 + self.x1) / 2
-
-    def between(self, x0: float, x1: float, side: float) -> bool:
-        """Whether a line from x0 to x1 has so much on either side."""
-        return min(self.middle() - x0, x1 - self.middle()) >= side
-
-
 def column_gutters(words: DataFrame, page: list[str], barriers: DataFrame | None = None, bounds: Gutters = Gutters()) -> DataFrame:
     """page, x0, x1, lines: blank corridors between columns, which stay where they are over many lines.
 
@@ -179,58 +165,114 @@ def column_gutters(words: DataFrame, page: list[str], barriers: DataFrame | None
     one that ends before it. It ends where text crosses it, a line has too little beside it, a block ends, or a barrier lies
     across (page's columns, x0, y, x1: a line drawn); it counts if enough lines bear it. Lines may come in any order.
     """
-    across = Window.partitionBy(*page, "line").orderBy("x0", "x1")
-    so_far = across.rowsBetween(Window.unboundedPreceding, 0)
-    w = words.select(*page, "line", *(F.col(c).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom", "glyph")))
-    # a blank begins where all words so far have ended, as words may overlap
-    w = w.select("*", F.max("x1").over(so_far).alias("end"), F.lead("x0").over(across).alias("next"))
-    blank = F.when(F.col("next") > F.col("end"), F.struct(F.col("end").alias("x0"), F.col("next").alias("x1")))
-    lines = w.groupBy(*page, "line").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.percentile("glyph", 0.5).alias("glyph"), F.array_sort(F.collect_list(blank)).alias("blanks"))
-    lines = lines.withColumn("drawn", F.lit(False))
+    word = F.collect_list(F.struct(*(F.col(c).cast("double").alias(c) for c in _WORD))).alias("words")
+    lines = words.groupBy(*page, "line").agg(F.min(F.col("top").cast("double")).alias("top"), F.max(F.col("bottom").cast("double")).alias("bottom"), word)
+    return line_gutters(lines, page, barriers, bounds)
+
+
+def line_gutters(lines: DataFrame, page: list[str], barriers: DataFrame | None = None, bounds: Gutters = Gutters()) -> DataFrame:
+    """column_gutters of lines with top, bottom (doubles), and their words (x0, x1, glyph: doubles) as an array in any order.
+
+    No word is shuffled: of each line its edges, its median glyph and its blanks go to the page's task.
+    """
+    kept = [*page, "top", "bottom"]
+    kinds = StructType([lines.schema[c] for c in kept] + [StructField(c, DoubleType()) for c in _WORD] + [StructField("blanks", BinaryType())])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there, *edges, blanks = _line_blanks(batch.column(len(kept)))
+            there = pa.array(there)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(there) for k in range(len(kept))), *map(pa.array, edges), pa.array(blanks, pa.binary())], [f.name for f in kinds])
+
+    lines = lines.select(*kept, "words").mapInArrow(measured, kinds).withColumn("drawn", F.lit(False))
     if barriers is not None:
         drawn = barriers.select(*page, F.lit(True).alias("drawn"), F.col("x0").cast("double").alias("x0"), F.col("y").cast("double").alias("top"), F.col("x1").cast("double").alias("x1"))
         lines = lines.unionByName(drawn, allowMissingColumns=True)
 
     def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
-        live: list[_Corridor] = []
+        live = np.zeros((4, 0))  # x0, x1, lines and glyph of each corridor
         end, height = None, 0.0
+
+        def borne(over: np.ndarray) -> Iterator[tuple]:
+            return ((x0, x1, int(n)) for x0, x1, n, _ in over[:, over[2] >= bounds.lines].T.tolist())
+
         for drawn, top, bottom, x0, x1, glyph, blanks in rows:
-            over: list[_Corridor] = []
             if drawn:
-                over, live = [c for c in live if x0 < c.x1 and x1 > c.x0], [c for c in live if x0 >= c.x1 or x1 <= c.x0]
-            else:
-                if end is not None and top - end > bounds.apart * max(height, 1.0):
-                    over, live = live, []
-                borne = _carried(live, x0, x1, glyph, blanks, bounds)
-                over += [c for c, kept in borne if not kept]
-                live = [c for c, kept in borne if kept]
-                taken = [c.middle() for c in live]
-                fresh = (_Corridor(b["x0"], b["x1"], 1, glyph) for b in blanks if b["x1"] - b["x0"] >= bounds.width * glyph)
-                live += [c for c in fresh if c.between(x0, x1, bounds.side * glyph) and not any(c.x0 <= m <= c.x1 for m in taken)]
-                end, height = bottom, bottom - top
-            yield from ((c.x0, c.x1, c.lines) for c in over if c.lines >= bounds.lines)
-        yield from ((c.x0, c.x1, c.lines) for c in live if c.lines >= bounds.lines)
+                across = (x0 < live[1]) & (x1 > live[0])
+                yield from borne(live[:, across])
+                live = live[:, ~across]
+                continue
+            if end is not None and top - end > bounds.apart * max(height, 1.0):
+                yield from borne(live)
+                live = live[:, :0]
+            begins, ends = np.frombuffer(blanks).reshape(2, -1)
+            live, over = _carried(live, x0, x1, glyph, begins, ends, bounds)
+            yield from borne(over)
+            live = np.concatenate([live, _opened(live, x0, x1, glyph, begins, ends, bounds)], axis=1)
+            end, height = bottom, bottom - top
+        yield from borne(live)
 
     return fold_rows(lines, page, ["top", "drawn", "x0"], ["drawn", "top", "bottom", "x0", "x1", "glyph", "blanks"], "x0 double, x1 double, lines bigint", fold)
 
 
-def _carried(live: list[_Corridor], x0: float, x1: float, glyph: float, blanks: list[dict], bounds: Gutters) -> list[tuple[_Corridor, bool]]:
-    """Each corridor as a line leaves it, and whether it goes on."""
-    out = []
-    for c in live:
-        if not x0 < c.middle() < x1:
-            out.append((c, True))
-            continue
-        b = next((b for b in blanks if b["x0"] <= c.middle() <= b["x1"]), None)
-        if b is None or not c.between(x0, x1, bounds.side * glyph):
-            out.append((c, False))
-        elif c.x0 - b["x0"] > bounds.reach * glyph or b["x1"] - c.x1 > bounds.reach * glyph:
-            out.append((c, True))
-        else:
-            narrow = _Corridor(max(c.x0, b["x0"]), min(c.x1, b["x1"]), c.lines + 1, c.glyph)
-            wide = narrow.x1 - narrow.x0 >= bounds.width * c.glyph
-            out.append((narrow if wide else c, wide))
-    return out
+_WORD = ("x0", "x1", "glyph")
+
+
+def _line_blanks(words: pa.ListArray) -> tuple:
+    """Of lines that have words: their numbers, x0, x1, median glyph, and blanks: all begins, then all ends.
+
+    A blank begins where all words so far have ended, as words may overlap. A missing edge bounds nothing.
+    """
+    size = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    there = np.flatnonzero(size)
+    n = size[there]
+    first = np.cumsum(n) - n
+    flat = words.flatten()
+    x0, x1, glyph = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in _WORD)
+    if not len(n):
+        return (there, *[np.zeros(0)] * 3, [])
+    line = np.repeat(np.arange(len(n)), n)
+    # the median: the middle one or two of those that are there, which come first
+    order = np.lexsort((glyph, line))
+    known = np.add.reduceat(~np.isnan(glyph), first, dtype=np.int64)
+    low, high = (glyph[order][first + k] for k in (np.maximum(known - 1, 0) // 2, known // 2))
+    middle = np.where(known % 2 == 1, low, low * 0.5 + high * 0.5)
+    # the furthest end so far, by rank so that numbers stay as they are
+    order = np.lexsort((x1, np.where(np.isnan(x0), -np.inf, x0), line))
+    begin, values = x0[order], np.unique(x1)
+    rank = np.where(np.isnan(x1[order]), 0, np.searchsorted(values, x1[order]) + 1)
+    reach = np.maximum.accumulate(line * (len(values) + 1) + rank) - line * (len(values) + 1)
+    end = np.append(np.nan, values)[reach]
+    blank = np.flatnonzero((line[1:] == line[:-1]) & (begin[1:] > end[:-1]))
+    a, b, of = end[blank], begin[blank + 1], line[blank]
+    cuts = np.searchsorted(of, np.arange(len(n) + 1)).tolist()
+    blanks = [a[i:j].tobytes() + b[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+    return there, np.fmin.reduceat(x0, first), np.fmax.reduceat(x1, first), middle, blanks
+
+
+def _carried(live: np.ndarray, x0: float, x1: float, glyph: float, begins: np.ndarray, ends: np.ndarray, bounds: Gutters) -> tuple[np.ndarray, np.ndarray]:
+    """Corridors that go on, as a line leaves them, and those that end. Blanks are in order and disjoint."""
+    middle = (live[0] + live[1]) / 2
+    beside = (x0 < middle) & (middle < x1)
+    k = np.searchsorted(ends, middle)
+    begin, end = np.append(begins, np.inf)[k], np.append(ends, np.inf)[k]
+    blank = beside & (begin <= middle) & (np.minimum(middle - x0, x1 - middle) >= bounds.side * glyph)
+    told = blank & ~(np.maximum(live[0] - begin, end - live[1]) > bounds.reach * glyph)
+    low, high = np.maximum(live[0], begin), np.minimum(live[1], end)
+    wide = high - low >= bounds.width * live[3]
+    over = (beside & ~blank) | (told & ~wide)
+    narrow = told & wide
+    after = np.stack([np.where(narrow, low, live[0]), np.where(narrow, high, live[1]), live[2] + narrow, live[3]])
+    return after[:, ~over], live[:, over]
+
+
+def _opened(live: np.ndarray, x0: float, x1: float, glyph: float, begins: np.ndarray, ends: np.ndarray, bounds: Gutters) -> np.ndarray:
+    """Corridors that a line's blanks open, where none in use has its middle."""
+    middle = (begins + ends) / 2
+    taken = np.append(np.sort((live[0] + live[1]) / 2), np.inf)
+    free = taken[np.searchsorted(taken, begins)] > ends
+    own = np.flatnonzero(free & (ends - begins >= bounds.width * glyph) & (np.minimum(middle - x0, x1 - middle) >= bounds.side * glyph))
+    return np.stack([begins[own], ends[own], np.ones(len(own)), np.full(len(own), glyph)])
 
 
 def trailing_folios(last: DataFrame, page: list[str], tolerance: float = 2.5) -> DataFrame:
