@@ -30,3 +30,20 @@ def test_hot_windows_skip_suffix_arrays(spark, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == removed_brute(docs, suffix_repeats.LENGTH)
     # before, each edge window of the passage went there once per document
     assert strings.value < len(docs)
+
+
+def test_hot_windows_are_shuffled_once(spark):
+    """Every window but the first of its kind is told, over one shuffle of (window, place)."""
+    length, one = 100, (prose(77, 60) * 2)[:180]
+    texts = [(k, (prose(900 + k, 20) + one)[-(190 + k) :].encode()) for k in range(40)]
+    rows = [(k, t, [(5, (0 << 9) | ((len(t) - length + 1) << 1), True, True)]) for k, t in texts]
+    runs = spark.createDataFrame(rows, "key long, text binary, runs array<struct<m: long, at: long, first: boolean, hot: boolean>>").repartition(5)
+    seen, want = set(), []
+    for k, t in texts:
+        for i in range(len(t) - length + 1):
+            if t[i : i + length] in seen:
+                want.append((k, i, i + length))
+            seen.add(t[i : i + length])
+    made = suffix_repeats._hot_stretches(runs, length)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert len(want) > 1000 and sorted(map(tuple, made.collect())) == want

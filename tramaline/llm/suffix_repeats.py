@@ -258,8 +258,8 @@ def keyed_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def _hot_stretches(runs: DataFrame, length: int) -> DataFrame:
     """Stretches (key, begin, end) of windows that are met before, of the runs of hot minimizers.
 
-    Such windows are known by 128-bit hashes. The first place of each is a minimum, combined before the shuffle,
-    so that a window of very many documents needs no task that holds them.
+    Such windows are known by 128-bit hashes, and shuffled once. Of those alike in a batch only the first is: the
+    others are repeats whatever else there is, so that a window of very many documents is a row for each batch.
     """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,13 +279,22 @@ def _hot_stretches(runs: DataFrame, length: int) -> DataFrame:
                     owners += [key] * n
                     starts += range(x, x + n)
                 if len(hashes) > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(owners, pa.int64()), pa.array(starts, pa.int64())], ["hash", "key", "start"])
+                    yield told(hashes, owners, starts)
                     hashes, owners, starts = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(owners, pa.int64()), pa.array(starts, pa.int64())], ["hash", "key", "start"])
-
-    met = cut(runs.mapInArrow(windows, "hash binary, key long, start long"), "hot")
-    firsts = met.groupBy("hash").agg(F.min(F.struct("key", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").select("hash", "least")
-    again = met.join(firsts, "hash").where(F.struct("key", "start") != F.col("least"))
+            yield told(hashes, owners, starts)
+
+    def told(hashes: list[bytes], owners: list[int], starts: list[int]) -> pa.RecordBatch:
+        """Windows with whether an earlier one in the batch is alike."""
+        h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+        key, start = np.array(owners, np.int64), np.array(starts, np.int64)
+        again = repeated_here(h[:, 0], h[:, 1], key, start)
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in (np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]), key, start)), pa.array(again)], ["a", "b", "key", "start", "again"])
+
+    # written, so that windows are made once for both uses
+    met = cut(runs.mapInArrow(windows, "a long, b long, key long, start long, again boolean"), "hot")
+    alike = Window.partitionBy("a", "b").orderBy("key", "start")
+    later = met.where("not again").select("a", "b", "key", "start").withColumn("nth", F.row_number().over(alike)).where("nth > 1")
+    again = later.select("key", "start").union(met.where("again").select("key", "start"))
     return again.select("key", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
 
 
