@@ -252,14 +252,16 @@ def keyed_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     offset = F.create_map(*before)[F.col("part")] if before else F.lit(0)
     ids = cut(ids.withColumn("key", offset + F.row_number().over(Window.partitionBy("part").orderBy(*order))), "keys")
     texts = base.groupBy("k").agg(F.first("text").alias("text"))
-    return ids.select("k", "key").join(texts, "k").select("key", "text"), ids.select("key", "doc_id", "n_rows")
+    texts = ids.select("k", "key").join(texts, "k").select(F.coalesce("key", F.lit(0).cast("long")).alias("key"), "text")
+    return texts, ids.select("key", "doc_id", "n_rows")
 
 
 def _hot_stretches(runs: DataFrame, length: int) -> DataFrame:
     """Stretches (key, begin, end) of windows that are met before, of the runs of hot minimizers.
 
-    Such windows are known by 128-bit hashes, and shuffled once. Of those alike in a batch only the first is: the
-    others are repeats whatever else there is, so that a window of very many documents is a row for each batch.
+    Such windows are known by 128-bit hashes, and made and shuffled once. Of those alike in a batch only the first
+    meets the others: the rest are repeats whatever else there is and go by document, so that a window of very many
+    documents is a row for each batch.
     """
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,18 +286,17 @@ def _hot_stretches(runs: DataFrame, length: int) -> DataFrame:
             yield told(hashes, owners, starts)
 
     def told(hashes: list[bytes], owners: list[int], starts: list[int]) -> pa.RecordBatch:
-        """Windows with whether an earlier one in the batch is alike."""
+        """Windows with whether an earlier one in the batch is alike; those go by their key instead of their hash."""
         h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
         key, start = np.array(owners, np.int64), np.array(starts, np.int64)
         again = repeated_here(h[:, 0], h[:, 1], key, start)
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in (np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]), key, start)), pa.array(again)], ["a", "b", "key", "start", "again"])
+        a, b = np.where(again, key, h[:, 0]), np.where(again, 0, h[:, 1])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, key, start, again)], ["a", "b", "key", "start", "again"])
 
-    # written, so that windows are made once for both uses
-    met = cut(runs.mapInArrow(windows, "a long, b long, key long, start long, again boolean"), "hot")
-    alike = Window.partitionBy("a", "b").orderBy("key", "start")
-    later = met.where("not again").select("a", "b", "key", "start").withColumn("nth", F.row_number().over(alike)).where("nth > 1")
-    again = later.select("key", "start").union(met.where("again").select("key", "start"))
-    return again.select("key", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
+    met = runs.mapInArrow(windows, "a long, b long, key long, start long, again boolean")
+    alike = Window.partitionBy("a", "b").orderBy("again", "key", "start")
+    later = met.withColumn("nth", F.row_number().over(alike)).where("again or nth > 1")
+    return later.select("key", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -309,8 +310,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts, named = keyed_documents(docs)
-    texts = texts.repartition(parts, "key")  # the one shuffle of the texts; it is used three times
+    read, named = keyed_documents(docs)
+    texts = read.repartition(parts, "key")  # the one shuffle of the texts; it is used up to three times, in the last job
+    if named is None:
+        # runs are made where the texts are read, unless that leaves cores idle (one large row group, say)
+        spread = len(read.select(F.spark_partition_id().alias("part")).distinct().collect())  # one row per partition
+        read = read if spread >= spark.sparkContext.defaultParallelism else texts
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,7 +330,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(h.view(np.int64)), pa.array(key), pa.array(at), pa.array(again)], ["m", "h", "key", "at", "again"])
 
     met = Window.partitionBy("m").orderBy("h", "key", "at")
-    seen = texts.mapInArrow(runs, "m long, h long, key long, at long, again boolean")
+    seen = read.mapInArrow(runs, "m long, h long, key long, at long, again boolean")
     seen = seen.withColumn("first", ~F.col("again") & F.coalesce(F.lag("h").over(met) != F.col("h"), F.lit(True)))
     seen = seen.withColumn("different", F.sum(F.col("first").cast("int")).over(Window.partitionBy("m")))
     wanted = F.col("first") & ((F.col("different") > 1) | (F.col("at").bitwiseAND(F.lit(1)) == 1))
